@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import encode, site_lines
+from pagemill.llm import encode, leakage, site_lines
 from pagemill.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +18,12 @@ def queries() -> dict[str, Query]:
         "p3_found": lambda s, d: site_lines.found(table(s, d, "page_data")),
         "p3_cleaned": lambda s, d: site_lines.cleaned(table(s, d, "page_data")),
         "p6_ids": lambda s, d: encode.encoded(table(s, d, "documents")),
+        "p7_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "benchmark")),
+        "p7_spans": lambda s, d: leakage.spans(table(s, d, "documents"), table(s, d, "benchmark")),
+        "p7_removal_spans": lambda s, d: leakage.removal_spans(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"p3_found": site_lines.FOUND_SQL, "p3_cleaned": site_lines.CLEANED_SQL}
+    return {"p3_found": site_lines.FOUND_SQL, "p3_cleaned": site_lines.CLEANED_SQL, "p7_found": leakage.FOUND_SQL}
