@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import encode, leakage, site_lines
+from pagemill.llm import encode, leakage, near_duplicates, site_lines
 from pagemill.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by name."""
     return {
+        "p1_found": lambda s, d: near_duplicates.found(table(s, d, "page_data")),
+        "p1_classes": lambda s, d: near_duplicates.classes(table(s, d, "page_data")),
         "p3_found": lambda s, d: site_lines.found(table(s, d, "page_data")),
         "p3_cleaned": lambda s, d: site_lines.cleaned(table(s, d, "page_data")),
         "p6_ids": lambda s, d: encode.encoded(table(s, d, "documents")),
@@ -26,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"p3_found": site_lines.FOUND_SQL, "p3_cleaned": site_lines.CLEANED_SQL, "p7_found": leakage.FOUND_SQL}
+    return {"p1_found": near_duplicates.FOUND_SQL, "p1_classes": near_duplicates.CLASSES_SQL, "p3_found": site_lines.FOUND_SQL, "p3_cleaned": site_lines.CLEANED_SQL, "p7_found": leakage.FOUND_SQL}
