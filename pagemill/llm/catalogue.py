@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import encode, leakage, near_duplicates, site_lines
+from pagemill.llm import encode, leakage, near_duplicates, quality, site_lines
 from pagemill.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,12 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "benchmark")),
         "p7_spans": lambda s, d: leakage.spans(table(s, d, "documents"), table(s, d, "benchmark")),
         "p7_removal_spans": lambda s, d: leakage.removal_spans(table(s, d, "documents"), table(s, d, "benchmark")),
+        "p8_found": lambda s, d: quality.found(table(s, d, "documents")),
+        "p8_statistics": lambda s, d: quality.statistics(table(s, d, "documents")),
+        "p8_counts": lambda s, d: quality.counts(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"p1_found": near_duplicates.FOUND_SQL, "p1_classes": near_duplicates.CLASSES_SQL, "p3_found": site_lines.FOUND_SQL, "p3_cleaned": site_lines.CLEANED_SQL, "p7_found": leakage.FOUND_SQL}
+    return {"p1_found": near_duplicates.FOUND_SQL, "p1_classes": near_duplicates.CLASSES_SQL, "p3_found": site_lines.FOUND_SQL, "p3_cleaned": site_lines.CLEANED_SQL, "p7_found": leakage.FOUND_SQL, "p8_counts": quality.COUNTS_SQL}
