@@ -315,7 +315,7 @@ def counts(documents: DataFrame) -> DataFrame:
 COUNTS_SQL = r"""
 SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), 0) AS n_words,
   coalesce(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')), 0) AS word_chars,
-  coalesce(len(list_filter(string_split(text, chr(10)), x -> trim(x) <> '')), 0) AS n_lines,
+  coalesce(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), 0) AS n_lines,
   coalesce(length(text), 0) AS chars
 FROM documents
 """
