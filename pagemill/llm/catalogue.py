@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import encode, leakage, near_duplicates, quality, residue, site_lines
+from pagemill.llm import encode, leakage, main_content, near_duplicates, quality, residue, site_lines
 from pagemill.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ def queries() -> dict[str, Query]:
         "p1_classes": lambda s, d: near_duplicates.classes(table(s, d, "page_data")),
         "p3_found": lambda s, d: site_lines.found(table(s, d, "page_data")),
         "p3_cleaned": lambda s, d: site_lines.cleaned(table(s, d, "page_data")),
+        "p4_found": lambda s, d: main_content.found(table(s, d, "page_data")),
+        "p4_body": lambda s, d: main_content.body(table(s, d, "page_data")),
         "p5_found": lambda s, d: residue.found(table(s, d, "page_data")),
         "p5_pages": lambda s, d: residue.judged(table(s, d, "page_data")),
         "p6_ids": lambda s, d: encode.encoded(table(s, d, "documents")),
