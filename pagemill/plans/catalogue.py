@@ -5,22 +5,151 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.operators import nested
+from pagemill.functions import blocks, contact, style, urls
+from pagemill.functions.tables import DEFAULT_EXCLUDES
+from pagemill.operators import brand, discover, nested, site
+from pagemill.plans import oracle, sinks
 from pagemill.runtime import table
+from pagemill.sources.pages import capture, derived, is_challenge
 
 Query = Callable[[SparkSession, str], DataFrame]
+_BLOCKS = ("title", "meta_description", "canonical_url", "meta_robots", "content_blocks", "structured_data")
+
+
+def _raw(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "page_data")
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return site.first_delivery(_raw(s, d))
+
+
+def _flagged(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).withColumn("total_words", blocks.total_words()).withColumn("quality_flags", blocks.quality_flags())
+
+
+def _html(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").where(~is_challenge(F.col("html")))
+
+
+def _captured(s: SparkSession, d: str, *fields: str) -> DataFrame:
+    """Captured pages with their site; small inputs of one file are spread over the cores."""
+    return capture(_html(s, d), fields, partitions=s.sparkContext.defaultParallelism).withColumn("site", urls.host(F.col("url")))
+
+
+def category_summary(s: SparkSession, d: str) -> DataFrame:
+    """Pages and mean words by site and category, from raw HTML."""
+    return site.category_counts(_captured(s, d, "title", "structured_data", "content_blocks"))
+
+
+def _css(s: SparkSession, d: str) -> DataFrame:
+    """Style sheets among the documents, as styles of their source."""
+    return table(s, d, "documents").where(F.col("text").rlike(r"^\.[a-z0-9-]+\{")).select(F.col("source").alias("site"), F.col("text").alias("css"))
+
+
+def _url_list(s: SparkSession, d: str) -> DataFrame:
+    return _raw(s, d).groupBy("site", "url").agg(F.min("page_id").alias("ord"))
+
+
+def _document_phones(s: SparkSession, d: str) -> DataFrame:
+    found = table(s, d, "documents").select("doc_id", "source", F.explode(contact.phones_in(F.col("text"))).alias("phone"))
+    return found.where(contact.looks_like_phone(F.col("phone")))
+
+
+def _sitemaps(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sitemaps of each site's pages: an index with itself and its parts, and parts of pages by id."""
+    pages = _raw(s, d).where("site IS NOT NULL AND url IS NOT NULL").select("site", "url", F.pmod(F.xxhash64("url"), F.lit(16)).alias("part")).distinct()
+    name = lambda part: F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap-"), part.cast("string"), F.lit(".xml"))
+    escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    files = pages.groupBy("site", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("body"))
+    index_url = F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap.xml"))
+    index = pages.groupBy("site").agg(F.concat(F.lit("<sitemapindex><loc>"), F.first(index_url), F.lit("</loc>"), F.array_join(F.transform(F.collect_set(name(F.col("part"))), lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))), ""), F.lit("</sitemapindex>")).alias("body"))
+    both = files.select(name(F.col("part")).alias("url"), "body").unionByName(index.select(index_url.alias("url"), "body"))
+    return both, index.select("site", index_url.alias("url"))
+
+
+def _robots(s: SparkSession, d: str) -> DataFrame:
+    body = "User-agent: *\nDisallow: /shop/\nDisallow: /legal\nDisallow: /blog$\nCrawl-delay: 1.5\n\nDisallow: /\n"
+    return _raw(s, d).where("site IS NOT NULL").select("site").distinct().withColumn("body", F.lit(body))
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "link_edges").select("site", "src_url", "dst_url", "link_pos")
 
 
 def queries() -> dict[str, Query]:
     """Every core query by name."""
+    c = F.col
     return {
-        "p2_found": lambda s, d: nested.found(table(s, d, "page_data")),
-        "p2_nodes": lambda s, d: nested.node_table(table(s, d, "page_data")),
-        "p2_attributes": lambda s, d: nested.attribute_table(table(s, d, "page_data")),
+        "category_summary": category_summary,
+        "p2_found": lambda s, d: nested.found(_raw(s, d)),
+        "p2_nodes": lambda s, d: nested.node_table(_raw(s, d)),
+        "p2_attributes": lambda s, d: nested.attribute_table(_raw(s, d)),
+        # URLs
+        "url_canonical": lambda s, d: _raw(s, d).select("page_id", "url", urls.canonical(c("url")).alias("canonical")).distinct(),
+        "url_slug": lambda s, d: _raw(s, d).select("page_id", urls.slug(c("url")).alias("slug"), urls.host_slug(c("url")).alias("host_slug")).distinct(),
+        "url_priority": lambda s, d: _raw(s, d).select("page_id", urls.priority(c("url")).alias("priority")).distinct(),
+        "url_filter": lambda s, d: _raw(s, d).where(urls.allowed(c("url"), DEFAULT_EXCLUDES)).select("page_id", "url").distinct(),
+        "url_plan": lambda s, d: site.planned(_url_list(s, d), 50, DEFAULT_EXCLUDES),
+        "url_images": lambda s, d: _pages(s, d).select("page_id", F.explode(F.filter("content_blocks", lambda b: b["type"] == "image")).alias("b")).select("page_id", c("b.original_url").alias("url"), urls.asset_path(c("b.original_url")).alias("asset")).distinct(),
+        # pages, from their blocks
+        "page_words": lambda s, d: _pages(s, d).select("page_id", blocks.total_words().alias("words")),
+        "page_text": lambda s, d: _pages(s, d).select("page_id", blocks.plain_text().alias("t")).select("page_id", blocks.content_hash(c("t")).alias("content_hash"), F.expr("char_length(t) div 4").alias("token_estimate")),
+        "page_summary_text": lambda s, d: _pages(s, d).select("page_id", blocks.summary().alias("summary")),
+        "page_category": lambda s, d: _pages(s, d).select("page_id", blocks.category().alias("category")),
+        "page_signature": lambda s, d: _pages(s, d).select("page_id", blocks.signature().alias("signature")),
+        "page_sections": lambda s, d: _pages(s, d).select("page_id", F.inline(blocks.sections())),
+        "page_markdown": lambda s, d: sinks.markdown_pages(_pages(s, d)),
+        "page_compact": lambda s, d: sinks.compact(_pages(s, d)),
+        "quality_flags": lambda s, d: _flagged(s, d).select("page_id", F.array_join("quality_flags", ",").alias("flags")),
+        "quality_flag_counts": lambda s, d: site.flag_counts(_flagged(s, d)),
+        # sites
+        "category_counts": lambda s, d: site.category_counts(_pages(s, d)),
+        "templates": lambda s, d: site.template_counts(_pages(s, d)),
+        "template_pages": lambda s, d: site.templates(_pages(s, d)).select("site", "template_id", F.array_join("pages", " ").alias("pages")),
+        "hreflang_groups": lambda s, d: site.hreflang_groups(_pages(s, d)).withColumn("urls", F.array_join("urls", " ")),
+        "link_inbound": lambda s, d: site.inbound_links(_pages(s, d)),
+        "edge_inbound": lambda s, d: _edges(s, d).where("src_url <> dst_url").select("site", "src_url", "dst_url").distinct().groupBy("site", "dst_url").agg(F.count("*").alias("sources")),
+        "page_summaries": lambda s, d: site.page_summaries(_pages(s, d)).drop("title", "meta_description"),
+        "site_firsts": lambda s, d: site.first_values(_pages(s, d)).select("site", "language", F.array_join("primary_nav.text", "|").alias("primary_nav"), "total_pages"),
+        "skip_reasons": lambda s, d: site.skip_reasons(table(s, d, "skipped_pages")),
+        "partial_sites": lambda s, d: site.partial_warnings(_pages(s, d), table(s, d, "skipped_pages")).drop("warning"),
+        "shell_sites": lambda s, d: site.shell_warnings(_pages(s, d)),
+        "foreign_links": lambda s, d: site.foreign_hosts(_edges(s, d).where("site IS NOT NULL").withColumnRenamed("dst_url", "url")).select("site", "percent"),
+        # contacts
+        "document_emails": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(contact.emails_in(c("text"))).alias("email")).groupBy("doc_id", "email").agg(F.count("*").alias("k")),
+        "unique_emails": lambda s, d: site.unique_emails(table(s, d, "documents").select(c("source").alias("site"), F.explode(contact.emails_in(c("text"))).alias("email"))),
+        "document_phones": lambda s, d: _document_phones(s, d).groupBy("doc_id", "phone").agg(F.count("*").alias("k")),
+        "unique_phones": lambda s, d: site.unique_phones(_document_phones(s, d).select(c("source").alias("site"), "phone")),
+        "site_contacts": lambda s, d: site.contacts(_captured(s, d, "contact_links", "body_text", "chrome_text", "social_links", "addresses", "organization", "content_blocks")),
+        # brand
+        "css_colours": lambda s, d: brand.colours(_css(s, d), None),
+        "css_fonts": lambda s, d: brand.fonts(_css(s, d)),
+        "css_variables": lambda s, d: brand.variables(_css(s, d)),
+        "brand_confidence": lambda s, d: brand.confidence(brand.colours(_css(s, d)), brand.fonts(_css(s, d))),
+        "technologies": lambda s, d: brand.technologies(_captured(s, d, "stylesheet_urls", "internal_links_out", "style_text")),
+        "technologies_html": lambda s, d: brand.technologies(_html(s, d), _html(s, d).withColumn("site", urls.host(c("url")))),
+        # discovery
+        "crawl_depths": lambda s, d: discover.crawl(_edges(s, d), _edges(s, d).where("site IS NOT NULL").groupBy("site").agg(F.min("src_url").alias("url")), 3, None, DEFAULT_EXCLUDES),
+        "robots_allowed": lambda s, d: discover.without_disallowed(_raw(s, d).where("site IS NOT NULL").select("site", "url").distinct(), discover.robots_rules(_robots(s, d))),
+        "sitemap_pages": lambda s, d: discover.sitemap_urls(*_sitemaps(s, d)),
+        # raw HTML
+        "page_title": lambda s, d: _captured(s, d, "title").select("page_id", "title"),
+        "page_language": lambda s, d: _captured(s, d, "language").select("page_id", "language"),
+        "page_meta": lambda s, d: _captured(s, d, "title", "meta_title", "meta_description", "og_image_url", "twitter_card", "meta_robots", "canonical_url", "favicon_url", "logo_url"),
+        "page_blocks": lambda s, d: _captured(s, d, "content_blocks").select("page_id", F.posexplode("content_blocks").alias("block_idx", "block")).select("page_id", "block_idx", "block.*"),
+        "page_links": lambda s, d: _captured(s, d, "internal_links_out").select("page_id", F.posexplode("internal_links_out").alias("link_pos", "url")),
+        "page_nav": lambda s, d: _captured(s, d, "nav_links").select("page_id", F.inline("nav_links")),
+        "page_footer": lambda s, d: _captured(s, d, "footer_blocks").select("page_id", F.inline("footer_blocks")),
+        "page_derived": lambda s, d: derived(capture(_html(s, d), _BLOCKS, partitions=s.sparkContext.defaultParallelism)).select("page_id", "total_words", "content_hash", "token_estimate", "summary", "category", "signature", "quality_flags"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return oracle.SQL
+
+
+__all__ = ["category_summary", "oracle_sql", "queries", "style"]
