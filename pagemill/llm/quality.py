@@ -141,7 +141,7 @@ def form(line: str) -> str:
         return "residue"
     size = sum(map(len, found))
     solid = len(line) - line.count(" ")
-    digits = sum(w.isdigit() for w in found)
+    digits = sum(map(str.isdigit, found))
     mean = size / n
     ends = bool(_SENTENCE.search(line))
     if mean < 2.2 and n > 8 or mean > 16 or "://" in line:
@@ -157,9 +157,9 @@ def form(line: str) -> str:
         return "cell"
     if n <= 10 and not ends and _PAIR.match(line):
         return "pair"
-    if any(c.isdigit() for c in line) and sum(any(c.isdigit() for c in w) and not w.isdigit() for w in found) * 3 > n:
+    if (n - digits - sum(map(str.isalpha, found))) * 3 > n:
         return "residue"
-    if n >= 20 and line.count(",") * 4 > n or n >= 20 and sum(w.lower() in _ALL for w in found) < 0.12 * n:
+    if n >= 20 and line.count(",") * 4 > n or n >= 20 and sum(map(_ALL.__contains__, map(str.lower, found))) < 0.12 * n:
         return "words"
     if ends and n >= 4 or n >= 22:
         return "sentence"
@@ -237,11 +237,13 @@ def profiles() -> list[tuple[str, str, np.ndarray, np.ndarray, dict[str, np.ndar
     return out
 
 
-def _row_divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Divergences of one distribution from each row of others, all summing to one."""
+def _divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Divergences of distributions (rows) from each of others (columns of the result)."""
+    p = (p / np.maximum(p.sum(axis=1, keepdims=True), 1e-9))[:, None]
+    q = q[None]
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        return (np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1) + np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)) / 2
+        return (np.where(p > 0, p * np.log2(p / m), 0).sum(axis=2) + np.where(q > 0, q * np.log2(q / m), 0).sum(axis=2)) / 2
 
 
 @functools.lru_cache(maxsize=1)
@@ -251,31 +253,56 @@ def _stacked():
     return [(p[0], p[1]) for p in found], rows([p[2] for p in found]), rows([p[3] for p in found]), {lang: rows([p[4][lang] for p in found]) for lang in FUNCTION_WORDS}
 
 
-def judge(text: str, lang: str | None) -> tuple:
-    """(n_words, mean_word_length, symbol_share, lines, punctuated_share, common_share, language, prose_divergence, profile, verdict)."""
-    if not text or not text.strip():
-        return 0, None, None, 0, None, None, None, None, None, "empty"
-    lines = [x for x in map(str.strip, text.splitlines()) if x]
+_LANGUAGES = tuple(FUNCTION_WORDS)
+_EMPTY = (0, None, None, 0, None, None, None, None, None, "empty")
+
+
+def _measure(text: str, lang: str | None) -> tuple:
+    """Basic counts of a text, and its three distributions."""
+    split = text.splitlines()
+    lines = [x for x in map(str.strip, split) if x]
     forms = dict.fromkeys(FORMS, 0)
-    for line in unwrap(text.splitlines()):
+    for line in unwrap(split):
         forms[form(line)] += len(line)
     chars = char_counts(text)
     found = _WORD.findall(text.lower())
-    words = word_counts(found)
-    n = len(found)
+    counts = Counter(found)
+    get = counts.get
+    own = {k: [get(w, 0) for w in known] for k, known in FUNCTION_WORDS.items()}
+    totals = {k: sum(v) for k, v in own.items()}
+    near = max(_LANGUAGES, key=totals.__getitem__)
     code = (lang or "").strip().lower()[:2]
-    if code not in FUNCTION_WORDS:
-        code = max(FUNCTION_WORDS, key=lambda k: n - words[k][-1])
-    total = n - words[code][-1]
-    names, f, c, w = _stacked()
-    share = lambda x: x / max(x.sum(), 1e-9)
-    near = max(FUNCTION_WORDS, key=lambda k: n - words[k][-1])
-    score = WEIGHTS[0] * _row_divergence(share(np.array([*forms.values()], float)), f) + WEIGHTS[1] * _row_divergence(share(chars), c) + WEIGHTS[2] * _row_divergence(share(words[near]), w[near])
-    best = int(score.argmin())
-    prose = float(min(s for s, k in zip(score, names, strict=True) if k[0] == "prose"))
+    code = code if code in FUNCTION_WORDS else near
+    n = len(found)
     symbols = int(chars[CHARS.index("symbol")] + chars[CHARS.index("bracket")] + chars[CHARS.index("odd")])
-    ends = sum(x.rstrip("'\"»”’)")[-1:] in _TERMINAL and x[-1] not in "'\"" or x[-1] in _TERMINAL for x in lines)
-    return n, sum(map(len, found)) / n if n else None, symbols / len(text), len(lines), ends / len(lines), total / n if n else None, code, prose, ":".join(names[best]), names[best][0]
+    ends = sum(x[-1] in _TERMINAL or x[-1] not in "'\"" and x.rstrip("'\"»”’)")[-1:] in _TERMINAL for x in lines)
+    basic = (n, sum(map(len, found)) / n if n else None, symbols / len(text), len(lines), ends / len(lines) if lines else None, totals[code] / n if n else None, code)
+    return basic, list(forms.values()), chars, near, [*own[near], n - totals[near]]
+
+
+def judge_all(texts: list[str | None], langs: list[str | None]) -> list[tuple]:
+    """(n_words, mean_word_length, symbol_share, lines, punctuated_share, common_share, language, prose_divergence, profile, verdict) of each text."""
+    out: list[tuple] = [_EMPTY] * len(texts)
+    live = [i for i, t in enumerate(texts) if t and t.strip()]
+    if not live:
+        return out
+    measured = [_measure(texts[i], langs[i]) for i in live]
+    names, f, c, w = _stacked()
+    score = WEIGHTS[0] * _divergences(np.array([m[1] for m in measured], float), f) + WEIGHTS[1] * _divergences(np.array([m[2] for m in measured], float), c)
+    for lang in _LANGUAGES:
+        at = [k for k, m in enumerate(measured) if m[3] == lang]
+        if at:
+            score[at] += WEIGHTS[2] * _divergences(np.array([measured[k][4] for k in at], float), w[lang])
+    best = score.argmin(axis=1)
+    prose = score[:, [k for k, name in enumerate(names) if name[0] == "prose"]].min(axis=1)
+    for i, m, k, d in zip(live, measured, best.tolist(), prose.tolist(), strict=True):
+        out[i] = (*m[0], d, ":".join(names[k]), names[k][0])
+    return out
+
+
+def judge(text: str | None, lang: str | None = None) -> tuple:
+    """The row of ``judge_all`` for one text."""
+    return judge_all([text], [lang])[0]
 
 
 SCHEMA = "doc_id bigint, n_words int, mean_word_length double, symbol_share double, n_lines int, punctuated_share double, common_share double, language string, prose_divergence double, profile string, verdict string"
@@ -284,8 +311,8 @@ SCHEMA = "doc_id bigint, n_words int, mean_word_length double, symbol_share doub
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.string(), pa.string())
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
-        rows = [judge(t, g) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        rows = judge_all(batch.column(1).to_pylist(), batch.column(2).to_pylist())
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
