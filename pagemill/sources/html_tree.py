@@ -95,7 +95,7 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.open[-1].tag in ("title", "textarea"):
-            self.open[-1].children.append(self.get_starttag_text() or "")
+            self._put(self.get_starttag_text() or "")
             return
         found: dict[str, str] = {}
         for k, v in attrs:
@@ -146,7 +146,7 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         inner = self.open[-1].tag
         if inner in ("title", "textarea") and tag != inner:
-            self.open[-1].children.append(f"</{tag}>")
+            self._put(f"</{tag}>")
         elif tag == "head":
             self._into_body()
         elif tag in ("html", "body") or tag in VOID:
@@ -157,7 +157,15 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if len(self.open) == 2 and data.strip():
             self._into_body()
-        self.open[-1].children.append(data)
+        self._put(data)
+
+    def _put(self, text: str) -> None:
+        """Adds text; neighbouring texts are one."""
+        children = self.open[-1].children
+        if children and isinstance(children[-1], str):
+            children[-1] += text
+        else:
+            children.append(text)
 
 
 def parse(html: str) -> Node:
