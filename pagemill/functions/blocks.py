@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
-from pagemill.functions.tables import CATEGORIES, CURRENCIES, PARKED_HOSTS, POOR_ALTS
+from pagemill.functions.tables import CATEGORIES, CURRENCIES, EMBEDS, PARKED_HOSTS, POOR_ALTS
 
 def _blocks(*fields: str) -> Column:
     """Only some fields of the blocks, so that only they are read."""
@@ -112,6 +112,12 @@ def category(title: str = "title") -> Column:
     return out.otherwise("page")
 
 
+def embed_provider(src: Column) -> Column:
+    """The platform of an embed, by the first known mark in its address."""
+    low = F.lower(src)
+    return F.coalesce(*(F.when(urls.contains_any(low, marks), name) for name, marks in EMBEDS), F.lit("iframe"))
+
+
 def quality_flags() -> Column:
     """Flags of search and accessibility, in their order."""
     h1 = F.coalesce(F.size(F.filter(_blocks("level"), lambda b: (b["type"] == "heading") & (b["level"] == 1))), F.lit(0))

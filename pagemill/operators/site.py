@@ -13,18 +13,38 @@ from pagemill.functions import blocks, contact, urls
 
 
 def first_delivery(page_data: DataFrame) -> DataFrame:
-    """One row for each page_id: redelivered rows hold the same page."""
+    """One row for each page_id: redelivered rows hold the same page. It shuffles whole rows; see ``page_facts``."""
     return page_data.dropDuplicates(["page_id"])
 
 
+#: What aggregates need to know of a page, worked out from its blocks.
+FACTS = {
+    "category": blocks.category, "total_words": blocks.total_words, "block_count": blocks.block_count, "image_count": lambda: blocks.count_of("image"), "has_form": lambda: blocks.count_of("form") > 0,
+    "primary_heading": lambda: blocks.first_text("heading"), "signature": blocks.signature, "quality_flags": blocks.quality_flags,
+}
+
+
+def page_facts(page_data: DataFrame, *names: str) -> DataFrame:
+    """page_id, site, url and some facts or columns of each page, once. Blocks are reduced to facts before rows are shuffled."""
+    wanted = page_data
+    if "quality_flags" in names:  # they are told from the words of the blocks
+        wanted = wanted.withColumn("total_words", blocks.total_words())
+    columns = [fact(wanted, n).alias(n) for n in names]
+    return wanted.select("page_id", "site", "url", *columns).dropDuplicates(["page_id"])
+
+
+def fact(pages: DataFrame, name: str) -> Column:
+    """A fact of pages: its expression over the blocks if those are there, else the column of that name."""
+    return FACTS[name]() if name in FACTS and "content_blocks" in pages.columns else F.col(name)
+
+
 def page_summaries(pages: DataFrame, canonical_links: bool = False) -> DataFrame:
     """One row per page: title, category, counts of words, blocks and images, first heading, links out and in."""
     link = urls.canonical(F.col("target")) if canonical_links else F.col("target")
     inbound = inbound_links(pages, link)
     url = F.when(F.lit(canonical_links), urls.canonical(F.col("url"))).otherwise(F.col("url"))
     rows = pages.select(
-        "page_id", "site", "url", "title", "meta_description", blocks.category().alias("category"), blocks.total_words().alias("word_count"), blocks.block_count().alias("block_count"), blocks.count_of("image").alias("image_count"),
-        (blocks.count_of("form") > 0).alias("has_form"), blocks.first_text("heading").alias("primary_heading"), F.greatest(F.coalesce(F.size("internal_links_out"), F.lit(0)), F.lit(0)).alias("internal_links_out"), url.alias("key"),
+        "page_id", "site", "url", "title", "meta_description", fact(pages, "category").alias("category"), fact(pages, "total_words").alias("word_count"), *(fact(pages, n).alias(n) for n in ("block_count", "image_count", "has_form", "primary_heading")), F.greatest(F.coalesce(F.size("internal_links_out"), F.lit(0)), F.lit(0)).alias("internal_links_out"), url.alias("key"),
     )
     joined = rows.join(inbound, [rows["site"].eqNullSafe(inbound["link_site"]), rows["key"] == inbound["target"]], "left")
     return joined.select(*[c for c in rows.columns if c != "key"], F.coalesce("internal_links_in", F.lit(0)).alias("internal_links_in"))
@@ -38,14 +58,14 @@ def inbound_links(pages: DataFrame, link: Column | None = None) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """Block patterns that two pages of a site or more share: template_id, block_pattern, page_count, pages, sample_page."""
-    signed = pages.select("site", "url", blocks.signature().alias("signature")).where("signature <> ''")
+    signed = pages.select("site", "url", fact(pages, "signature").alias("signature")).where("signature <> ''")
     groups = signed.groupBy("site", "signature").agg(F.count("*").alias("page_count"), F.array_sort(F.collect_list("url")).alias("pages"), F.min("url").alias("sample_page")).where("page_count >= 2")
     return groups.select("site", F.concat(F.lit("tpl_"), F.left(F.sha2("signature", 256), F.lit(8))).alias("template_id"), F.split("signature", ",").alias("block_pattern"), "page_count", "pages", "sample_page")
 
 
 def template_counts(pages: DataFrame) -> DataFrame:
     """The same without the lists of pages, so that a template of any size is one small row."""
-    signed = pages.select("site", "url", blocks.signature().alias("signature")).where("signature <> ''")
+    signed = pages.select("site", "url", fact(pages, "signature").alias("signature")).where("signature <> ''")
     groups = signed.groupBy("site", "signature").agg(F.count("*").alias("page_count"), F.min("url").alias("sample_page")).where("page_count >= 2")
     return groups.select("site", F.concat(F.lit("tpl_"), F.left(F.sha2("signature", 256), F.lit(8))).alias("template_id"), F.col("signature").alias("block_pattern"), "page_count", "sample_page")
 
@@ -83,7 +103,7 @@ def flag_counts(pages: DataFrame) -> DataFrame:
 
 def category_counts(pages: DataFrame) -> DataFrame:
     """Pages and mean words of a site by category."""
-    rows = pages.select("site", blocks.category().alias("category"), blocks.total_words().alias("words"))
+    rows = pages.select("site", fact(pages, "category").alias("category"), fact(pages, "total_words").alias("words"))
     return rows.groupBy("site", "category").agg(F.count("*").alias("pages"), F.round(F.avg("words"), 2).alias("mean_words"))
 
 
@@ -125,7 +145,7 @@ def contacts(captured: DataFrame) -> DataFrame:
 
 def shell_warnings(pages: DataFrame) -> DataFrame:
     """Sites whose pages were captured before they were drawn: at least three pages, 80 % of one short template, few words."""
-    totals = pages.select("site", blocks.total_words().alias("words")).groupBy("site").agg(F.count("*").alias("total"), F.expr("sum(words) div count(*)").alias("mean_words")).where("total >= 3 AND mean_words < 50")
+    totals = pages.select("site", fact(pages, "total_words").alias("words")).groupBy("site").agg(F.count("*").alias("total"), F.expr("sum(words) div count(*)").alias("mean_words")).where("total >= 3 AND mean_words < 50")
     counts = template_counts(pages).withColumn("n", F.size(F.split("block_pattern", ",")))
     hit = counts.join(totals, "site").where("page_count >= 0.8 * total AND n < 5")
     text = F.concat(F.lit("spa_loading_shell:"), F.col("page_count"), F.lit("_of_"), F.col("total"), F.lit("_pages_share_"), F.col("n"), F.lit("_block_template"))

@@ -22,12 +22,13 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "page_data")
 
 
-def _pages(s: SparkSession, d: str) -> DataFrame:
-    return site.first_delivery(_raw(s, d))
+def _facts(s: SparkSession, d: str, *names: str) -> DataFrame:
+    return site.page_facts(_raw(s, d), *names)
 
 
-def _flagged(s: SparkSession, d: str) -> DataFrame:
-    return _pages(s, d).withColumn("total_words", blocks.total_words()).withColumn("quality_flags", blocks.quality_flags())
+def _each(s: SparkSession, d: str, *columns) -> DataFrame:
+    """page_id and some expressions for each page; rows are narrow before they are shuffled."""
+    return _raw(s, d).select("page_id", *columns).dropDuplicates(["page_id"])
 
 
 def _html(s: SparkSession, d: str) -> DataFrame:
@@ -93,30 +94,31 @@ def queries() -> dict[str, Query]:
         "url_priority": lambda s, d: _raw(s, d).select("page_id", urls.priority(c("url")).alias("priority")).distinct(),
         "url_filter": lambda s, d: _raw(s, d).where(urls.allowed(c("url"), DEFAULT_EXCLUDES)).select("page_id", "url").distinct(),
         "url_plan": lambda s, d: site.planned(_url_list(s, d), 50, DEFAULT_EXCLUDES),
-        "url_images": lambda s, d: _pages(s, d).select("page_id", F.explode(F.filter("content_blocks", lambda b: b["type"] == "image")).alias("b")).select("page_id", c("b.original_url").alias("url"), urls.asset_path(c("b.original_url")).alias("asset")).distinct(),
+        "url_images": lambda s, d: _raw(s, d).select("page_id", F.explode("content_blocks.original_url").alias("url")).where("url IS NOT NULL").select("page_id", "url", urls.asset_path(c("url")).alias("asset")).distinct(),
         # pages, from their blocks
-        "page_words": lambda s, d: _pages(s, d).select("page_id", blocks.total_words().alias("words")),
-        "page_text": lambda s, d: _pages(s, d).select("page_id", blocks.plain_text().alias("t")).select("page_id", blocks.content_hash(c("t")).alias("content_hash"), F.expr("char_length(t) div 4").alias("token_estimate")),
-        "page_summary_text": lambda s, d: _pages(s, d).select("page_id", blocks.summary().alias("summary")),
-        "page_category": lambda s, d: _pages(s, d).select("page_id", blocks.category().alias("category")),
-        "page_signature": lambda s, d: _pages(s, d).select("page_id", blocks.signature().alias("signature")),
-        "page_sections": lambda s, d: _pages(s, d).select("page_id", F.inline(blocks.sections())),
-        "page_markdown": lambda s, d: sinks.markdown_pages(_pages(s, d)),
-        "page_compact": lambda s, d: sinks.compact(_pages(s, d)),
-        "quality_flags": lambda s, d: _flagged(s, d).select("page_id", F.array_join("quality_flags", ",").alias("flags")),
-        "quality_flag_counts": lambda s, d: site.flag_counts(_flagged(s, d)),
+        "page_words": lambda s, d: _each(s, d, blocks.total_words().alias("words")),
+        "page_text": lambda s, d: _raw(s, d).select("page_id", blocks.plain_text().alias("t")).select("page_id", blocks.content_hash(c("t")).alias("content_hash"), F.expr("char_length(t) div 4").alias("token_estimate")).dropDuplicates(["page_id"]),
+        "page_summary_text": lambda s, d: _each(s, d, blocks.summary().alias("summary")),
+        "page_category": lambda s, d: _each(s, d, blocks.category().alias("category")),
+        "page_signature": lambda s, d: _each(s, d, blocks.signature().alias("signature")),
+        "page_sections": lambda s, d: _each(s, d, blocks.sections().alias("x")).select("page_id", F.inline("x")),
+        "page_markdown": lambda s, d: sinks.markdown_pages(_raw(s, d)).dropDuplicates(["page_id"]),
+        "page_compact": lambda s, d: sinks.compact(_raw(s, d)).dropDuplicates(["page_id"]),
+        "quality_flags": lambda s, d: _facts(s, d, "quality_flags").select("page_id", F.array_join("quality_flags", ",").alias("flags")),
+        "quality_flag_counts": lambda s, d: site.flag_counts(_facts(s, d, "quality_flags")),
+        "embed_providers": lambda s, d: _raw(s, d).select("page_id", F.explode(F.arrays_zip(c("content_blocks.type").alias("type"), c("content_blocks.src").alias("src"))).alias("b")).where("b.type = 'embed'").select("page_id", c("b.src").alias("src"), blocks.embed_provider(c("b.src")).alias("provider")).distinct(),
         # sites
-        "category_counts": lambda s, d: site.category_counts(_pages(s, d)),
-        "templates": lambda s, d: site.template_counts(_pages(s, d)),
-        "template_pages": lambda s, d: site.templates(_pages(s, d)).select("site", "template_id", F.array_join("pages", " ").alias("pages")),
-        "hreflang_groups": lambda s, d: site.hreflang_groups(_pages(s, d)).withColumn("urls", F.array_join("urls", " ")),
-        "link_inbound": lambda s, d: site.inbound_links(_pages(s, d)),
+        "category_counts": lambda s, d: site.category_counts(_facts(s, d, "category", "total_words")),
+        "templates": lambda s, d: site.template_counts(_facts(s, d, "signature")),
+        "template_pages": lambda s, d: site.templates(_facts(s, d, "signature")).select("site", "template_id", F.array_join("pages", " ").alias("pages")),
+        "hreflang_groups": lambda s, d: site.hreflang_groups(_raw(s, d)).withColumn("urls", F.array_join("urls", " ")),
+        "link_inbound": lambda s, d: site.inbound_links(_facts(s, d, "internal_links_out")),
         "edge_inbound": lambda s, d: _edges(s, d).where("src_url <> dst_url").select("site", "src_url", "dst_url").distinct().groupBy("site", "dst_url").agg(F.count("*").alias("sources")),
-        "page_summaries": lambda s, d: site.page_summaries(_pages(s, d)).drop("title", "meta_description"),
-        "site_firsts": lambda s, d: site.first_values(_pages(s, d)).select("site", "language", F.array_join("primary_nav.text", "|").alias("primary_nav"), "total_pages"),
+        "page_summaries": lambda s, d: site.page_summaries(_facts(s, d, "title", "meta_description", "category", "total_words", "block_count", "image_count", "has_form", "primary_heading", "internal_links_out")).drop("title", "meta_description"),
+        "site_firsts": lambda s, d: site.first_values(_facts(s, d, "language", "nav_links", "footer_blocks")).select("site", "language", F.array_join("primary_nav.text", "|").alias("primary_nav"), "total_pages"),
         "skip_reasons": lambda s, d: site.skip_reasons(table(s, d, "skipped_pages")),
-        "partial_sites": lambda s, d: site.partial_warnings(_pages(s, d), table(s, d, "skipped_pages")).drop("warning"),
-        "shell_sites": lambda s, d: site.shell_warnings(_pages(s, d)),
+        "partial_sites": lambda s, d: site.partial_warnings(_raw(s, d), table(s, d, "skipped_pages")).drop("warning"),
+        "shell_sites": lambda s, d: site.shell_warnings(_facts(s, d, "signature", "total_words")),
         "foreign_links": lambda s, d: site.foreign_hosts(_edges(s, d).where("site IS NOT NULL").withColumnRenamed("dst_url", "url")).select("site", "percent"),
         # contacts
         "document_emails": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(contact.emails_in(c("text"))).alias("email")).groupBy("doc_id", "email").agg(F.count("*").alias("k")),

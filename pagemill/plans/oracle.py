@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.functions.tables import CATEGORIES, DEFAULT_EXCLUDES, EMAIL, PHONE, POOR_ALTS
+from pagemill.functions.tables import CATEGORIES, DEFAULT_EXCLUDES, EMAIL, EMBEDS, PHONE, POOR_ALTS
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 #: Pages without redelivered rows.
@@ -138,6 +138,7 @@ SQL = {
     "url_filter": f"SELECT page_id, url FROM page_data WHERE NOT {_EXCLUDED} GROUP BY ALL",
     "url_plan": f"WITH l AS (SELECT site, url, min(page_id) AS ord FROM page_data GROUP BY 1, 2), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {priority('url')}, ord, url) AS k FROM l) WHERE k <= 50), d AS (SELECT site, {canonical('url')} AS url, min(ord) AS ord FROM c GROUP BY 1, 2) SELECT site, url, ord FROM d WHERE NOT {_EXCLUDED}",
     "url_images": f"{P}, i AS (SELECT page_id, unnest(list_transform(list_filter(content_blocks, lambda b: b.type = 'image'), lambda b: b.original_url)) AS url FROM p) SELECT DISTINCT page_id, url, 'images/' || left(sha256(url), 16) || '.' || regexp_extract(lower(url), '\\.(svg|png|webp|gif|avif|bmp|ico|jpg)', 1) AS asset FROM i",
+    "embed_providers": f"{P}, b AS (SELECT page_id, unnest(content_blocks) AS b FROM p) SELECT DISTINCT page_id, b.src AS src, CASE " + " ".join(f"WHEN {any_of('lower(b.src)', marks)} THEN '{name}'" for name, marks in EMBEDS) + " ELSE 'iframe' END AS provider FROM b WHERE b.type = 'embed'",
     "page_words": f"{P} SELECT page_id, {TOTAL_WORDS} AS words FROM p",
     "page_text": f"{P}, t AS (SELECT page_id, {PLAIN} AS t FROM p) SELECT page_id, CASE WHEN t = '' THEN '' ELSE left(sha256(t), 16) END AS content_hash, length(t) // 4 AS token_estimate FROM t",
     "page_summary_text": f"""{P} SELECT page_id, trim(left(coalesce(nullif(meta_description, ''), nullif({texts('paragraph')}[1], ''), {texts('heading')}[1], ''), 200)) AS summary FROM p""",
