@@ -13,12 +13,12 @@ from pagemill.functions.tables import THEMES
 
 
 def styles(captured: DataFrame, stylesheets: DataFrame | None = None, most: int = 20, max_bytes: int = 5_000_000) -> DataFrame:
-    """Style texts of each site: those of pages, and the first ``most`` external sheets they link to, if a table of them (url, css) is given."""
+    """Style texts of each site: those of pages, and the first ``most`` external sheets (by URL) they link to, if a table of them (url, css) is given."""
     own = captured.select("site", F.col("style_text").alias("css")).where("css <> ''")
     if stylesheets is None:
         return own
-    linked = captured.select("site", "page_id", F.posexplode("stylesheet_urls").alias("pos", "url")).groupBy("site", "url").agg(F.min(F.struct("page_id", "pos")).alias("at"))
-    first = linked.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("at", "url"))).where(F.col("rank") <= most)
+    linked = captured.select("site", F.explode("stylesheet_urls").alias("url")).distinct()
+    first = linked.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where(F.col("rank") <= most)
     return own.unionByName(first.join(stylesheets.where(F.octet_length("css") < max_bytes), "url").select("site", "css"))
 
 

@@ -188,3 +188,18 @@ def planned(url_list: DataFrame, max_pages: int, excludes=(), includes=()) -> Da
     """URLs to capture: capped, canonical, distinct, then filtered (in this order): site, url, ord."""
     rows = capped(url_list, max_pages).select("site", urls.canonical(F.col("url")).alias("url"), "ord").groupBy("site", "url").agg(F.min("ord").alias("ord"))
     return rows.where(urls.allowed(F.col("url"), excludes, includes))
+
+
+# joins with what was fetched beside the pages
+
+
+def with_assets(pages: DataFrame, assets: DataFrame, url: str, path: str) -> DataFrame:
+    """Pages with the local path of one of their URLs (``og_image_url``, say), from a table of assets (url, path); null if there is none."""
+    found = assets.select(F.col("url").alias("_url"), F.col("path").alias(path)).dropDuplicates(["_url"])
+    return pages.join(found, pages[url] == found["_url"], "left").drop("_url")
+
+
+def outcome_counts(pages: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Per site, how many pages were captured, skipped and attempted."""
+    rows = pages.select("site", "url", F.lit(1).alias("ok")).unionByName(skipped.select("site", "url", F.lit(0).alias("ok"))).groupBy("site", "url").agg(F.max("ok").alias("ok"))
+    return rows.groupBy("site").agg(F.sum("ok").alias("captured"), F.sum(1 - F.col("ok")).alias("skipped"), F.count("*").alias("attempted"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import blocks, contact, style, urls
 from pagemill.functions.tables import DEFAULT_EXCLUDES
-from pagemill.operators import brand, discover, nested, site
+from pagemill.operators import brand, bundle, discover, nested, site
 from pagemill.plans import oracle, sinks
-from pagemill.runtime import table
+from pagemill.runtime import materialise, table
 from pagemill.sources.pages import capture, derived, is_challenge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,13 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "link_edges").select("site", "src_url", "dst_url", "link_pos")
 
 
+def _bundles(s: SparkSession, d: str) -> DataFrame:
+    """Site bundles as JSON; the captured pages feed many aggregates, so they are written once."""
+    captured = materialise(_captured(s, d, *bundle.FIELDS).withColumn("total_words", blocks.total_words()).withColumn("quality_flags", blocks.quality_flags()), "captured")
+    out = bundle.site_bundles(captured, table(s, d, "skipped_pages"))
+    return out.select("site", "total_pages", F.to_json(F.struct(*(x for x in out.columns if x not in ("site", "total_pages")))).alias("bundle"))
+
+
 def queries() -> dict[str, Query]:
     """Every core query by name."""
     c = F.col
@@ -120,6 +127,8 @@ def queries() -> dict[str, Query]:
         "partial_sites": lambda s, d: site.partial_warnings(_raw(s, d), table(s, d, "skipped_pages")).drop("warning"),
         "shell_sites": lambda s, d: site.shell_warnings(_facts(s, d, "signature", "total_words")),
         "foreign_links": lambda s, d: site.foreign_hosts(_edges(s, d).where("site IS NOT NULL").withColumnRenamed("dst_url", "url")).select("site", "percent"),
+        "outcome_counts": lambda s, d: site.outcome_counts(_raw(s, d), table(s, d, "skipped_pages")),
+        "site_bundles": lambda s, d: _bundles(s, d),
         # contacts
         "document_emails": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(contact.emails_in(c("text"))).alias("email")).groupBy("doc_id", "email").agg(F.count("*").alias("k")),
         "unique_emails": lambda s, d: site.unique_emails(table(s, d, "documents").select(c("source").alias("site"), F.explode(contact.emails_in(c("text"))).alias("email"))),
