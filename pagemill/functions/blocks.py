@@ -88,7 +88,7 @@ def count_of(kind: str) -> Column:
 
 def block_count() -> Column:
     """Number of blocks."""
-    return F.when(F.col("content_blocks").isNull(), 0).otherwise(F.size("content_blocks.type"))
+    return F.greatest(F.coalesce(F.size("content_blocks.type"), F.lit(0)), F.lit(0))
 
 
 def category(title: str = "title") -> Column:

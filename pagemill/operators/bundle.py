@@ -1,7 +1,7 @@
 """The bundle of a site: all its aggregates in one row, for export.
 
-Lists that grow with the number of pages (the sitemap, the pages of a template) are tables of their own; the bundle has
-their counts. Input are captured pages with ``site`` and the fields in ``FIELDS``; sites without some detail have empty lists.
+Lists that grow with the number of pages (the sitemap, the pages of a template, the URLs of a language) are tables of
+their own; the bundle has their counts. Input are captured pages with ``site`` and the fields in ``FIELDS``; sites without some detail have empty lists.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def site_bundles(captured: DataFrame, skipped: DataFrame | None = None, styleshe
         contact, _listed(colours, "colors", "value", "count", order="count"), _listed(fonts, "fonts", "family", "count", order="count"), _listed(brand.variables(css, 2 * most), "css_variables", "name", "value", "count", order="count"),
         _listed(sheets, "webfonts", "provider", "families", "url"), brand.confidence(colours, fonts), site.common_logo(captured), _listed(brand.technologies(captured), "frameworks", "framework", "confidence", "evidence"),
         _listed(site.template_counts(captured), "templates", "template_id", "block_pattern", "page_count", "sample_page", order="page_count"), _listed(site.flag_counts(captured), "quality_flags", "flag", "pages", order="pages"),
-        _listed(site.hreflang_groups(captured), "hreflang_groups", "lang", "urls"), warnings.groupBy("site").agg(F.array_sort(F.collect_set("warning")).alias("quality_warnings")),
+        _listed(site.hreflang_urls(captured).groupBy("site", "lang").agg(F.count("*").alias("urls")), "hreflang_groups", "lang", "urls"), warnings.groupBy("site").agg(F.array_sort(F.collect_set("warning")).alias("quality_warnings")),
     ):
         out = out.join(part, "site", "left")
     return out

@@ -57,7 +57,10 @@ def inbound_links(pages: DataFrame, link: Column | None = None) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Block patterns that two pages of a site or more share: template_id, block_pattern, page_count, pages, sample_page."""
+    """Block patterns that two pages of a site or more share, with lists of their pages, for exports of small sites.
+
+    At any size, ``template_counts`` and ``template_pages`` give the same in short rows.
+    """
     signed = pages.select("site", "url", fact(pages, "signature").alias("signature")).where("signature <> ''")
     groups = signed.groupBy("site", "signature").agg(F.count("*").alias("page_count"), F.array_sort(F.collect_list("url")).alias("pages"), F.min("url").alias("sample_page")).where("page_count >= 2")
     return groups.select("site", F.concat(F.lit("tpl_"), F.left(F.sha2("signature", 256), F.lit(8))).alias("template_id"), F.split("signature", ",").alias("block_pattern"), "page_count", "pages", "sample_page")
@@ -70,9 +73,22 @@ def template_counts(pages: DataFrame) -> DataFrame:
     return groups.select("site", F.concat(F.lit("tpl_"), F.left(F.sha2("signature", 256), F.lit(8))).alias("template_id"), F.col("signature").alias("block_pattern"), "page_count", "sample_page")
 
 
+def template_pages(pages: DataFrame) -> DataFrame:
+    """The pages of each template: site, template_id, url."""
+    signed = pages.select("site", "url", fact(pages, "signature").alias("signature")).where("signature <> ''")
+    many = signed.groupBy(F.col("site").alias("_site"), F.col("signature").alias("_signature")).agg(F.count("*").alias("k")).where("k >= 2")
+    joined = signed.join(many, F.col("site").eqNullSafe(F.col("_site")) & (F.col("signature") == F.col("_signature")))
+    return joined.select("site", F.concat(F.lit("tpl_"), F.left(F.sha2("signature", 256), F.lit(8))).alias("template_id"), "url")
+
+
+def hreflang_urls(pages: DataFrame) -> DataFrame:
+    """URLs declared for each language of a site: site, lang, url."""
+    return pages.select("site", F.explode("hreflang_alternates").alias("a")).select("site", "a.lang", "a.url").distinct()
+
+
 def hreflang_groups(pages: DataFrame) -> DataFrame:
-    """URLs declared for each language of a site: site, lang, urls (sorted)."""
-    each = pages.select("site", F.explode("hreflang_alternates").alias("a")).select("site", "a.lang", "a.url").distinct()
+    """The same with one list for each language, for exports of small sites: site, lang, urls (sorted)."""
+    each = hreflang_urls(pages)
     return each.groupBy("site", "lang").agg(F.array_sort(F.collect_list("url")).alias("urls"))
 
 

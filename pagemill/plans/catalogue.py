@@ -60,15 +60,18 @@ def _document_phones(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sitemaps(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Sitemaps of each site's pages: an index with itself and its parts, and parts of pages by id."""
-    pages = _raw(s, d).where("site IS NOT NULL AND url IS NOT NULL").select("site", "url", F.pmod(F.xxhash64("url"), F.lit(16)).alias("part")).distinct()
+    """Sitemaps of each site's pages, of about 500 pages each, below an index that also lists itself."""
+    pages = _raw(s, d).where("site IS NOT NULL AND url IS NOT NULL").select("site", "url").distinct()
+    parts = pages.groupBy("site").agg(F.ceil(F.count("*") / 500).alias("parts"))
+    placed = pages.join(parts, "site").withColumn("part", F.pmod(F.xxhash64("url"), F.col("parts")))
     name = lambda part: F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap-"), part.cast("string"), F.lit(".xml"))
     escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
-    files = pages.groupBy("site", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("body"))
+    files = placed.groupBy("site", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("body"))
     index_url = F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap.xml"))
-    index = pages.groupBy("site").agg(F.concat(F.lit("<sitemapindex><loc>"), F.first(index_url), F.lit("</loc>"), F.array_join(F.transform(F.collect_set(name(F.col("part"))), lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))), ""), F.lit("</sitemapindex>")).alias("body"))
+    named = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: F.concat(F.lit("<loc>"), name(k), F.lit("</loc>")))
+    index = parts.select("site", F.concat(F.lit("<sitemapindex><loc>"), index_url, F.lit("</loc>"), F.array_join(named, ""), F.lit("</sitemapindex>")).alias("body"))
     both = files.select(name(F.col("part")).alias("url"), "body").unionByName(index.select(index_url.alias("url"), "body"))
-    return both, index.select("site", index_url.alias("url"))
+    return both, parts.select("site", index_url.alias("url"))
 
 
 def _robots(s: SparkSession, d: str) -> DataFrame:
@@ -117,8 +120,8 @@ def queries() -> dict[str, Query]:
         # sites
         "category_counts": lambda s, d: site.category_counts(_facts(s, d, "category", "total_words")),
         "templates": lambda s, d: site.template_counts(_facts(s, d, "signature")),
-        "template_pages": lambda s, d: site.templates(_facts(s, d, "signature")).select("site", "template_id", F.array_join("pages", " ").alias("pages")),
-        "hreflang_groups": lambda s, d: site.hreflang_groups(_raw(s, d)).withColumn("urls", F.array_join("urls", " ")),
+        "template_pages": lambda s, d: site.template_pages(_facts(s, d, "signature")),
+        "hreflang_urls": lambda s, d: site.hreflang_urls(_raw(s, d)),
         "link_inbound": lambda s, d: site.inbound_links(_facts(s, d, "internal_links_out")),
         "edge_inbound": lambda s, d: _edges(s, d).where("src_url <> dst_url").select("site", "src_url", "dst_url").distinct().groupBy("site", "dst_url").agg(F.count("*").alias("sources")),
         "page_summaries": lambda s, d: site.page_summaries(_facts(s, d, "title", "meta_description", "category", "total_words", "block_count", "image_count", "has_form", "primary_heading", "internal_links_out")).drop("title", "meta_description"),

@@ -148,8 +148,8 @@ SQL = {
     "quality_flags": f"{_WORDS} SELECT page_id, array_to_string(list_filter({flags()}, lambda f: f IS NOT NULL), ',') AS flags FROM w",
     "quality_flag_counts": f"{_WORDS}, f AS (SELECT site, unnest(list_filter({flags()}, lambda f: f IS NOT NULL)) AS flag FROM w) SELECT site, split_part(flag, ':', 1) AS flag, count(*) AS pages FROM f GROUP BY 1, 2",
     "templates": f"{_SIG} SELECT site, 'tpl_' || left(sha256(signature), 8) AS template_id, signature AS block_pattern, count(*) AS page_count, min(url) AS sample_page FROM s WHERE signature <> '' GROUP BY site, signature HAVING count(*) >= 2",
-    "template_pages": f"{_SIG} SELECT site, 'tpl_' || left(sha256(signature), 8) AS template_id, string_agg(url, ' ' ORDER BY url) AS pages FROM s WHERE signature <> '' GROUP BY site, signature HAVING count(*) >= 2",
-    "hreflang_groups": f"{P}, a AS (SELECT DISTINCT site, h.lang AS lang, h.url AS url FROM (SELECT site, unnest(hreflang_alternates) AS h FROM p)) SELECT site, lang, string_agg(url, ' ' ORDER BY url) AS urls FROM a GROUP BY 1, 2",
+    "template_pages": f"{_SIG}, m AS (SELECT *, count(*) OVER (PARTITION BY site, signature) AS k FROM s WHERE signature <> '') SELECT site, 'tpl_' || left(sha256(signature), 8) AS template_id, url FROM m WHERE k >= 2",
+    "hreflang_urls": f"{P} SELECT DISTINCT site, h.lang AS lang, h.url AS url FROM (SELECT site, unnest(hreflang_alternates) AS h FROM p)",
     "link_inbound": f"{P}, t AS (SELECT site, unnest(list_distinct(internal_links_out)) AS target FROM p) SELECT site AS link_site, target, count(*) AS internal_links_in FROM t GROUP BY 1, 2",
     "edge_inbound": "WITH e AS (SELECT DISTINCT site, src_url, dst_url FROM link_edges WHERE src_url <> dst_url) SELECT site, dst_url, count(*) AS sources FROM e GROUP BY 1, 2",
     "page_summaries": f"{P}, t AS (SELECT site, target, count(*) AS k FROM (SELECT site, unnest(list_distinct(internal_links_out)) AS target FROM p) GROUP BY 1, 2) SELECT p.page_id, p.site, p.url, {category()} AS category, {TOTAL_WORDS} AS word_count, len(coalesce(content_blocks, [])) AS block_count, len(coalesce({texts('image')}, [])) AS image_count, len(coalesce({texts('form')}, [])) > 0 AS has_form, {texts('heading')}[1] AS primary_heading, len(coalesce(internal_links_out, [])) AS internal_links_out, coalesce(t.k, 0) AS internal_links_in FROM p LEFT JOIN t ON t.site IS NOT DISTINCT FROM p.site AND t.target = p.url",

@@ -193,5 +193,5 @@ def test_sinks(spark, make_pages, tmp_path):
 
 def test_empty_tables(make_pages):
     df = make_pages({"page_id": 1}).limit(0)
-    for out in (site.page_summaries(df), site.templates(df), site.hreflang_groups(df), site.first_values(df), site.category_counts(df), sinks.compact(df)):
+    for out in (site.page_summaries(df), site.templates(df), site.hreflang_groups(df), site.template_pages(df), site.first_values(df), site.category_counts(df), sinks.compact(df)):
         assert out.count() == 0
