@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per session, if they would not find it by themselves."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and os.path.abspath(p) == root for p in known) or getattr(spark.sparkContext, "_pagemill_sent", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="pagemill-"), "pagemill.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(os.path.join(root, "pagemill")):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    archive.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    spark.sparkContext.addPyFile(path)
+    spark.sparkContext._pagemill_sent = True
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
