@@ -131,7 +131,17 @@ _PHONES = f"WITH c AS (SELECT doc_id, source, unnest(regexp_extract_all(text, {q
 _MAILS = f"WITH c AS (SELECT doc_id, source, unnest(regexp_extract_all(text, {q(EMAIL)})) AS email FROM documents)"
 _EDGE = "WITH e AS (SELECT DISTINCT site, src_url, dst_url FROM link_edges WHERE {same})"
 
+_CHILDREN = "CASE json_type(j) WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: '.' || k) WHEN 'ARRAY' THEN list_transform(range(json_array_length(j)::BIGINT), lambda i: '[' || i || ']') ELSE [] END"
+_ENTRIES = "SELECT page_id, '{column}[' || i || '].{field}[' || (k - 1) || ']' AS node_path, '{column}[' || i || ']' AS parent_path FROM (SELECT page_id, i, e, unnest(range(1, len(e) + 1)) AS k FROM (SELECT page_id, i - 1 AS i, content_blocks[i].{field} AS e FROM b)) WHERE e[k] IS NOT NULL"
+
 SQL = {
+    "p2_found": P.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", b AS (SELECT page_id, content_blocks, unnest(range(1, len(content_blocks) + 1)) AS i FROM p),
+    r AS (SELECT page_id, 'structured_data[' || (i - 1) || ']' AS path, structured_data[i]::JSON AS j, '' AS parent FROM (SELECT page_id, structured_data, unnest(range(1, len(structured_data) + 1)) AS i FROM p) WHERE json_valid(structured_data[i])
+      UNION ALL SELECT page_id, path || c, json_extract(j, '$' || CASE WHEN starts_with(c, '.') THEN '."' || substr(c, 2) || '"' ELSE c END), CASE WHEN json_type(j) = 'OBJECT' THEN path ELSE parent END FROM (SELECT *, unnest({_CHILDREN}) AS c FROM r))
+    SELECT page_id, path AS node_path, parent AS parent_path FROM r WHERE json_type(j) = 'OBJECT'
+    UNION ALL SELECT page_id, 'content_blocks[' || (i - 1) || ']', '' FROM b WHERE content_blocks[i].type IS NOT NULL
+    UNION ALL {_ENTRIES.format(column="content_blocks", field="fields")} UNION ALL {_ENTRIES.format(column="content_blocks", field="definitions")}""",
     "url_canonical": f"SELECT page_id, url, {canonical('url')} AS canonical FROM page_data GROUP BY ALL",
     "url_slug": f"SELECT page_id, {slug('url')} AS slug, {host_slug('url')} AS host_slug FROM page_data GROUP BY ALL",
     "url_priority": f"SELECT page_id, {priority('url')} AS priority FROM page_data GROUP BY ALL",
