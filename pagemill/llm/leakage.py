@@ -4,8 +4,8 @@ A shard's index holds its documents' words as symbols: a word of no item is a br
 phrase of an item (twelve consecutive words, or all its words if it has fewer) is searched backwards in all shards, its
 occurrences are located, and the spans are merged per document.
 
-Words are maximal runs of letters or digits in lower case. Defined results: null and empty texts and items without words
-have no cases; repeated items are all reported; repeated documents each have their own; extra columns are ignored. Items
+Words are maximal runs of letters or digits in lower case. Defined results: null ids, null and empty texts and items
+without words have no cases; repeated items are all reported; repeated documents each have their own; extra columns are ignored. Items
 are taken in blocks, so that what is sent to the executors stays bounded at any number of items.
 """
 
@@ -123,8 +123,8 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard: int) ->
 def spans(documents: DataFrame, benchmark: DataFrame, width: int = WORDS, shard: int = SHARD, block: int = ITEM_BLOCK) -> DataFrame:
     """Merged spans of words that a document shares with an item: doc_id, item_id, word_begin, word_end."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").where(F.length("text") > 0)
-    items = benchmark.select("item_id", "text").where(F.length("text") > 0).distinct()
+    docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND length(text) > 0")
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND length(text) > 0").distinct()
     # one block is collected at a time; the numbering is by a range of ids, so that a block's rows are bounded
     total = items.count()
     parts = []

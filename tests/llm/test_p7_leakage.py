@@ -35,7 +35,8 @@ def brute(docs, items):
 def test_cases(spark):
     docs = [(1, f"x {ITEM} y"), (2, ITEM.upper().replace(" ", ", ")), (3, " ".join(ITEM.split()[1:])), (4, " ".join(ITEM.split()[2:])), (5, None), (6, ""), (7, "very short item here"), (8, "short very item"), (9, (ITEM + " ") * 300), (10, "word " * 3000 + ITEM), (10, "word " * 3000 + ITEM)]
     items = [(1, ITEM), (2, "unrelated. " + ITEM + " end"), (3, None), (4, ""), (5, "Very SHORT item"), (6, "!!!"), (7, ITEM)]
-    d, b = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, item_id int"), spark.createDataFrame(items, "item_id bigint, text string")
+    d = spark.createDataFrame([(*x, 1) for x in [*docs, (None, ITEM)]], "doc_id bigint, text string, item_id int")
+    b = spark.createDataFrame([*items, (None, ITEM)], "item_id bigint, text string")
     want = brute(docs, items)
     assert rows_of(lk.found(d, b), "doc_id", "item_id") == want
     # small shards, and items in several blocks
