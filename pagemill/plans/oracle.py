@@ -162,9 +162,9 @@ SQL = {
     "hreflang_urls": f"{P} SELECT DISTINCT site, h.lang AS lang, h.url AS url FROM (SELECT site, unnest(hreflang_alternates) AS h FROM p)",
     "link_inbound": f"{P}, t AS (SELECT site, unnest(list_distinct(internal_links_out)) AS target FROM p) SELECT site AS link_site, target, count(*) AS internal_links_in FROM t GROUP BY 1, 2",
     "edge_inbound": "WITH e AS (SELECT DISTINCT site, src_url, dst_url FROM link_edges WHERE src_url <> dst_url) SELECT site, dst_url, count(*) AS sources FROM e GROUP BY 1, 2",
-    "page_summaries": f"{P}, t AS (SELECT site, target, count(*) AS k FROM (SELECT site, unnest(list_distinct(internal_links_out)) AS target FROM p) GROUP BY 1, 2) SELECT p.page_id, p.site, p.url, {category()} AS category, {TOTAL_WORDS} AS word_count, len(coalesce(content_blocks, [])) AS block_count, len(coalesce({texts('image')}, [])) AS image_count, len(coalesce({texts('form')}, [])) > 0 AS has_form, {texts('heading')}[1] AS primary_heading, len(coalesce(internal_links_out, [])) AS internal_links_out, coalesce(t.k, 0) AS internal_links_in FROM p LEFT JOIN t ON t.site IS NOT DISTINCT FROM p.site AND t.target = p.url",
+    "page_summaries": f"{P}, t AS (SELECT site, target, count(*) AS k FROM (SELECT site, unnest(list_distinct(internal_links_out)) AS target FROM p) GROUP BY 1, 2) SELECT p.page_id, p.site, p.url, {category()} AS category, {TOTAL_WORDS} AS word_count, CAST(len(coalesce(content_blocks, [])) AS INT) AS block_count, CAST(len(coalesce({texts('image')}, [])) AS INT) AS image_count, len(coalesce({texts('form')}, [])) > 0 AS has_form, {texts('heading')}[1] AS primary_heading, CAST(len(coalesce(internal_links_out, [])) AS INT) AS internal_links_out, coalesce(t.k, 0) AS internal_links_in FROM p LEFT JOIN t ON t.site IS NOT DISTINCT FROM p.site AND t.target = p.url",
     "site_firsts": f"{P} SELECT site, arg_min(language, page_id) FILTER (language IS NOT NULL) AS language, array_to_string(list_transform(arg_min(nav_links, page_id) FILTER (len(nav_links) > 0), lambda n: n.text), '|') AS primary_nav, count(*) AS total_pages FROM p GROUP BY 1",
-    "outcome_counts": "WITH u AS (SELECT site, url, max(ok) AS ok FROM (SELECT site, url, 1 AS ok FROM page_data UNION ALL SELECT site, url, 0 FROM skipped_pages) GROUP BY 1, 2) SELECT site, sum(ok) AS captured, sum(1 - ok) AS skipped, count(*) AS attempted FROM u GROUP BY 1",
+    "outcome_counts": "WITH u AS (SELECT site, url, max(ok) AS ok FROM (SELECT site, url, 1 AS ok FROM page_data UNION ALL SELECT site, url, 0 FROM skipped_pages) GROUP BY 1, 2) SELECT site, CAST(sum(ok) AS BIGINT) AS captured, CAST(sum(1 - ok) AS BIGINT) AS skipped, count(*) AS attempted FROM u GROUP BY 1",
     "skip_reasons": "SELECT site, coalesce(reason, 'render_failed') AS reason, count(DISTINCT url) AS pages FROM skipped_pages GROUP BY 1, 2",
     "partial_sites": f"{P}, k AS (SELECT site, count(DISTINCT url) AS kept FROM p GROUP BY 1), l AS (SELECT site, count(DISTINCT url) AS lost FROM skipped_pages GROUP BY 1) SELECT coalesce(k.site, l.site) AS site, coalesce(lost, 0) AS skipped, coalesce(kept, 0) + coalesce(lost, 0) AS attempted FROM k FULL JOIN l ON k.site = l.site WHERE 2 * coalesce(lost, 0) >= coalesce(kept, 0) + coalesce(lost, 0) AND coalesce(lost, 0) > 0",
     "shell_sites": f"{_WORDS}, t AS (SELECT site, count(*) AS total, sum(words) // count(*) AS mean FROM w GROUP BY 1 HAVING count(*) >= 3 AND sum(words) // count(*) < 50), g AS (SELECT site, {SIGNATURE} AS s, count(*) AS k FROM p GROUP BY 1, 2 HAVING s <> '' AND count(*) >= 2) SELECT g.site, min('spa_loading_shell:' || k || '_of_' || total || '_pages_share_' || len(string_split(s, ',')) || '_block_template') AS warning FROM g JOIN t ON g.site = t.site WHERE k >= 0.8 * total AND len(string_split(s, ',')) < 5 GROUP BY 1",
