@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 from collections.abc import Iterator
 
@@ -124,7 +125,11 @@ def split(text: str, chunk: int = CHUNK_CHARS, limit: int = SEGMENT_BYTES) -> li
 
 @functools.lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    """The codec of a vocabulary file, once per Python worker."""
+    """The codec of a vocabulary file, once per Python worker; a file that isn't at its path is taken from the installed package of vocabularies."""
+    if not os.path.exists(path):
+        import public_tokenizers
+
+        path = public_tokenizers.path(os.path.basename(path))
     return Codec(path)
 
 

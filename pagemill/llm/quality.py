@@ -340,9 +340,9 @@ def counts(documents: DataFrame) -> DataFrame:
 
 
 COUNTS_SQL = r"""
-SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), 0) AS n_words,
-  coalesce(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')), 0) AS word_chars,
-  coalesce(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), 0) AS n_lines,
-  coalesce(length(text), 0) AS chars
+SELECT doc_id, CAST(coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), 0) AS INT) AS n_words,
+  CAST(coalesce(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')), 0) AS INT) AS word_chars,
+  CAST(coalesce(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), 0) AS INT) AS n_lines,
+  CAST(coalesce(length(text), 0) AS INT) AS chars
 FROM documents
 """
