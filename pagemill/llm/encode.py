@@ -33,6 +33,8 @@ CHUNK_CHARS = 8_192
 SEGMENT_BYTES = 1_024
 
 _PIECES = regex.compile(PATTERN)
+#: What the pattern takes for white space; Python's own isspace has four control characters more.
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
 _BLANKS = re.compile(r"\s{%d}" % (SEGMENT_BYTES // 4))
 
 
@@ -100,26 +102,32 @@ def sorted_parts(rows) -> Iterator[tuple[int, int, list[list[int]]]]:
 def split(text: str, chunk: int = CHUNK_CHARS, limit: int = SEGMENT_BYTES) -> list[tuple[int, int, bytes]]:
     """Chunks ``(number, part, bytes)`` of a text; ``part`` numbers the unsplit part a segment belongs to, -1 for chunks of whole parts."""
     chunks: list[tuple[int, int, bytes]] = []
-    begin = end = 0
+    # safe: the end of the last piece before which no later text can change the pieces
+    begin = end = safe = 0
     parts = 0
 
-    def flush() -> None:
-        if end > begin:
-            chunks.append((len(chunks), -1, text[begin:end].encode()))
+    def put(start: int, stop: int) -> None:
+        if stop > start:
+            chunks.append((len(chunks), -1, text[start:stop].encode()))
 
     for m in _PIECES.finditer(text):
         if m.end() - m.start() > limit // 4 and len(raw := m[0].encode()) > limit:
-            flush()
+            # of several blanks before the part, the last is a piece of its own; at a chunk's end it would join the others
+            last = end - 1 if end > begin and text[end - 1] in _SPACES else end
+            put(begin, last)
+            put(last, end)
             for at in range(0, len(raw), limit):
                 chunks.append((len(chunks), parts, raw[at : at + limit]))
             parts += 1
             begin = end = m.end()
             continue
-        if m.end() - begin > chunk:
-            flush()
-            begin = m.start()
+        if m.end() - begin > chunk and safe > begin:
+            put(begin, safe)
+            begin = safe
         end = m.end()
-    flush()
+        if text[end - 1] not in _SPACES:
+            safe = end
+    put(begin, end)
     return chunks
 
 

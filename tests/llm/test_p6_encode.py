@@ -33,3 +33,29 @@ def test_table(spark):
     assert found == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
     assert en.encoded(df).count() == len(texts) + 1
     assert en.encoded(df.limit(0)).count() == 0
+
+
+def in_chunks(codec, text, chunk=en.CHUNK_CHARS, limit=en.SEGMENT_BYTES):
+    ids = []
+    for _, part, codes in en.sorted_parts((k, p, codec.segment(b) if p >= 0 else codec.plain(b.decode())) for k, p, b in en.split(text, chunk, limit)):
+        ids += codec.tree(codes) if part >= 0 else codes[0]
+    return ids
+
+
+@pytest.mark.parametrize("blanks", ["\n\n", "\n\n\n", "\t\t", " \n", "\n ", "  ", "\u3000\u3000", "\n", "\x1c\x1d", "\n\x1c"])
+def test_blanks_at_every_border(blanks):
+    codec = en.codec(PATH)
+    text = "".join(f"{'ab' * (k % 5 + 1)}.{blanks}" for k in range(60)) + "end"
+    for chunk in range(1, 80):
+        assert in_chunks(codec, text, chunk) == codec.plain(text)
+    for tail in ("w" * 3_000, "." * 3_000, "7" * 3_000):  # an unsplit part after blanks, and blanks after it
+        text = f"some words{blanks}{tail}{blanks}and more{blanks}"
+        for chunk in (1, 8, 5_000):
+            assert in_chunks(codec, text, chunk) == codec.plain(text)
+        assert codec.encode(text) == codec.plain(text)
+
+
+def test_blank_line_at_the_border_of_a_long_text(spark):
+    texts = ["ab " * 2_728 + ".\n\n" + "wordlong and more text " * 50, "x.\n\n" + "a" * 9_000, "x.\n\n" + "a" * 3_000]
+    found = {r.doc_id: r.ids for r in en.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert found == dict(enumerate(map(en.codec(PATH).plain, texts)))
