@@ -5,7 +5,8 @@ exactly if its interval does: ``pre`` is smaller and ``post`` larger. The flat t
 parent is found from them by containment, never from the nesting itself.
 
 Defined results: a null or empty column, a null or invalid JSON element and a null entry of an array give no node; of
-repeated keys in one JSON object the last counts; extra columns are ignored; any depth is walked without recursion.
+repeated keys in one JSON object the last counts; extra columns are ignored; any depth is walked without recursion. A null
+field of a block or of its entries is not set and gives no attribute; a null inside an array is one of kind ``null``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,13 @@ NODE_SCHEMA = (
 )
 _NODE = pa.struct([("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("node_type", pa.string()), ("node_path", pa.string()), ("parent_pre", pa.int32()), ("parent_path", pa.string())])
 _ATTRIBUTE = pa.struct([("owner_pre", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+#: Node types with a table of their own: the kinds of blocks, objects without a type, and common types of structured data.
+NODE_TYPES = (
+    "heading", "paragraph", "image", "list", "form", "embed", "table", "code", "quote", "media", "definitionlist", "object",
+    "AggregateOffer", "Answer", "Article", "BlogPosting", "BreadcrumbList", "Comment", "ContactPoint", "Event", "FAQPage", "GeoCoordinates", "ImageObject", "LocalBusiness", "Offer", "Organization", "Person", "Place", "PostalAddress", "Product", "Question", "Review",
+)
+#: Rows of which whole blocks are Python objects at a time.
+BLOCK_ROWS = 500
 _TOKEN = re.compile(r'\s*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|-?Infinity|NaN|true|false|null|[\[\]{},:])')
 
 
@@ -96,11 +104,12 @@ def decode(text: str | None):
             return None, False
 
 
-def label(roots: list[tuple[str, object, str]], with_attributes: bool = True) -> tuple[list[list], list[tuple]]:
+def label(roots: list[tuple[str, object, str | None]], with_attributes: bool = True, of_blocks: bool = False) -> tuple[list[list], list[tuple]]:
     """Interval labels of every object under ``roots`` (path, value, type name), in pre-order.
 
     Arrays are numbered like objects, so that intervals nest strictly, but only objects give nodes: ``[pre, post, depth,
-    type, path]``. Scalars inside objects give attributes ``(owner's pre, name, kind, value)``.
+    type, path]``. Scalars inside objects give attributes ``(owner's pre, name, kind, value)``: those of the roots without a
+    type name (JSON), or with ``of_blocks`` those of the others.
     """
     nodes: list[list] = []
     attributes: list[tuple] = []
@@ -129,7 +138,7 @@ def label(roots: list[tuple[str, object, str]], with_attributes: bool = True) ->
                 stack.append((None,))
                 pre += 1
                 stack.extend((f"{path}[{i}]", value[i], depth + 1, None, owner, f"{name}[{i}]") for i in range(len(value) - 1, -1, -1))
-            elif with_attributes and owner >= 0 and root_type is None:
+            elif with_attributes and owner >= 0 and (root_type is not None) == of_blocks:
                 kind = "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float, Decimal)) else "string"
                 attributes.append((owner, name, kind, value if kind == "string" else None if kind == "null" else str(value) if isinstance(value, Decimal) else json.dumps(value)))
     return nodes, attributes
@@ -147,15 +156,16 @@ def link(nodes: list[list]) -> list[int]:
     return parents
 
 
+def _json_roots(sd: list[str | None] | None) -> list[tuple[str, object, str | None]]:
+    decoded = ((i, *decode(text)) for i, text in enumerate(sd or ()))
+    return [(f"structured_data[{i}]", value, None) for i, value, ok in decoded if ok]
+
+
 def _walk(batches: Iterator[pa.RecordBatch], with_attributes: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, found, extra = batch.column(0), [], []
         for sd, types, fields, definitions in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-            roots: list[tuple[str, object, str | None]] = []
-            for i, text in enumerate(sd or ()):
-                value, ok = decode(text)
-                if ok:
-                    roots.append((f"structured_data[{i}]", value, None))
+            roots = _json_roots(sd)
             for i, kind in enumerate(types or ()):
                 if kind is not None:
                     inner = {k: [{} if full else None for full in a[i]] for k, a in (("fields", fields), ("definitions", definitions)) if a and a[i]}
@@ -167,6 +177,31 @@ def _walk(batches: Iterator[pa.RecordBatch], with_attributes: bool) -> Iterator[
         yield pa.RecordBatch.from_arrays([ids, _structs(found, _NODE), _structs(extra, _ATTRIBUTE)], names=["page_id", "nodes", "attributes"])
 
 
+def _values(record: dict) -> dict:
+    """A block or entry with what is set in it; arrays of strings as one value per position, so that they aren't numbered."""
+    out: dict = {}
+    for name, value in record.items():
+        if name in ("fields", "definitions"):
+            if value:
+                out[name] = [e if e is None else _values(e) for e in value]
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                out |= {f"{name}[{i}][{j}]": x for j, x in enumerate(v)} if isinstance(v, list) else {f"{name}[{i}]": v}
+        elif value is not None:
+            out[name] = value
+    return out
+
+
+def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, BLOCK_ROWS):
+            batch, found = whole.slice(at, BLOCK_ROWS), []
+            for sd, blocks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                roots = _json_roots(sd) + [(f"content_blocks[{i}]", _values(b), b["type"]) for i, b in enumerate(blocks or ()) if b and b["type"] is not None]
+                found.append(label(roots, of_blocks=True)[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _structs(found, _ATTRIBUTE)], names=["page_id", "attributes"])
+
+
 def _valid(texts: tuple) -> tuple:
     """Texts with lone surrogates, which JSON escapes can hold and UTF-8 can't, replaced."""
     try:
@@ -212,11 +247,25 @@ def attribute_table(page_data: DataFrame) -> DataFrame:
     return labelled_pages(page_data).select("page_id", F.inline("attributes"))
 
 
+def block_attribute_table(page_data: DataFrame) -> DataFrame:
+    """Values of the blocks and of their fields and definitions, linked like those of the JSON objects to the nodes of ``node_table``.
+
+    Arrays of strings give one row per position, such as ``items[2]`` or ``rows[0][1]``; options belong to their field.
+    """
+    schema = "page_id bigint, attributes array<struct<owner_pre:int,name:string,kind:string,value:string>>"
+    return page_data.select("page_id", "structured_data", "content_blocks").mapInArrow(_walk_blocks, schema).dropDuplicates(["page_id"]).select("page_id", F.inline("attributes"))
+
+
 def type_table(nodes: DataFrame, node_type: str) -> DataFrame:
     """The node table of one type."""
     return nodes.where(F.col("node_type") == node_type)
 
 
+def other_table(nodes: DataFrame) -> DataFrame:
+    """The nodes of all types without a table of their own."""
+    return nodes.where(~F.col("node_type").isin(*NODE_TYPES))
+
+
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """Links each node of ``inner`` with every node of ``outer`` on its page that encloses it, by interval containment."""
     a, b = inner.alias("inner"), outer.alias("outer")

@@ -98,6 +98,9 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: nested.found(_raw(s, d)),
         "p2_nodes": lambda s, d: nested.node_table(_raw(s, d)),
         "p2_attributes": lambda s, d: nested.attribute_table(_raw(s, d)),
+        "p2_block_attributes": lambda s, d: nested.block_attribute_table(_raw(s, d)),
+        **{f"p2_nodes_{t.lower()}": lambda s, d, t=t: nested.type_table(nested.node_table(_raw(s, d)), t) for t in nested.NODE_TYPES},
+        "p2_nodes_other": lambda s, d: nested.other_table(nested.node_table(_raw(s, d))),
         # URLs
         "url_canonical": lambda s, d: _raw(s, d).select("page_id", "url", urls.canonical(c("url")).alias("canonical")).distinct(),
         "url_slug": lambda s, d: _raw(s, d).select("page_id", urls.slug(c("url")).alias("slug"), urls.host_slug(c("url")).alias("host_slug")).distinct(),

@@ -61,6 +61,37 @@ def test_nested_table(spark, make_pages):
     assert nested.found(df.limit(0)).count() == 0
 
 
+def test_values_of_blocks(spark, make_pages):
+    form = block(type="form", action="/a", submit_text="Go", fields=[("select", "n", "Size", "", True, ["S", None, "L"]), None])
+    row = {
+        "page_id": 1, "structured_data": ['{"@type": "heading", "x": [{"y": 1}]}', "bad"],
+        "content_blocks": [heading("h", 2), form, block(type="definitionlist", definitions=[None, ("a", None), ("b", "c")]), block(type="table", headers=["k"], rows=[["1", None], None, []]), block(type="list", items=["i", ""])],
+    }
+    df = make_pages(row, row, {"page_id": 2}, {"page_id": 3, "content_blocks": []})
+    nodes, values = nested.node_table(df), nested.block_attribute_table(df)
+    assert sorted(values.columns) == sorted(nested.attribute_table(df).columns)
+    linked = values.join(nodes.withColumnRenamed("pre", "owner_pre"), ["page_id", "owner_pre"])
+    b, f, d = "content_blocks[{}]".format, "content_blocks[1].fields[0]", "content_blocks[2].definitions[{}]".format
+    want = [
+        (b(0), "type", "string", "heading"), (b(0), "level", "number", "2"), (b(0), "text", "string", "h"), (b(1), "type", "string", "form"), (b(1), "action", "string", "/a"), (b(1), "submit_text", "string", "Go"), (b(1), "fields[1]", "null", None),
+        (f, "field_type", "string", "select"), (f, "name", "string", "n"), (f, "label", "string", "Size"), (f, "placeholder", "string", ""), (f, "required", "bool", "true"), (f, "options[0]", "string", "S"), (f, "options[1]", "null", None), (f, "options[2]", "string", "L"),
+        (b(2), "type", "string", "definitionlist"), (b(2), "definitions[0]", "null", None), (d(1), "term", "string", "a"), (d(2), "term", "string", "b"), (d(2), "description", "string", "c"), (b(3), "type", "string", "table"), (b(3), "headers[0]", "string", "k"),
+        (b(3), "rows[0][0]", "string", "1"), (b(3), "rows[0][1]", "null", None), (b(3), "rows[1]", "null", None), (b(4), "type", "string", "list"), (b(4), "items[0]", "string", "i"), (b(4), "items[1]", "string", ""),
+    ]
+    assert rows_of(linked, "node_path", "name", "kind", "value") == sorted(want, key=repr)
+    assert values.count() == len(want)
+    assert nested.block_attribute_table(df.limit(0)).count() == 0
+    # the tables by type have each node once
+    kinds = [nested.type_table(nodes, t) for t in nested.NODE_TYPES] + [nested.other_table(nodes)]
+    assert sorted(r for k in kinds for r in rows_of(k, "page_id", "pre")) == sorted(rows_of(nodes, "page_id", "pre"))
+
+
+def test_tables_by_type_are_registered():
+    from pagemill.plans import catalogue
+
+    assert {"p2_block_attributes", "p2_nodes_other", *(f"p2_nodes_{t.lower()}" for t in nested.NODE_TYPES)} <= set(catalogue.queries())
+
+
 # graphs
 
 
