@@ -6,8 +6,10 @@ SimHash tables find candidates, Hamming distance and trigram cosine verify them,
 holds a trusted label grows; trust fades by the cosine of each step, so that chains of ever less alike texts end. A page is a case if a placeholder stands unfilled in its texts, or if residue is most of what
 it has to say.
 
-In each round, a bucket of a table is represented by a bounded number of labelled units, another choice in each round; so
-each unit is compared with a bounded number of others, however large a component is, and what is broadcast is bounded too.
+In each round, every unit without a label is compared with all units of its buckets that got theirs in the round before (in
+the first one, all trusted ones), so each pair of a bucket meets once; the loop ends when a round labels nothing. The new
+labels are broadcast in blocks of bounded size, one pass over the open units for each; the choice among the labels that a
+unit could take doesn't depend on the blocks.
 
 Defined results: null texts give no units; code blocks hold no placeholders; a page without blocks is no case for its
 text but can be one for its title; redelivered rows count once; extra columns are ignored.
@@ -15,9 +17,10 @@ text but can be one for its title; redelivered rows count once; extra columns ar
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +67,9 @@ SLOT = re.compile(
     r"\{\{\{?[\s#/>&-]*[\w$][\w.$|:\s'\"-]*\}?\}\}|\{%-?\s*\w[^%]*%\}|<%[=-]?\s*\w[^%]*%>|(?:<|&lt;)\?(?:php|=)?\s*\$?\w[^?]*\?(?:>|&gt;)|[$#]\{\s*\w[\w.]*\s*\}|%%\w+%%|@@\w+@@|\[\[[\w.-]+\]\]|__[A-Z]+(?:_[A-Z]+)+__"
     r"|(?<![\w{$#])\{[a-z]\w*\}(?!\})|(?:<|&lt;)insert [\w ]+ here(?:>|&gt;)|\[(?:Your|Insert|Enter|Add|Ihr|Ihre|Votre|Su|Tu) [^\]\n]{1,40}\]|\[(?:Company|First|Last|Product|Customer|Client|City|Site|Business) ?Name\]",
 )
-TABLES, BITS, PER_BUCKET, MAX_CHARS = 16, 10, 4, 1_024
+TABLES, BITS, MAX_CHARS = 16, 10, 1_024
+#: Labelled units and their characters in a block (about), and pairs that are compared at a time.
+BLOCK_UNITS, BLOCK_CHARS, PAIRS = 8_192, 1_000_000, 1_000_000
 HAMMING = 13
 #: Least trust of a label: 1 of a trusted one, times the cosine for each step away from it.
 TRUST = 0.4
@@ -241,65 +246,91 @@ def needed(grams: int) -> float:
 
 
 class Labelled:
-    """A bounded choice of labelled units, by table and bucket."""
+    """A block of labelled units, by table and bucket."""
 
     def __init__(self, rows: list[tuple[int, str, int, str, float]]):
         """Rows of hash, label, SimHash, text and trust."""
         rows = list(dict.fromkeys(rows))
+        self.hashes = [r[0] for r in rows]
         self.labels = [r[1] for r in rows]
         self.trust = [r[4] for r in rows]
         self.prints = np.array([r[2] for r in rows], np.int64).view(np.uint64)
-        self.grams = [gram_counts(r[3]) for r in rows]
-        self.sizes = [sum(g.values()) for g in self.grams]
-        self.lengths = [norm(g) for g in self.grams]
+        self.texts = [r[3] for r in rows]
+        self.grams: dict[int, tuple[Counter, int, float]] = {}
+        # which of two equally near ones goes first
+        self.rank = np.argsort(sorted(range(len(rows)), key=lambda j: (-self.trust[j], self.labels[j], self.hashes[j])))
         # of each table, its members ordered by bucket, and where each bucket begins
         at = keys(self.prints)
         self.members = np.argsort(at, axis=0, kind="stable")
         self.begins = np.array([np.searchsorted(np.sort(at[:, t]), np.arange((1 << BITS) + 1)) for t in range(TABLES)])
 
+    def pairs(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Units (by position), labelled ones in a common bucket within the Hamming distance, and that; by unit, the nearest first."""
+        at, tables = keys(prints), np.arange(TABLES)
+        begin = self.begins[tables, at]
+        count = self.begins[tables, at + 1] - begin
+        sums = np.cumsum(count.sum(axis=1))
+        low = 0
+        while low < len(prints):
+            high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + PAIRS, "right")))
+            k, b = count[low:high].ravel(), begin[low:high].ravel()
+            unit = np.repeat(np.repeat(np.arange(low, high), TABLES), k)
+            place = np.arange(len(unit)) - np.repeat(np.cumsum(k) - k - b, k)
+            who = self.members[place, np.repeat(np.tile(tables, high - low), k)]
+            near = np.bitwise_count(prints[unit] ^ self.prints[who]) <= HAMMING
+            unit, who = np.divmod(np.unique(unit[near] * len(self.prints) + who[near]), len(self.prints))
+            apart = np.bitwise_count(prints[unit] ^ self.prints[who])
+            order = np.lexsort((self.rank[who], apart, unit))
+            yield unit[order], who[order], apart[order]
+            low = high
+
     def candidates(self, prints: np.ndarray) -> dict[int, dict[int, int]]:
         """For units (by position), the labelled ones in a common bucket within the Hamming distance, with that."""
         found: dict[int, dict[int, int]] = {}
-        at = keys(prints)
-        for table in range(TABLES):
-            begin = self.begins[table][at[:, table]]
-            count = self.begins[table][at[:, table] + 1] - begin
-            unit = np.repeat(np.arange(len(prints)), count)
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
-            who = self.members[place, table]
-            apart = np.bitwise_count(prints[unit] ^ self.prints[who])
-            near = apart <= HAMMING
-            for i, j, k in zip(unit[near].tolist(), who[near].tolist(), apart[near].tolist(), strict=True):
+        for some in self.pairs(prints):
+            for i, j, k in zip(*(x.tolist() for x in some), strict=True):
                 found.setdefault(i, {})[j] = k
         return found
 
-    def label(self, prints: np.ndarray, texts: list[str]) -> dict[int, tuple[float, str]]:
-        """Trust and label of each unit that a labelled one is a near-duplicate of, those of the nearest that is."""
-        out = {}
-        for i, near in self.candidates(prints).items():
-            own = gram_counts(texts[i])
-            size, length = sum(own.values()), norm(own)
-            for j in sorted(near, key=lambda j: (near[j], -self.trust[j], self.labels[j])):
-                least = ABOUT if self.labels[j] == "about" else needed(min(size, self.sizes[j]))
-                alike = cosine(own, self.grams[j], length, self.lengths[j])
+    def counts(self, j: int) -> tuple[Counter, int, float]:
+        """Trigrams of a labelled unit, their number and the vector's length."""
+        if j not in self.grams:
+            own = gram_counts(self.texts[j])
+            self.grams[j] = own, sum(own.values()), norm(own)
+        return self.grams[j]
+
+    def label(self, prints: np.ndarray, text: Callable[[int], str]) -> dict[int, tuple[float, str, int, float, int]]:
+        """Of each unit that a labelled one is a near-duplicate of: trust and label by the nearest that is, its distance, trust and hash."""
+        out: dict[int, tuple[float, str, int, float, int]] = {}
+        for unit, who, apart in self.pairs(prints):
+            last = -1
+            for i, j, k in zip(unit.tolist(), who.tolist(), apart.tolist(), strict=True):
+                if i in out:
+                    continue
+                if i != last:
+                    own, last = gram_counts(text(i)), i
+                    size, length = sum(own.values()), norm(own)
+                other, its_size, its_length = self.counts(j)
+                least = ABOUT if self.labels[j] == "about" else needed(min(size, its_size))
+                alike = cosine(own, other, length, its_length)
                 if alike >= least and alike * self.trust[j] >= TRUST:
-                    out[i] = (alike * self.trust[j], self.labels[j])
-                    break
+                    out[i] = (alike * self.trust[j], self.labels[j], k, self.trust[j], self.hashes[j])
         return out
 
 
 def _spread(batches: Iterator[pa.RecordBatch], known: Labelled) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column(1).to_numpy().view(np.uint64)
-        texts = batch.column(2).to_pylist()
-        found = known.label(prints, texts)
+        texts = batch.column(2)
+        found = known.label(prints, lambda i, texts=texts: texts[i].as_py())
         at = pa.array(list(found), pa.int64())
-        trust, names = [t for t, _ in found.values()], [n for _, n in found.values()]
-        columns = [batch.column(0).take(at), pa.array(names, pa.string()), batch.column(1).take(at), batch.column(2).take(at), pa.array(trust, pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["h", "label", "print", "text", "trust"])
+        trust, names, apart, its_trust, by = zip(*found.values(), strict=True) if found else ((),) * 5
+        columns = [batch.column(0).take(at), pa.array(names, pa.string()), batch.column(1).take(at), texts.take(at), pa.array(trust, pa.float64()), pa.array(apart, pa.int32()), pa.array(its_trust, pa.float64()), pa.array(by, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "label", "print", "text", "trust", "apart", "its_trust", "by"])
 
 
 LABELS = "h bigint, label string, print bigint, text string, trust double"
+NEAR = LABELS + ", apart int, its_trust double, by bigint"
 
 
 def trusted() -> list[tuple[int, str, int, str, float]]:
@@ -309,22 +340,14 @@ def trusted() -> list[tuple[int, str, int, str, float]]:
     return [(_hash(" ".join(w)), label, p, " ".join(w), 1.0) for (label, w), p in zip(rows, prints, strict=True)]
 
 
-def _choice(labelled: DataFrame, turn: int) -> list[tuple[int, str, int, str, float]]:
-    """At most ``PER_BUCKET`` labelled units of each bucket, by a hash that differs from turn to turn.
-
-    Texts about residue are like other prose: their label is not spread further.
-    """
-
-    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buckets = keys(batch.column(2).to_numpy().view(np.uint64)) + (np.arange(TABLES) << BITS)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, TABLES, dtype=np.int32)), pa.array(buckets.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["h", "label", "print", "text", "trust", "buckets"])
-
-    each = labelled.where((F.length("text") <= MAX_CHARS) & (F.col("label") != "about")).mapInArrow(bucketed, LABELS + ", buckets array<bigint>").withColumn("bucket", F.explode("buckets"))
-    order = F.xxhash64("h", F.lit(turn))
-    chosen = each.groupBy("bucket", F.pmod(order, F.lit(PER_BUCKET)).alias("part")).agg(F.min_by(F.struct("h", "label", "print", "text", "trust"), order).alias("u"))
-    return [tuple(r) for r in chosen.select("u.*").distinct().collect()]
+def _blocks(new: DataFrame) -> Iterator[Labelled]:
+    """New labels in blocks of about ``BLOCK_UNITS`` units and ``BLOCK_CHARS`` characters at most."""
+    rows, chars = new.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    number = max(-(-rows // BLOCK_UNITS), -(-chars // BLOCK_CHARS))
+    for k in range(number):
+        rows = [tuple(r) for r in new.where(F.pmod(F.xxhash64("h"), F.lit(number)) == k).collect()]
+        if rows:
+            yield Labelled(rows)
 
 
 def labels(all_units: DataFrame) -> DataFrame:
@@ -337,17 +360,23 @@ def labels(all_units: DataFrame) -> DataFrame:
     repeated = F.when((F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) >= 3) & (F.size(F.array_distinct(F.split("text", " "))) == 1) & F.col("text").rlike(r"^\p{L}"), "filler")
     opening = corpus.select("h", F.coalesce(opens, repeated).alias("label"), "print", "text", F.lit(1.0).alias("trust")).where("label IS NOT NULL")
     labelled = materialise(spark.createDataFrame(seeds, LABELS).unionByName(opening).dropDuplicates(["h"]), "labels")
-    before, turn = labelled.count(), 0
+    new = labelled
     while True:
-        turn += 1
-        known = spark.sparkContext.broadcast(Labelled(seeds + _choice(labelled, turn)))
-        open_ = corpus.join(broadcast_if_small(labelled.select("h"), 300_000), "h", "left_anti")
-        near = open_.mapInArrow(lambda b, known=known: _spread(b, known.value), LABELS)
-        labelled = materialise(labelled.unionByName(near), "labels")
-        after = labelled.count()
-        if after == before:
+        sources = new.where(F.length("text") <= MAX_CHARS)
+        # texts about residue are like other prose: but for the exemplars, their label is not spread further
+        sources = sources if new is labelled else sources.where(F.col("label") != "about")
+        open_ = corpus.join(broadcast_if_small(labelled.select("h"), 1_000_000), "h", "left_anti")
+        parts = []
+        for block in _blocks(sources):
+            known = spark.sparkContext.broadcast(block)
+            parts.append(materialise(open_.mapInArrow(lambda b, known=known: _spread(b, known.value), NEAR), "near"))
+        if not parts:
             return labelled.select("h", "label")
-        before = after
+        near = functools.reduce(DataFrame.unionByName, parts)
+        if len(parts) > 1:
+            near = near.groupBy("h").agg(F.min_by(F.struct("label", "print", "text", "trust"), F.struct("apart", -F.col("its_trust"), "label", "by")).alias("best")).select("h", "best.*")
+        new = near.select("h", "label", "print", "text", "trust")
+        labelled = materialise(labelled.unionByName(new), "labels")
 
 
 #: Kinds of blocks whose words are what a page has to say.

@@ -49,3 +49,41 @@ def test_spreading_reaches_variants_but_not_prose(spark, make_pages):
     own = rs.units(make_pages(*({"page_id": i, "content_blocks": [paragraph(t)]} for i, t in enumerate(texts))))
     kinds = dict(rows_of(own.join(rs.labels(own), "h"), "page_id", "label"))
     assert kinds == dict.fromkeys(range(8), "error")
+
+
+def variants(number, changed, opening, rng):
+    """A filler text with some words replaced."""
+    words = "dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
+    for _ in range(number):
+        text = words.copy()
+        for at in rng.choice(len(words), changed, replace=False):
+            text[at] = "".join(rng.choice(list("bcdfghklmnprstaeiou"), 7))
+        yield opening + " ".join(text)
+
+
+def test_every_labelled_unit_of_a_bucket_is_compared(spark, make_pages, monkeypatch):
+    rng = np.random.default_rng(8)
+    known, others = list(variants(8_000, 5, "lorem ipsum ", rng)), list(variants(600, 7, "", rng))
+    own = rs.units(make_pages(*({"page_id": i, "content_blocks": [paragraph(t)]} for i, t in enumerate(known + others))))
+    rows = [(rs._hash(t), "filler", p, t, 1.0) for t, p in zip(known + others, rs.simhashes([t.split() for t in known + others]).view(np.int64).tolist(), strict=True)]
+    # round by round, each unit with all that have a label
+    have, open_ = rows[: len(known)], rows[len(known) :]
+    while True:
+        known_rows, new = rs.trusted() + have, []
+        index = rs.Labelled(known_rows)
+        for i, near in index.candidates(np.array([r[2] for r in open_], np.int64).view(np.uint64)).items():
+            own_grams = rs.gram_counts(open_[i][3])
+            for j in sorted(near, key=lambda j: (near[j], -index.trust[j])):
+                other = rs.gram_counts(known_rows[j][3])
+                alike = rs.cosine(own_grams, other, rs.norm(own_grams), rs.norm(other))
+                if alike >= rs.needed(min(sum(own_grams.values()), sum(other.values()))) and alike * index.trust[j] >= rs.TRUST:
+                    new.append((*open_[i][:4], alike * index.trust[j]))
+                    break
+        if not new:
+            break
+        have, open_ = have + new, [r for r in open_ if r[0] not in {x[0] for x in new}]
+    want = sorted((r[0],) for r in have)
+    assert len(known) < len(want) < len(rows)
+    assert sorted(rows_of(rs.labels(own).join(own, "h", "left_semi"), "h")) == want
+    monkeypatch.setattr(rs, "BLOCK_UNITS", 2_000)  # more blocks, the same labels
+    assert sorted(rows_of(rs.labels(own).join(own, "h", "left_semi"), "h")) == want
