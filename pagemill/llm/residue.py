@@ -67,7 +67,7 @@ SLOT = re.compile(
     r"\{\{\{?[\s#/>&-]*[\w$][\w.$|:\s'\"-]*\}?\}\}|\{%-?\s*\w[^%]*%\}|<%[=-]?\s*\w[^%]*%>|(?:<|&lt;)\?(?:php|=)?\s*\$?\w[^?]*\?(?:>|&gt;)|[$#]\{\s*\w[\w.]*\s*\}|%%\w+%%|@@\w+@@|\[\[[\w.-]+\]\]|__[A-Z]+(?:_[A-Z]+)+__"
     r"|(?<![\w{$#])\{[a-z]\w*\}(?!\})|(?:<|&lt;)insert [\w ]+ here(?:>|&gt;)|\[(?:Your|Insert|Enter|Add|Ihr|Ihre|Votre|Su|Tu) [^\]\n]{1,40}\]|\[(?:Company|First|Last|Product|Customer|Client|City|Site|Business) ?Name\]",
 )
-TABLES, BITS, MAX_CHARS = 16, 10, 1_024
+TABLES, BITS = 16, 10
 #: Labelled units and their characters in a block (about), and pairs that are compared at a time.
 BLOCK_UNITS, BLOCK_CHARS, PAIRS = 8_192, 1_000_000, 1_000_000
 HAMMING = 13
@@ -190,6 +190,7 @@ def _texts(blocks: str = "content_blocks") -> Column:
     definitions = F.flatten(F.filter(F.col(f"{blocks}.definitions"), lambda x: x.isNotNull()))
     fields = F.flatten(F.filter(F.col(f"{blocks}.fields"), lambda x: x.isNotNull()))
     lists = [F.flatten(F.filter(F.col(f"{blocks}.headers"), lambda x: x.isNotNull())), F.flatten(F.flatten(F.filter(F.transform(F.col(f"{blocks}.rows"), lambda r: F.filter(r, lambda x: x.isNotNull())), lambda x: x.isNotNull())))]
+    lists += [F.flatten(F.filter(F.transform(fields, lambda x: x["options"]), lambda x: x.isNotNull()))]
     lists += [F.transform(definitions, lambda x: x["term"]), F.transform(definitions, lambda x: x["description"]), F.transform(fields, lambda x: x["label"]), F.transform(fields, lambda x: x["placeholder"])]
     return F.array_join(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in [*one, *lists])), "\n")
 
@@ -362,9 +363,8 @@ def labels(all_units: DataFrame) -> DataFrame:
     labelled = materialise(spark.createDataFrame(seeds, LABELS).unionByName(opening).dropDuplicates(["h"]), "labels")
     new = labelled
     while True:
-        sources = new.where(F.length("text") <= MAX_CHARS)
         # texts about residue are like other prose: but for the exemplars, their label is not spread further
-        sources = sources if new is labelled else sources.where(F.col("label") != "about")
+        sources = new if new is labelled else new.where(F.col("label") != "about")
         open_ = corpus.join(broadcast_if_small(labelled.select("h"), 1_000_000), "h", "left_anti")
         parts = []
         for block in _blocks(sources):

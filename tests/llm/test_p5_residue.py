@@ -87,3 +87,15 @@ def test_every_labelled_unit_of_a_bucket_is_compared(spark, make_pages, monkeypa
     assert sorted(rows_of(rs.labels(own).join(own, "h", "left_semi"), "h")) == want
     monkeypatch.setattr(rs, "BLOCK_UNITS", 2_000)  # more blocks, the same labels
     assert sorted(rows_of(rs.labels(own).join(own, "h", "left_semi"), "h")) == want
+
+
+def test_long_texts_spread_and_options_are_searched(spark, make_pages):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("bcdfghklmnprstaeiou"), 6)) for _ in range(300)]
+    long = "Lorem ipsum " + " ".join(words)
+    like = " ".join(words[:140] + ["harbour"] + words[141:])
+    assert len(long) > 1_024
+    form = {"content_blocks": [paragraph(PROSE), block(type="form", fields=[("select", "n", "Size", "", True, ["S", None, "{{ size.large }}"]), None, ("text", "m", "M", "", False, None)])]}
+    plain = {"content_blocks": [paragraph(PROSE), block(type="form", fields=[("select", "n", "Size", "", True, ["S", "L"])])]}
+    df = make_pages({"page_id": 1, "content_blocks": [paragraph(long)]}, {"page_id": 2, "content_blocks": [paragraph(like)]}, {"page_id": 3} | form, {"page_id": 4} | plain)
+    assert rows_of(rs.found(df), "page_id") == [(1,), (2,), (3,)]
