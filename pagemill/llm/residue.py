@@ -2,9 +2,10 @@
 
 Every text of a page is a unit with a 64-bit SimHash of its letters' trigrams. Trusted labels (the exemplars below, and
 texts that open with the printers' filler) are spread to all units that are joined to them by near-duplicates: partitioned
-SimHash tables find candidates, Hamming distance and trigram cosine verify them, and rounds go on until no component that
-holds a trusted label grows; trust fades by the cosine of each step, so that chains of ever less alike texts end. A page is a case if a placeholder stands unfilled in its texts, or if residue is most of what
-it has to say.
+SimHash tables find all candidates within the Hamming distance (of 13 differing bits, one of five segments has at most two),
+Hamming distance and trigram cosine verify them, and rounds go on until no component that holds a trusted label grows; trust
+fades by the cosine of each step, so that chains of ever less alike texts end. A page is a case if a placeholder stands
+unfilled in its texts, or if residue is most of what it has to say.
 
 In each round, every unit without a label is compared with all units of its buckets that got theirs in the round before (in
 the first one, all trusted ones), so each pair of a bucket meets once; the loop ends when a round labels nothing. The new
@@ -18,6 +19,7 @@ text but can be one for its title; redelivered rows count once; extra columns ar
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -67,10 +69,12 @@ SLOT = re.compile(
     r"\{\{\{?[\s#/>&-]*[\w$][\w.$|:\s'\"-]*\}?\}\}|\{%-?\s*\w[^%]*%\}|<%[=-]?\s*\w[^%]*%>|(?:<|&lt;)\?(?:php|=)?\s*\$?\w[^?]*\?(?:>|&gt;)|[$#]\{\s*\w[\w.]*\s*\}|%%\w+%%|@@\w+@@|\[\[[\w.-]+\]\]|__[A-Z]+(?:_[A-Z]+)+__"
     r"|(?<![\w{$#])\{[a-z]\w*\}(?!\})|(?:<|&lt;)insert [\w ]+ here(?:>|&gt;)|\[(?:Your|Insert|Enter|Add|Ihr|Ihre|Votre|Su|Tu) [^\]\n]{1,40}\]|\[(?:Company|First|Last|Product|Customer|Client|City|Site|Business) ?Name\]",
 )
-TABLES, BITS = 16, 10
+#: The 64 bits are cut into so many segments. Of texts within ``HAMMING`` bits, one segment differs in at most ``FLIPS``.
+TABLES, BITS, FLIPS = 5, 13, 2
 #: Labelled units and their characters in a block (about), and pairs that are compared at a time.
 BLOCK_UNITS, BLOCK_CHARS, PAIRS = 8_192, 1_000_000, 1_000_000
 HAMMING = 13
+assert HAMMING < TABLES * (FLIPS + 1) and 64 <= TABLES * BITS
 #: Least trust of a label: 1 of a trusted one, times the cosine for each step away from it.
 TRUST = 0.4
 #: Least cosine by the trigrams of the shorter text: short texts are alike by chance.
@@ -84,7 +88,6 @@ SHARE = 0.2
 _STATUS = frozenset(str(k) for k in (*range(400, 430), *range(500, 512)))
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
-_PLACES = np.random.default_rng(5).permuted(np.tile(np.arange(64), (TABLES, 1)), axis=1)[:, :BITS].astype(np.uint64)
 
 
 def _grams(word: str) -> list[str]:
@@ -142,25 +145,13 @@ def simhashes(units: list[list[str]]) -> np.ndarray:
     return out
 
 
-def _byte_keys() -> np.ndarray:
-    """What each value of each byte of a SimHash adds to its bucket in each table."""
-    out = np.zeros((8, 256, TABLES), np.int32)
-    for table in range(TABLES):
-        for bit, place in enumerate(_PLACES[table].tolist()):
-            out[place // 8, :, table] += ((np.arange(256) >> (place % 8)) & 1) << bit
-    return out
-
-
-_BYTE_KEYS = _byte_keys()
+#: All ways to flip at most ``FLIPS`` bits of a segment.
+_MASKS = np.array([sum(1 << b for b in bits) for k in range(FLIPS + 1) for bits in itertools.combinations(range(BITS), k)], np.int32)
 
 
 def keys(prints: np.ndarray) -> np.ndarray:
-    """The bucket of each SimHash (rows) in each table (columns)."""
-    raw = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8)
-    out = np.zeros((len(prints), TABLES), np.int32)
-    for k in range(8):
-        out += _BYTE_KEYS[k][raw[:, k]]
-    return out
+    """The segments of each SimHash (rows), one for each table (columns)."""
+    return np.stack([(prints >> np.uint64(t * BITS)) & np.uint64((1 << BITS) - 1) for t in range(TABLES)], axis=1).astype(np.int32)
 
 
 def gram_counts(text: str) -> Counter:
@@ -260,9 +251,9 @@ class Labelled:
         self.grams: dict[int, tuple[Counter, int, float]] = {}
         # which of two equally near ones goes first
         self.rank = np.argsort(sorted(range(len(rows)), key=lambda j: (-self.trust[j], self.labels[j], self.hashes[j])))
-        # of each table, its members ordered by bucket, and where each bucket begins
-        at = keys(self.prints)
-        self.members = np.argsort(at, axis=0, kind="stable")
+        # of each table, its members ordered by bucket, and where each bucket begins; each is in all buckets that a few flips lead to
+        at = (keys(self.prints)[:, None, :] ^ _MASKS[None, :, None]).reshape(-1, TABLES)
+        self.members = (np.argsort(at, axis=0, kind="stable") // len(_MASKS)).astype(np.int32)
         self.begins = np.array([np.searchsorted(np.sort(at[:, t]), np.arange((1 << BITS) + 1)) for t in range(TABLES)])
 
     def pairs(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -99,3 +99,15 @@ def test_long_texts_spread_and_options_are_searched(spark, make_pages):
     plain = {"content_blocks": [paragraph(PROSE), block(type="form", fields=[("select", "n", "Size", "", True, ["S", "L"])])]}
     df = make_pages({"page_id": 1, "content_blocks": [paragraph(long)]}, {"page_id": 2, "content_blocks": [paragraph(like)]}, {"page_id": 3} | form, {"page_id": 4} | plain)
     assert rows_of(rs.found(df), "page_id") == [(1,), (2,), (3,)]
+
+
+def test_buckets_find_every_pair_within_the_distance():
+    rng = np.random.default_rng(6)
+    known = rng.integers(0, 2**63, 300).astype(np.uint64)
+    near = known.copy()
+    for k in range(len(near)):
+        for bit in rng.choice(64, rs.HAMMING, replace=False):
+            near[k] ^= np.uint64(1) << np.uint64(bit)
+    found = rs.Labelled([(i, "error", p, "t", 1.0) for i, p in enumerate(known.view(np.int64).tolist())]).candidates(near)
+    apart = np.bitwise_count(near[:, None] ^ known[None, :])
+    assert {(i, j) for i, js in found.items() for j in js} == set(zip(*(x.tolist() for x in np.nonzero(apart <= rs.HAMMING)), strict=True))
