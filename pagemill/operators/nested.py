@@ -4,7 +4,7 @@ Every record is walked depth first; each node gets its position in pre-order and
 exactly if its interval does: ``pre`` is smaller and ``post`` larger. The flat tables carry these labels, and a child's
 parent is found from them by containment, never from the nesting itself.
 
-Defined results: a null or empty column, a null or invalid JSON element and a null entry of an array give no node; of
+Defined results: a null or empty column, a null or invalid JSON element and a null entry of an array give no node; a block without a type is an ``object``; of
 repeated keys in one JSON object the last counts; extra columns are ignored; any depth is walked without recursion. A null
 field of a block or of its entries is not set and gives no attribute; a null inside an array is one of kind ``null``.
 """
@@ -164,12 +164,12 @@ def _json_roots(sd: list[str | None] | None) -> list[tuple[str, object, str | No
 def _walk(batches: Iterator[pa.RecordBatch], with_attributes: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, found, extra = batch.column(0), [], []
-        for sd, types, fields, definitions in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+        for sd, types, fields, definitions, present in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
             roots = _json_roots(sd)
             for i, kind in enumerate(types or ()):
-                if kind is not None:
+                if present[i]:
                     inner = {k: [{} if full else None for full in a[i]] for k, a in (("fields", fields), ("definitions", definitions)) if a and a[i]}
-                    roots.append((f"content_blocks[{i}]", inner, kind))
+                    roots.append((f"content_blocks[{i}]", inner, "object" if kind is None else kind))
             nodes, attributes = label(roots, with_attributes)
             up = link(nodes)
             found.append([(*n, nodes[p][0] if p >= 0 else -1, nodes[p][4] if p >= 0 else "") for n, p in zip(nodes, up, strict=True)])
@@ -197,7 +197,7 @@ def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, BLOCK_ROWS):
             batch, found = whole.slice(at, BLOCK_ROWS), []
             for sd, blocks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                roots = _json_roots(sd) + [(f"content_blocks[{i}]", _values(b), b["type"]) for i, b in enumerate(blocks or ()) if b and b["type"] is not None]
+                roots = _json_roots(sd) + [(f"content_blocks[{i}]", _values(b), "object" if b["type"] is None else b["type"]) for i, b in enumerate(blocks or ()) if b is not None]
                 found.append(label(roots, of_blocks=True)[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), _structs(found, _ATTRIBUTE)], names=["page_id", "attributes"])
 
@@ -231,7 +231,8 @@ def _present(nested: Column) -> Column:
 def labelled_pages(page_data: DataFrame, with_attributes: bool = True) -> DataFrame:
     """One row per page: its object nodes with interval labels and their attributes. Redelivered rows count once."""
     wanted = page_data.select(
-        "page_id", "structured_data", F.col("content_blocks.type").alias("types"), _present(F.col("content_blocks.fields")).alias("fields"), _present(F.col("content_blocks.definitions")).alias("definitions")
+        "page_id", "structured_data", F.col("content_blocks.type").alias("types"), _present(F.col("content_blocks.fields")).alias("fields"), _present(F.col("content_blocks.definitions")).alias("definitions"),
+        F.transform("content_blocks", lambda b: b.isNotNull()).alias("present"),
     )
     walked = wanted.mapInArrow(lambda batches: _walk(batches, with_attributes), NODE_SCHEMA)
     return walked.dropDuplicates(["page_id"])

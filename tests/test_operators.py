@@ -86,6 +86,14 @@ def test_values_of_blocks(spark, make_pages):
     assert sorted(r for k in kinds for r in rows_of(k, "page_id", "pre")) == sorted(rows_of(nodes, "page_id", "pre"))
 
 
+def test_blocks_without_a_type_are_objects(make_pages):
+    df = make_pages({"page_id": 1, "content_blocks": [None, block(text="x", definitions=[("a", "b")]), heading("h")]})
+    want = [("content_blocks[1]", "object", ""), ("content_blocks[1].definitions[0]", "object", "content_blocks[1]"), ("content_blocks[2]", "heading", "")]
+    assert rows_of(nested.node_table(df), "node_path", "node_type", "parent_path") == want
+    linked = nested.block_attribute_table(df).join(nested.node_table(df).withColumnRenamed("pre", "owner_pre"), ["page_id", "owner_pre"])
+    assert ("content_blocks[1]", "text", "x") in rows_of(linked, "node_path", "name", "value")
+
+
 def test_tables_by_type_are_registered():
     from pagemill.plans import catalogue
 
