@@ -1,9 +1,16 @@
 """Statistics of each text and a verdict that tells natural prose from lists, tables and junk.
 
-A text gives three distributions: its function words, its classes of characters, and the forms of its lines (sentences,
-titles, bullets, cells, key-value lines, residue; hard-wrapped lines are joined first), weighted by characters. Each is
-compared with the same distribution of structural profiles by Jensen-Shannon divergence, and the nearest profile is the
-verdict. The profiles come from short exemplar texts below: one of prose per language, and several of each other structure.
+A text gives two distributions: its function words, and its classes of characters. Each is compared by Jensen-Shannon
+divergence with the same distribution of structural profiles, and the nearest profile is the verdict. Nothing else decides
+it: the basic counts stand beside it.
+
+The classes of characters are taken in runs (a word by its length, a number, a blank, a line break by the length of the line
+before it, a mark) and in pairs of neighbouring runs, so that their distribution also says where lines end and what begins
+them. Function words are those of the language that the text has most of, all other words being one.
+
+Profiles come from the texts below, not from the data: prose of each language, also wrapped, without punctuation, in
+spaced capitals, below a title and beside page chrome, and a stock of entries of each language rendered as bullets, titles, keywords,
+leaders, cells and pairs; further ones are junk.
 
 Words are maximal runs of letters or digits. Defined results: a null, empty or blank text has counts of 0, null shares
 and the verdict ``empty``, which is no case; a language that is null or unknown is taken to be the nearest of the four;
@@ -14,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+import textwrap
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -23,49 +31,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Common function words of each language (fixed values).
+#: Common function words of each language by part of speech (fixed values).
 FUNCTION_WORDS = {
-    "en": "the of and a to in is that it was for on with as are by at be this from or an but not have has had they which we you our his her their there when if who will would says until because before after where both than".split(),
-    "de": "der die das und ist in den von zu mit sich des auf für nicht ein eine einer als auch es an werden aus er hat dass sie nach wird bei noch wie im dem war so oft doch wir uns wenn weil nur am zum".split(),
-    "fr": "le la les de des du et un une est que qui dans en pour par sur au aux ce se ne pas plus avec il elle nous vous l d qu n c s à où sont fait mais ou comme si après avant quand".split(),
-    "es": "el la los las de del y un una es que en por para con se no al lo su sus como más pero o este esta hay fue ser son donde cuando si sabemos usted hasta desde sin después".split(),
+    "en": {
+        "article": "the a an this these those each every some any no".split(),
+        "preposition": "of in to for on with as by at from into over under between about through without near behind during against".split(),
+        "conjunction": "and or but that because when if while until before after than so whether although both since where why how".split(),
+        "pronoun": "it we you they he she i our your his her their its us them me him which who what there nobody one".split(),
+        "verb": "is was are be were been has have had will would can could must may should do does did says said".split(),
+        "adverb": "not never always often sometimes usually still only also very more most too then here rarely almost".split(),
+    },
+    "de": {
+        "article": "der die das den dem des ein eine einer einem einen eines kein keine dieser diese dieses".split(),
+        "preposition": "in von zu mit auf für an aus bei nach am im zum zur über unter vor hinter neben ohne durch gegen um seit".split(),
+        "conjunction": "und oder aber dass weil wenn als wie ob doch sondern während bis bevor damit obwohl warum wo sowie denn".split(),
+        "pronoun": "es sie wir er ich ihr man uns ihn ihm ihnen sich mich unser unsere sein seine ihre was wer".split(),
+        "verb": "ist war sind waren wird werden wurde hat haben hatte kann können konnte muss müssen soll sollte sagt bleibt gibt".split(),
+        "adverb": "nicht nie immer oft manchmal noch nur auch sehr mehr so schon dann hier kaum fast selten gern meistens".split(),
+    },
+    "fr": {
+        "article": "le la les l un une des du ce cette ces chaque aucun aucune".split(),
+        "preposition": "de d à en dans pour par sur avec sans sous aux au chez vers entre avant après derrière contre depuis près".split(),
+        "conjunction": "et ou mais que qu si quand comme car donc lorsque puisque parce où pourquoi comment ni".split(),
+        "pronoun": "il elle on nous vous ils elles je se s c ne n qui y lui leur notre votre son sa ses nos personne".split(),
+        "verb": "est était sont étaient sera soit a ont avait avaient fait faut fallu peut peuvent pouvait doit dit reste suis".split(),
+        "adverb": "pas plus très jamais toujours souvent parfois encore déjà aussi bien presque rarement ici trop".split(),
+    },
+    "es": {
+        "article": "el la los las un una unos unas lo este esta estos estas cada ningún".split(),
+        "preposition": "de del a al en con por para sin sobre entre desde hasta hacia tras antes después detrás contra bajo durante".split(),
+        "conjunction": "y e o u pero que si cuando como porque aunque donde mientras ni pues sino cómo".split(),
+        "pronoun": "se nos usted ustedes él ella ellos yo le les me te su sus nuestro nuestra quien nadie hay".split(),
+        "verb": "es era son eran fue ser sea está estaba están ha han había tiene puede pueden debe dice hace queda".split(),
+        "adverb": "no más muy nunca siempre menudo veces todavía ya también casi solo aquí bien rara".split(),
+    },
 }
+_PART = {lang: {w: k for k, words in enumerate(parts.values()) for w in reversed(words)} for lang, parts in FUNCTION_WORDS.items()}
 _TERMINAL = ".!?…。"
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"[^\W\d_]{2,}['\"»”’)]*[.!?…]['\"»”’)]*(?:\s|$)")
-_BULLET = re.compile(r"(?:[-*•–—▪·◦‣+»]|\[[ xX✓]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
-_LEADER = re.compile(r"(?:[.·_…]{4,}|(?: \.){4,})\s*\S{0,8}$")
-_PAIR = re.compile(r"[^\s:=][^:=.!?]{0,48}?\s*[:=]\s*\S?.{0,60}$")
-_COLUMNS = re.compile(r"\S(?: {2,}|\t)(?=\S|$)")
-_INSIDE = re.compile(r"[^\W\d_]{2,}[.!?…]['\"»”’)]* +['\"«“‘(¿¡]?[^\W_]+ +[^\W_]")
-_QUOTED = re.compile(r"(?:> ?)+")
-FORMS = ["sentence", "title", "bullet", "words", "cell", "pair", "residue"]
-CHARS = ["letter", "digit", "blank", "terminal", "comma", "quote", "bracket", "symbol", "odd"]
-#: Weights of the three divergences: forms of lines, characters, function words.
-WEIGHTS = (0.6, 0.2, 0.2)
+#: Classes of characters; the last sign of a text is a line break.
+CHARS = ["letter", "upper", "digit", "blank", "line", "terminal", "comma", "colon", "quote", "bracket", "cell", "bullet", "symbol", "odd"]
+#: Classes of runs: words by length (capitals alone are folded), capitalised words, words of mixed case, numbers by length, blanks, line breaks by the length of their line, then the other classes.
+RUNS = ["w1", "w2", "w4", "w8", "w14", "Word", "wOrd", "d1", "d3", "d7", "b1", "b2", "n0", "n25", "n48", "n120", *CHARS[5:]]
+_WORD_BORDERS, _DIGIT_BORDERS, _LINE_BORDERS = (2, 4, 8, 14), (3, 7), (25, 48, 120)
+#: Weights of the two divergences: classes of characters, function words.
+WEIGHTS = (0.5, 0.5)
 
 
 @functools.lru_cache(maxsize=1)
 def _char_table() -> np.ndarray:
-    """The class of each character of the basic plane; others count as odd unless letters, which Python tells apart later."""
-    table = np.full(0x10000, CHARS.index("odd"), np.uint8)
+    """The class of each character of the basic plane; those beyond it count as the last one, which is odd."""
+    table = np.full(0x10000, CHARS.index("odd"), np.int8)
     for code in range(0x10000):
         c, kind = chr(code), unicodedata.category(chr(code))
-        if c in _TERMINAL:
+        if c in "\n\r\v\f\x85\u2028\u2029":
+            name = "line"
+        elif c in _TERMINAL:
             name = "terminal"
-        elif c in ",;:":
+        elif c == ",":
             name = "comma"
+        elif c in ":;=":
+            name = "colon"
         elif c in "'\"’‘“”„«»‹›`´":
             name = "quote"
         elif c in "()[]{}<>":
             name = "bracket"
-        elif kind[0] == "L" or kind[0] == "M":
+        elif c in "|\t":
+            name = "cell"
+        elif c in "-–—•*·▪◦‣+":
+            name = "bullet"
+        elif kind == "Lu":
+            name = "upper"
+        elif kind[0] in "LM":
             name = "letter"
         elif kind[0] == "N":
             name = "digit"
-        elif kind[0] == "Z" or c in "\t\n\r\v\f":
+        elif kind[0] == "Z":
             name = "blank"
-        elif kind[0] in "PS" and c != "�":
+        elif kind[0] in "PS" and c != "\ufffd":
             name = "symbol"
         else:
             continue
@@ -73,118 +116,84 @@ def _char_table() -> np.ndarray:
     return table
 
 
-def char_counts(text: str) -> np.ndarray:
-    """How many characters of each class."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(_char_table()[np.minimum(codes, 0xFFFF)], minlength=len(CHARS))
-
-
-def unwrap(lines: list[str]) -> list[str]:
-    """Lines with hard-wrapped text joined.
-
-    A line goes on in the next one if the next one's first word would not have fitted (in a paragraph where that holds
-    mostly), if the next one begins in lower case, or if a sentence ended and another began inside the line.
-    """
-    out: list[str] = []
-    block: list[str] = []
-
-    def close() -> None:
-        if len(block) > 1:
-            width = max(map(len, block))
-            tight = [len(a) + 1 + len(b.split(None, 1)[0]) > width for a, b in zip(block, block[1:], strict=False)]
-            # a heading above and the ends of paragraphs don't fill their lines
-            count = [t for t, a in zip(tight[1:], block[1:], strict=False) if a[-1] not in _TERMINAL] or tight
-            filled = width < 130 and sum(count) >= 0.65 * len(count) and _may_be_wrapped(block)
-            joined = [block[0]]
-            for a, b, t in zip(block, block[1:], tight, strict=False):
-                if t and filled or _goes_on(a, b):
-                    joined[-1] += " " + b
-                else:
-                    joined.append(b)
-            out.extend(joined)
-        else:
-            out.extend(block)
-        block.clear()
-
-    for line in lines:
-        stripped = line.strip()
-        if not stripped:
-            close()
-            continue
-        if stripped[0] == ">":
-            stripped = _QUOTED.sub("", stripped, count=1).strip() or ">"
-        block.append(stripped)
-    close()
-    return out
-
-
-def _goes_on(a: str, b: str) -> bool:
-    """Whether line ``b`` continues a sentence that line ``a`` leaves open."""
-    if not (a[-1].isalpha() or a[-1] in ",-'’") or "  " in a or "\t" in a or "|" in a or ";" in a:
-        return False
-    return len(a) >= 28 and b[0].islower() and not _BULLET.match(a) or bool(_INSIDE.search(a))
-
-
-def _may_be_wrapped(block: list[str]) -> bool:
-    """Whether lines may be wrapped text: not bullets, and some go on in lower case."""
-    if _BULLET.match(block[0]) and _BULLET.match(block[1]) or sum(bool(_PAIR.match(b)) or b.count("|") > 1 for b in block) >= 0.5 * len(block):
-        return False
-    low = sum(b[0].islower() for b in block[1:])
-    return low >= 0.2 * (len(block) - 1) or sum(b[0].isupper() for b in block[1:]) < 0.5 * (len(block) - 1) or "".join(block).isupper()
-
-
-def form(line: str) -> str:
-    """The form of one line."""
-    found = _WORD.findall(line)
-    n = len(found)
-    if not n:
-        return "residue"
-    size = sum(map(len, found))
-    solid = len(line) - line.count(" ")
-    digits = sum(map(str.isdigit, found))
-    mean = size / n
-    ends = bool(_SENTENCE.search(line))
-    if mean < 2.2 and n > 8 or mean > 16 or "://" in line:
-        return "residue"
-    if size < 0.72 * solid and not _LEADER.search(line) and line.count("|") < 2 and '"' not in line:
-        return "residue"
-    if _BULLET.match(line):
-        return "sentence" if n >= 12 and ends else "bullet"
-    if line.count("|") >= 2 and n < 9 * line.count("|") or line.count("\t") and n < 6 * line.count("\t") and not (ends and n > 12) or len(_COLUMNS.findall(line)) >= 2 and not (ends and n > 12) or _LEADER.search(line) and n < 25:
-        return "cell"
-    separators = max(line.count(";"), line.count('","'), line.count('";"'))
-    if separators >= 2 and n < 4 * (separators + 1) or digits * 2.5 >= n and n > 2 and not ends:
-        return "cell"
-    if n <= 10 and not ends and _PAIR.match(line):
-        return "pair"
-    if (n - digits - sum(map(str.isalpha, found))) * 3 > n:
-        return "residue"
-    if n >= 20 and line.count(",") * 4 > n or n >= 20 and sum(map(_ALL.__contains__, map(str.lower, found))) < 0.12 * n:
-        return "words"
-    if ends and n >= 4 or n >= 22:
-        return "sentence"
-    return "title"
-
-
-_ALL = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
+class Signs:
+    """Of some texts, the counts of their classes of characters and of the pairs of their runs."""
+
+    def __init__(self, texts: list[str]):
+        joined = [t.strip() + "\n" for t in texts]
+        raw = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = _char_table()[np.minimum(raw, 0xFFFF)]
+        sizes = np.array([len(t) for t in joined])
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        self.chars = np.bincount(owner * len(CHARS) + chars, minlength=len(texts) * len(CHARS)).reshape(len(texts), -1)
+        letter, upper, digit, blank, line = range(5)
+        big = chars == upper
+        base = np.where(big, letter, chars)
+        fresh = np.r_[True, (base[1:] != base[:-1]) | (owner[1:] != owner[:-1])] if len(base) else np.zeros(0, bool)
+        start = np.flatnonzero(fresh)
+        length = np.diff(np.r_[start, len(base)])
+        kind, whose = base[start], owner[start]
+        bigs = np.add.reduceat(big.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        run = kind.astype(np.int64) + RUNS.index("terminal") - CHARS.index("terminal")
+        words = kind == letter
+        run[words] = np.digitize(length, _WORD_BORDERS)[words]
+        run[words & (bigs == 1) & big[start]] = RUNS.index("Word")
+        run[words & (bigs > 0) & (bigs < length) & ~((bigs == 1) & big[start])] = RUNS.index("wOrd")
+        run[kind == digit] = RUNS.index("d1") + np.digitize(length[kind == digit], _DIGIT_BORDERS)
+        run[kind == blank] = RUNS.index("b1") + (length[kind == blank] > 1)
+        breaks = kind == line
+        # the length of a line is counted from the break before it, which every text's predecessor ends with
+        run[breaks] = RUNS.index("n0") + np.digitize(start[breaks] - np.r_[0, (start + length)[breaks]][:-1], _LINE_BORDERS)
+        same = whose[1:] == whose[:-1]
+        keys, counts = np.unique((whose[:-1] * PAIRS + run[:-1] * len(RUNS) + run[1:])[same], return_counts=True)
+        at, pair = np.divmod(keys, PAIRS)
+        borders = np.searchsorted(at, np.arange(len(texts) + 1))
+        self.pairs = [(pair[a:b], counts[a:b].astype(float)) for a, b in zip(borders, borders[1:], strict=False)]
+
+
+PAIRS = len(RUNS) ** 2
 
 
 def word_counts(found: list[str]) -> dict[str, np.ndarray]:
-    """Per language, how often each of its function words occurs, and last all other words."""
+    """Per language, how many words are function words of each part of speech, and last all other words."""
     counts = Counter(found)
     out = {}
-    for lang, known in FUNCTION_WORDS.items():
-        own = [counts.get(w, 0) for w in known]
-        out[lang] = np.array([*own, len(found) - sum(own)], float)
+    for lang, part in _PART.items():
+        own = [0] * 7
+        for w in counts.keys() & part.keys():
+            own[part[w]] += counts[w]
+        own[6] = len(found) - sum(own)
+        out[lang] = np.array(own, float)
     return out
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon divergence, between 0 and 1, of two vectors of counts."""
     p, q = p / max(p.sum(), 1e-9), q / max(q.sum(), 1e-9)
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return float((np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()) / 2)
+    at = np.flatnonzero(p)
+    return float(Profiles(q[None]).divergences(at, p[at])[0])
+
+
+class Profiles:
+    """Distributions (rows) that others are compared with."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows.T.astype(np.float32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.own = np.where(self.rows > 0, self.rows * np.log2(self.rows), 0)
+
+    def divergences(self, at: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The divergence of each row from a distribution that is ``p`` at the places ``at`` and 0 elsewhere.
+
+        Where it is 0, a row's share q adds q to the sum: these places together add what the row has not at the others.
+        """
+        if not len(at):
+            return np.ones(self.rows.shape[1])
+        p = (p / p.sum()).astype(np.float32)[:, None]
+        q = self.rows[at]
+        both = p + q
+        inside = (self.own[at] - both * np.log2(both / 2)).sum(axis=0) + (p * np.log2(p)).sum()
+        return np.clip((inside + 1 - q.sum(axis=0)) / 2, 0, 1)
 
 
 #: Exemplars of each structure; those of prose by language.
@@ -192,18 +201,28 @@ EXEMPLARS = {
     ("prose", "en"): [
         "The river had been rising since noon, and by the evening it was close to the lower gardens. Nobody in the village was surprised, because it happens in most years. When the water reached the bridge, two men from the council put up a sign and told us that we could not cross until the next day.",
         "A good loaf takes time. You can leave the dough overnight if the kitchen is cold, but it should not dry out. My grandmother always said that the crust is the best part, and for once we all agree with her. There are many ways to shape it, from a simple round to a long plait.",
+        "Every autumn the workshop near the station repairs about forty chairs, and most of them come back with a new seat. Anna Berger runs it with her brother, who paints the old frames by hand. The waiting list is long, so it is better to ask before the end of May. You will find both of them behind the post office.",
+        "Our school has a small orchard and a shed for tools. Nobody expected that the trees would carry so much fruit in the third year. In the afternoon the children pick apples, wash them and press the juice, but they never use sugar. What is left goes to the market or to the neighbours.",
     ],
     ("prose", "de"): [
         "Der Fluss war seit dem Mittag gestiegen, und am Abend stand er schon bei den unteren Gärten. Im Dorf war niemand überrascht, weil es in den meisten Jahren so ist. Als das Wasser die Brücke erreichte, stellten zwei Männer ein Schild auf und sagten uns, dass wir erst am nächsten Tag wieder gehen können.",
         "Ein gutes Brot braucht Zeit. Man kann den Teig über Nacht stehen lassen, wenn die Küche kalt ist, doch er darf nicht trocken werden. Meine Großmutter sagte oft, dass die Kruste das Beste ist, und wir sind auch dieser Meinung.",
+        "Jeden Herbst repariert die Werkstatt am Bahnhof etwa vierzig Stühle, und die meisten kommen mit einem neuen Sitz zurück. Anna Berger führt sie mit ihrem Bruder, der die alten Rahmen von Hand streicht. Die Liste ist lang, darum fragt man besser vor Ende Mai. Sie finden beide hinter der Post.",
+        "Unsere Schule hat einen kleinen Obstgarten und einen Schuppen für Geräte. Niemand hat gedacht, dass die Bäume im dritten Jahr so viel tragen. Am Nachmittag pflücken die Kinder Äpfel, waschen sie und pressen den Saft, aber sie nehmen nie Zucker. Was übrig bleibt, geht auf den Markt oder zu den Nachbarn.",
     ],
     ("prose", "fr"): [
         "La rivière montait depuis midi, et le soir elle était déjà près des jardins du bas. Dans le village, personne n'était surpris, parce que c'est ainsi presque chaque année. Quand l'eau est arrivée au pont, deux hommes de la mairie ont posé un panneau et nous ont dit qu'il ne fallait pas passer avant le lendemain.",
         "Un bon pain demande du temps. Vous pouvez laisser la pâte toute la nuit si la cuisine est froide, mais il ne faut pas qu'elle sèche. Ma grand-mère disait souvent que la croûte est la meilleure partie, et nous sommes d'accord avec elle.",
+        "Chaque automne, l'atelier près de la gare répare une quarantaine de chaises, et la plupart reviennent avec un siège neuf. Anne Berger le dirige avec son frère, qui peint les vieux cadres à la main. La liste d'attente est longue, il vaut donc mieux demander avant la fin du mois de mai. Vous les trouverez tous les deux derrière la poste.",
+        "Notre école possède un petit verger et une remise pour les outils. Personne ne pensait que les arbres donneraient autant de fruits la troisième année. L'après-midi, les enfants cueillent les pommes, les lavent et pressent le jus, mais ils n'ajoutent jamais de sucre. Ce qui reste part au marché ou chez les voisins.",
+        "D'après le maire, l'eau de la source n'est plus aussi claire qu'avant, et il faut la filtrer à l'entrée du lavoir. Si le débit baisse encore, c'est l'ancienne citerne qui alimente le quartier, dit Paul Girard.",
     ],
     ("prose", "es"): [
         "El río subía desde el mediodía, y por la tarde ya estaba cerca de los huertos de abajo. En el pueblo nadie se sorprendió, porque es así casi todos los años. Cuando el agua llegó al puente, dos hombres del ayuntamiento pusieron un cartel y nos dijeron que no se podía pasar hasta el día siguiente.",
         "Un buen pan necesita tiempo. Usted puede dejar la masa toda la noche si la cocina es fría, pero no debe secarse. Mi abuela decía que la corteza es la mejor parte, y en eso estamos de acuerdo con ella.",
+        "Cada otoño el taller de la estación repara unas cuarenta sillas, y la mayoría vuelve con un asiento nuevo. Ana Berger lo lleva con su hermano, que pinta a mano los viejos marcos. La lista de espera es larga, así que es mejor preguntar antes de finales de mayo. Usted los encontrará a los dos detrás de correos.",
+        "Nuestra escuela tiene un pequeño huerto y un cobertizo para las herramientas. Nadie pensaba que los árboles darían tanta fruta en el tercer año. Por la tarde los niños recogen las manzanas, las lavan y hacen zumo, pero nunca ponen azúcar. Lo que sobra va al mercado o a casa de los vecinos.",
+        "Según el alcalde, el agua de la fuente ya no es tan clara como antes, y hay que filtrarla a la entrada del lavadero. Si el caudal baja todavía más, la antigua cisterna sirve al barrio, dice Pablo Gil.",
     ],
     ("list", "bullets"): ["- apples from the garden\n- two loaves of bread\n- Soap for the kitchen\n- string\n- a box of nails\n- Paper and pens", "• Milch\n• das Brot\n• Nägel für die Werkstatt\n• Der Schlüssel\n• Seife", "1. le pain\n2. la farine de blé\n3. deux œufs\n4. du sel", "[x] el pan\n[ ] la llave del taller\n[x] dos libros\n[ ] jabón"],
     ("list", "titles"): ["Bread and water in Oldham\nWhy the mill stands still\nThe garden of Hill Farm: a slow start\nHow a baker changes the town\nWinter roads", "Home\nOur shop\nContact\nDelivery\nOpening hours\nOldham\nWhitby\nDerby\nHull", "Le moulin de Tours : un matin calme\nComment le boulanger aide la ville\nTours\nLyon\nAccueil"],
@@ -217,86 +236,92 @@ EXEMPLARS = {
 }
 
 
-def shape(text: str) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """The counts of a text: characters by the form of their line, characters by class, function words by language."""
-    forms = dict.fromkeys(FORMS, 0)
-    for line in unwrap(text.splitlines()):
-        forms[form(line)] += len(line)
-    return np.array([*forms.values()], float), char_counts(text), word_counts(_WORD.findall(text.lower()))
+#: A stock of entries of lists and tables in each language, and values of cells.
+ENTRIES = {
+    "en": ["bread", "the old mill", "Soap for the kitchen", "two loaves and a jar of jam", "winter roads", "Nails, screws and small parts for the shed", "oven", "How a baker changes the town", "12 small boxes with lids for Derby", "the river at night", "paper and pens", "A quiet garden behind the school: late summer", "string", "Blue coat with wooden buttons from Hull", "baker", "flour"],
+    "de": ["das Brot", "die alte Mühle", "Seife für die Küche", "zwei Brote und ein Glas Honig", "Winter", "Nägel und Schrauben für den Schuppen", "der Ofen", "Wie ein Bäcker die Stadt verändert", "12 kleine Kisten mit Deckel für Kassel", "der Fluss bei Nacht", "Papier und Stifte", "Ein stiller Garten hinter der Schule: Spätsommer", "Schnur", "Der blaue Mantel mit Knöpfen aus Halle", "der Bäcker", "das Mehl"],
+    "fr": ["le pain", "le vieux moulin", "Savon pour la cuisine", "deux pains et un pot de miel", "l'hiver", "Des clous et des vis pour la remise", "le four", "Comment un boulanger change la ville", "12 petites boîtes avec couvercle pour Lyon", "la rivière de nuit", "du papier et des stylos", "Un jardin calme derrière l'école : fin d'été", "la ficelle", "Le manteau bleu à boutons de Tours", "le boulanger", "la farine de blé"],
+    "es": ["el pan", "el viejo molino", "Jabón para la cocina", "dos panes y un tarro de miel", "el invierno", "Clavos y tornillos para el cobertizo", "el horno", "Cómo un panadero cambia la ciudad", "12 cajas pequeñas con tapa para Cádiz", "el río de noche", "papel y plumas", "Un jardín tranquilo detrás de la escuela: fin de verano", "la cuerda", "El abrigo azul con botones de León", "el panadero", "la harina de trigo"],
+}
+VALUES = ["12", "3,50 €", "n/a", "blue", "871", "-", "14.2.2019", "9.99", "0", "Whitby", "5200", "yes", "7 %", "1.4.2020", "44", "18,20 €"]
+#: Page chrome beside prose.
+CHROME = "Home | About us | Contact"
 
 
-@functools.lru_cache(maxsize=1)
-def profiles() -> list[tuple[str, str, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
-    """Structure, name and mean distributions of each profile."""
-    out = []
-    for (kind, name), texts in EXEMPLARS.items():
-        shapes = [shape(t) for t in texts]
-        share = lambda x: x / max(x.sum(), 1e-9)
-        words = {lang: sum(share(s[2][lang]) for s in shapes) for lang in FUNCTION_WORDS}
-        out.append((kind, name, sum(share(s[0]) for s in shapes), sum(share(s[1]) for s in shapes), words))
-    return out
+def prose_forms(text: str) -> list[str]:
+    """A text of prose, and the same as it is printed elsewhere."""
+    sentences = text.replace(". ", ".\n").split("\n")
+    title = " ".join(re.findall(r"\w+", sentences[0])[:7])
+    plain = re.sub(r"[^\w\s']", "", text)
+    return [text, textwrap.fill(text, 70), textwrap.fill(text, 45), textwrap.fill(text, 30), "\n".join(sentences), plain, textwrap.fill(plain, 60), re.sub(" ", "  ", textwrap.fill(text.title(), 60)), f"{title}\n\n{text}", f"{title}\n{sentences[0]}", f"{CHROME}\n{title}: {title}\n{text}", f"{title}\n\n{text}\n- {title}\n- {title}\n{sentences[-1]}"]
 
 
-def _divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Divergences of distributions (rows) from each of others (columns of the result)."""
-    p = (p / np.maximum(p.sum(axis=1, keepdims=True), 1e-9))[:, None]
-    q = q[None]
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return (np.where(p > 0, p * np.log2(p / m), 0).sum(axis=2) + np.where(q > 0, q * np.log2(q / m), 0).sum(axis=2)) / 2
+def rendered(entries: list[str]) -> list[tuple[str, str, str]]:
+    """Structure, name and text of each way to print some entries that isn't prose."""
+    out = []
+    number = list(enumerate(entries))
+    for marks in (["- "], ["* "], ["• "], ["» "], ["- ", "* "], ["[x] ", "[ ] "], [f"{i + 1}. " for i, _ in number], [f"{chr(97 + i)}) " for i, _ in number]):
+        out.append(("list", "bullets", "\n".join(marks[i % len(marks)] + x for i, x in number)))
+    out.append(("list", "titles", "\n".join(entries)))
+    short = [x for x in entries if len(x) < 18] or entries
+    out += [("list", "keywords", sep.join(short * 3)) for sep in (", ", " | ", " / ", " · ", "; ")]
+    value = lambda i, k=1, start=0: VALUES[(i * k + start) % len(VALUES)]
+    out.append(("table", "leaders", "\n".join(f"{x} {'.' * (5 + 7 * i % 23)} {17 * i + 3}" for i, x in number)))
+    for sep in (" | ", "\t", ";", "   ", ","):
+        out.append(("table", "cells", "\n".join(sep.join([x, value(i), value(i, 5, 3), value(i, 3, 1)]) for i, x in number)))
+        out.append(("table", "cells", "\n".join(sep.join([x, entries[i - 1], value(i)]) for i, x in number)))
+    out.append(("table", "cells", "\n".join('"' + '","'.join([x, value(i), value(i, 5, 3), value(i, 3, 1)]) + '"' for i, x in number)))
+    out.append(("table", "cells", "\n".join("| " + " | ".join([x, value(i), value(i, 5, 3)]) + " |" for i, x in number)))
+    out += [("table", "pairs", "\n".join(x + sep + value(i) for i, x in number)) for sep in (": ", " = ", " : ")]
+    return out
 
 
 @functools.lru_cache(maxsize=1)
-def _stacked():
-    rows = lambda xs: np.array([x / max(x.sum(), 1e-9) for x in xs])
-    found = profiles()
-    return [(p[0], p[1]) for p in found], rows([p[2] for p in found]), rows([p[3] for p in found]), {lang: rows([p[4][lang] for p in found]) for lang in FUNCTION_WORDS}
+def profiles() -> tuple[list[tuple[str, str]], Profiles, dict[str, Profiles]]:
+    """Structure and name of each profile, and its distributions."""
+    texts = [(kind, name, x) for (kind, name), xs in EXEMPLARS.items() for t in xs for x in (prose_forms(t) if kind == "prose" else [t])]
+    for lang, entries in ENTRIES.items():
+        for some in (entries, [x for x in entries if len(x) < 18], [x for x in entries if len(x) >= 18]):
+            texts += rendered(some)
+        plain = [w for w in re.findall(r"\w+", " ".join(entries).lower()) if w not in _PART[lang] and w.isalpha()]
+        texts += [("list", "keywords", " ".join(plain * 2)), ("list", "keywords", " ".join(plain[i * i % 11] for i in range(80)))]
+    found = Signs([x for *_, x in texts])
+    pairs = np.zeros((len(texts), PAIRS))
+    for row, (at, k) in zip(pairs, found.pairs, strict=True):
+        row[at] = k / k.sum()
+    words = [word_counts(_WORD.findall(x.lower())) for *_, x in texts]
+    share = lambda x: x / max(x.sum(), 1e-9)
+    return [(kind, name) for kind, name, _ in texts], Profiles(pairs), {lang: Profiles(np.array([share(w[lang]) for w in words])) for lang in FUNCTION_WORDS}
 
 
-_LANGUAGES = tuple(FUNCTION_WORDS)
 _EMPTY = (0, None, None, 0, None, None, None, None, None, "empty")
 
 
-def _measure(text: str, lang: str | None) -> tuple:
-    """Basic counts of a text, and its three distributions."""
-    split = text.splitlines()
-    lines = [x for x in map(str.strip, split) if x]
-    forms = dict.fromkeys(FORMS, 0)
-    for line in unwrap(split):
-        forms[form(line)] += len(line)
-    chars = char_counts(text)
-    found = _WORD.findall(text.lower())
-    counts = Counter(found)
-    get = counts.get
-    own = {k: [get(w, 0) for w in known] for k, known in FUNCTION_WORDS.items()}
-    totals = {k: sum(v) for k, v in own.items()}
-    near = max(_LANGUAGES, key=totals.__getitem__)
-    code = (lang or "").strip().lower()[:2]
-    code = code if code in FUNCTION_WORDS else near
-    n = len(found)
-    symbols = int(chars[CHARS.index("symbol")] + chars[CHARS.index("bracket")] + chars[CHARS.index("odd")])
-    ends = sum(x[-1] in _TERMINAL or x[-1] not in "'\"" and x.rstrip("'\"»”’)")[-1:] in _TERMINAL for x in lines)
-    basic = (n, sum(map(len, found)) / n if n else None, symbols / len(text), len(lines), ends / len(lines) if lines else None, totals[code] / n if n else None, code)
-    return basic, list(forms.values()), chars, near, [*own[near], n - totals[near]]
-
-
 def judge_all(texts: list[str | None], langs: list[str | None]) -> list[tuple]:
     """(n_words, mean_word_length, symbol_share, lines, punctuated_share, common_share, language, prose_divergence, profile, verdict) of each text."""
     out: list[tuple] = [_EMPTY] * len(texts)
     live = [i for i, t in enumerate(texts) if t and t.strip()]
     if not live:
         return out
-    measured = [_measure(texts[i], langs[i]) for i in live]
-    names, f, c, w = _stacked()
-    score = WEIGHTS[0] * _divergences(np.array([m[1] for m in measured], float), f) + WEIGHTS[1] * _divergences(np.array([m[2] for m in measured], float), c)
-    for lang in _LANGUAGES:
-        at = [k for k, m in enumerate(measured) if m[3] == lang]
-        if at:
-            score[at] += WEIGHTS[2] * _divergences(np.array([measured[k][4] for k in at], float), w[lang])
-    best = score.argmin(axis=1)
-    prose = score[:, [k for k, name in enumerate(names) if name[0] == "prose"]].min(axis=1)
-    for i, m, k, d in zip(live, measured, best.tolist(), prose.tolist(), strict=True):
-        out[i] = (*m[0], d, ":".join(names[k]), names[k][0])
+    names, classes, words = profiles()
+    prose = np.array([kind == "prose" for kind, _ in names])
+    signs = Signs([texts[i] for i in live])
+    symbols = signs.chars[:, [CHARS.index(c) for c in ("bracket", "cell", "bullet", "symbol", "odd")]].sum(axis=1)
+    for k, i in enumerate(live):
+        text = texts[i]
+        lines = [x for x in map(str.strip, text.splitlines()) if x]
+        ends = sum(x[-1] in _TERMINAL or x.rstrip("'\"»”’)")[-1:] in _TERMINAL for x in lines)
+        found = _WORD.findall(text.lower())
+        n = len(found)
+        counts = word_counts(found)
+        near = max(FUNCTION_WORDS, key=lambda lang: counts[lang][:-1].sum())
+        code = (langs[i] or "").strip().lower()[:2]
+        code = code if code in FUNCTION_WORDS else near
+        at = np.flatnonzero(counts[near])
+        score = WEIGHTS[0] * classes.divergences(*signs.pairs[k]) + WEIGHTS[1] * words[near].divergences(at, counts[near][at])
+        best = int(score.argmin())
+        basic = (n, sum(map(len, found)) / n if n else None, int(symbols[k]) / len(text), len(lines), ends / len(lines) if lines else None, counts[code][:-1].sum() / n if n else None, code)
+        out[i] = (*basic, float(score[prose].min()), ":".join(names[best]), names[best][0])
     return out
 
 
@@ -306,15 +331,24 @@ def judge(text: str | None, lang: str | None = None) -> tuple:
 
 
 SCHEMA = "doc_id bigint, n_words int, mean_word_length double, symbol_share double, n_lines int, punctuated_share double, common_share double, language string, prose_divergence double, profile string, verdict string"
+#: Characters of the texts that are judged at once (about).
+BATCH_CHARS = 400_000
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.string(), pa.string())
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
-        rows = judge_all(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+    for batch in batches:
+        texts, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        begin = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size < BATCH_CHARS and i < len(texts) - 1:
+                continue
+            rows = judge_all(texts[begin : i + 1], langs[begin : i + 1])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), *columns], names=names)
+            begin, size = i + 1, 0
 
 
 def statistics(documents: DataFrame) -> DataFrame:

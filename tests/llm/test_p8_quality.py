@@ -40,7 +40,30 @@ def test_rest(text):
 def test_divergence():
     a, b = np.array([1.0, 3.0]), np.array([4.0, 0.0])
     assert ql.divergence(a, a) == 0 and ql.divergence(np.array([1, 0.0]), np.array([0, 1.0])) == pytest.approx(1)
-    assert ql._divergences(a[None], (b / 4)[None])[0, 0] == pytest.approx(ql.divergence(a, b))
+    p, q = a / 4, b / 4
+    m = (p + q) / 2
+    plain = sum((x * np.log2(x / y) for x, y in zip([*p, *q], [*m, *m], strict=True) if x), 0.0) / 2
+    assert ql.divergence(a, b) == pytest.approx(plain, abs=1e-6)
+
+
+def test_signs():
+    one, two = ql.Signs(["Ab cd,\n12", "x"]), ql.Signs(["x", "Ab cd,\n12"])
+    assert all((p == q).all() for p, q in zip(one.pairs[0], two.pairs[1], strict=True))
+    named = {(ql.RUNS[k // len(ql.RUNS)], ql.RUNS[k % len(ql.RUNS)]): n for k, n in zip(*one.pairs[0], strict=True)}
+    assert named == {("Word", "b1"): 1, ("b1", "w2"): 1, ("w2", "comma"): 1, ("comma", "n0"): 1, ("n0", "d1"): 1, ("d1", "n0"): 1}
+    assert one.chars[0].sum() == 10 and one.chars[1].sum() == 2
+
+
+@pytest.mark.parametrize("text", [EN, "- red apples\n- green pears\n- white bread\n- soap"])
+def test_divergences_decide(text):
+    """The verdict is the structure of the profile with the least weighted divergence, worked out plainly."""
+    names, classes, words = ql.profiles()
+    signs, found = ql.Signs([text]), ql.word_counts(ql._WORD.findall(text.lower()))["en"]
+    at, k = signs.pairs[0]
+    full = np.zeros(ql.PAIRS)
+    full[at] = k
+    score = [ql.WEIGHTS[0] * ql.divergence(full, classes.rows[:, i]) + ql.WEIGHTS[1] * ql.divergence(found, words["en"].rows[:, i]) for i in range(len(names))]
+    assert ql.judge(text, "en")[-1] == names[int(np.argmin(score))][0]
 
 
 def test_table(spark):
