@@ -1,17 +1,24 @@
-"""Main content of pages, by a linear-chain conditional random field over their blocks.
+"""Main content of pages, by a linear-chain conditional random field over the leaf blocks of their documents.
 
-Each block is described by features of its text, type, place, neighbours and likeness to the page's navigation and footer;
-the field scores labels (body or surroundings) with their transitions, and Viterbi decodes a page as a whole. Weights are
-trained with forward-backward gradients on a bounded sample of pages (``TRAIN_PAGES``), labelled by the rules of
-``teach``: they name phrases that are surroundings anywhere, and the page's own navigation and footer. Decoding covers
-every page.
+A page is the chain of its leaves in document order: its navigation, its content blocks, its footer. Each leaf is described
+by features of its ancestor tags, text, type, place, neighbours and likeness to the page's navigation and footer; the
+field scores labels (body or surroundings) with their transitions, and Viterbi decodes a page as a whole.
+
+The field is trained by gradients of forward-backward expectations on labelled pages: at first the hand-labelled ones of
+``labelled_pages``, then also a bounded sample of the table (``TRAIN_PAGES``), whose labels come from the ancestors of its leaves
+(what stands in a ``nav`` or ``footer`` is surroundings, and so is a content block with the text of some page's footer) and else from
+the field of the round before: a text that several pages hold gets the label of most of them, another one counts as surroundings
+only if the field is sure (``SURE``). No rule of wording labels or decodes a page. Decoding covers every page and whole texts.
+
+The fitted field is kept for the session, so that several queries on one table fit it once; ``save`` and ``load`` keep it longer.
 
 Defined results: pages without blocks have no rows; null texts and items are empty; null sites have no name to compare;
-redelivered rows count once; a table too small to train on still trains on what is there; extra columns are ignored.
+redelivered rows count once; a table too small to train on still has the hand-labelled pages; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,37 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most pages of the labelled sample the field is fitted on; the sample is by hash of page_id.
-TRAIN_PAGES = 4_000
+from pagemill.llm import labelled_pages
+
+#: Most pages of the table's sample that the field is fitted on (those of the smallest hashes of page_id), and hand-labelled ones.
+TRAIN_PAGES, HAND_PAGES = 2_000, 2_000
 DIMENSIONS = 1 << 16
-EPOCHS, RATE, PENALTY = 60, 0.12, 2e-6
-#: A text of more words is body text whatever else it holds.
-LONG = 40
+EPOCHS, RATE, PENALTY = 20, 0.12, 2e-6
+#: How sure the field must be of a text that few pages hold, and rounds of labelling the sample.
+SURE, ROUNDS = 0.7, 1
+#: A label of navigation that this share of all sites use, but three at least, is known for all sites; so there are at most a site's labels over the share.
+KNOWN_SHARE = 0.001
 _WORD = re.compile(r"[^\W_]+|[©›]")
 _PARTS = re.compile(r"\s*[|·•/›»>]\s*")
 _DATE = re.compile(r"\W*\d{1,4}[./-]\d{1,2}[./-]\d{2,4}\W*$")
 _HOST_PARTS = {"www", "shop", "docs", "blog", "example", "com", "org", "net"}
 COLUMNS = ["page_id", "site", "types", "levels", "texts", "items", "purposes", "nav", "footer_texts", "footer_items"]
-
-#: Phrases of page surroundings, on lower-case words with the site's name as "H" (fixed values).
-PHRASES = {
-    "legal": ["©", "copyright # H", "copyright H", "all rights reserved", "tous droits réservés", "alle rechte vorbehalten", "alle rechte bei H", "todos los derechos reservados", "errors and omissions excepted", "H is a trading name", "terms of use privacy statement and imprint", "pictures are for illustration", "for statutory notices write to", "impressum und nutzungsbedingungen von", "mentions légales et conditions de", "aviso legal y condiciones de", "alle preise von H", "les prix de H", "los precios de H"],
-    "consent": ["cookies help us", "we use cookies", "small files on your device", "would like your consent", "partners use cookies", "your privacy matters", "before you continue to H", "dépose de petits fichiers", "nous utilisons des cookies", "guarda pequeños archivos", "usamos cookies", "wir verwenden cookies", "speichert kleine dateien", "accept all cookies", "alle akzeptieren", "tout accepter", "aceptar todo", "nur notwendige", "only necessary", "manage preferences"],
-    "share": ["share this page", "share article by", "send to a friend", "tell others about H", "did you like it", "was this helpful", "follow H", "diese seite teilen", "gefällt ihnen der beitrag", "partager cette page", "cet article vous plaît", "comparte esta página", "le gusta el artículo", "folgen sie H", "suivez H", "siga a H"],
-    "newsletter": ["subscribe to the H newsletter", "readers of H news by e mail", "get our monthly letter", "ten percent off your first order", "newsletter von H", "recevez la lettre de H", "reciba el boletín de H"],
-    "advertising": ["some links on H are paid", "werbung auf H"],
-    "skip": ["skip to main content", "skip to content", "jump to content", "zum inhalt springen", "aller au contenu", "saltar al contenido"],
-}
-#: Headings that are surroundings as a whole; those of ``related`` and ``topics`` take the list below with them (fixed values).
-HEADINGS = {
-    "advertising": ["advertisement", "sponsored content", "anzeige", "werbung", "publicité", "contenu sponsorisé", "publicidad", "contenido patrocinado", "gesponserter inhalt"],
-    "related": ["related articles", "you might also like", "popular this week", "more from H", "ähnliche beiträge", "das könnte sie auch interessieren", "articles similaires", "à lire aussi sur H", "artículos relacionados", "también le puede interesar", "mehr von H", "más de H", "mehr aus H"],
-    "topics": ["tags and topics", "browse by topic", "themen und schlagwörter", "thèmes et mots clés", "temas y etiquetas"],
-}
-#: Openings of bylines (fixed values).
-BYLINES = re.compile(r"(?:written by|by|von|autor|autorin|escrito por|por|par|rédigé par|publié par|geschrieben von|verfasst von) ")
-_READING = re.compile(r"\b(?:min read|lesezeit|lecture|lectura|min de)\b")
-_UPDATED = re.compile(r"\b(?:updated|stand|mis à jour|actualizado|aktualisiert)\b")
+#: The tags that end the path to a leaf of each type.
+TAGS = {"paragraph": "p", "list": "ul>li", "form": "form", "quote": "blockquote", "code": "pre", "image": "figure>img", "table": "table", "definitionlist": "dl", "embed": "iframe", "media": "video"}
 
 
 def host_words(site: str | None) -> frozenset[str]:
@@ -65,25 +58,27 @@ def letters(text: str) -> str:
 
 
 class Block:
-    """What rules and features need of one block."""
+    """What features need of one leaf."""
 
-    __slots__ = ("kind", "level", "text", "items", "purpose", "words", "n", "key", "nav", "lexicon", "footer", "parts")
+    __slots__ = ("kind", "level", "text", "items", "purpose", "words", "n", "key", "nav", "lexicon", "footer", "parts", "tags")
 
-    def __init__(self, kind, level, text, items, purpose, hosts, own, lexicon, footer):
+    def __init__(self, kind, level, text, items, purpose, hosts, own, lexicon, footer, root="main"):
+        """``root`` is the region that the leaf stands in: nav, main or footer."""
         self.kind, self.level, self.purpose = kind or "", level or 0, purpose or ""
+        self.tags = f"{root}>{f'h{self.level}' if self.kind == 'heading' else TAGS.get(self.kind, self.kind)}"
         self.text = text or ""
         self.items = [i for i in items or () if i]
         whole = self.text or " | ".join(self.items)
         found = _WORD.findall(whole.lower())
         self.n = len(found)
         words: list[str] = []
-        for w in found[: 2 * LONG]:
+        for w in found:
             w = "H" if w in hosts else "#" if w.isdigit() else w
             if w != "H" or not words or words[-1] != "H":
                 words.append(w)
         self.words = words
         self.key = " ".join(words)
-        self.parts = self.items or (_PARTS.split(self.text.strip()) if self.n <= LONG and self.kind == "paragraph" else [])
+        self.parts = self.items or (_PARTS.split(self.text.strip()) if self.kind == "paragraph" else [])
         self.nav = self.lexicon = 0.0
         if len(self.parts) > 1 or self.items:
             flat = [letters(p) for p in self.parts]
@@ -92,52 +87,19 @@ class Block:
         self.footer = bool(self.text) and letters(self.text) in footer
 
 
-def blocks_of(row: tuple, lexicon: frozenset[str]) -> list[Block]:
-    """The blocks of one page; ``row`` has the values of ``COLUMNS`` but page_id."""
+def chain(row: tuple, lexicon: frozenset[str]) -> tuple[list[Block], int, int]:
+    """The leaves of one page, and where its content blocks begin and end among them; ``row`` has the values of ``COLUMNS`` but page_id."""
     site, types, levels, texts, items, purposes, nav, footer_texts, footer_items = row
     hosts = host_words(site)
     own = {letters(x) for x in nav or () if x} | {letters(x) for xs in footer_items or () for x in xs or () if x}
     footer = {letters(x) for x in footer_texts or () if x}
     own.discard("")
-    return [Block(*b, hosts, own, lexicon, footer) for b in zip(types or (), levels or (), texts or (), items or (), purposes or (), strict=True)]
-
-
-def teach(blocks: list[Block]) -> list[int]:
-    """Labels by rule: 1 for surroundings."""
-    out: list[int] = []
-    above = ""
-    for b in blocks:
-        label, name = 0, ""
-        short = b.n <= LONG and "\n" not in b.text.strip()
-        if b.kind == "form":
-            label = int(b.purpose in ("newsletter", "search"))
-        elif b.kind in ("heading", "paragraph") and short:
-            padded = f" {b.key} "
-            name = next((k for k, v in HEADINGS.items() if b.key in v), "")
-            capital = [w for w in re.findall(r"[^\W\d_]+", b.text)]
-            if name or any(f" {p} " in padded for v in PHRASES.values() for p in v):
-                label = 1
-            elif b.kind == "paragraph":
-                dots = b.text.count("·")
-                named = 2 <= len(capital) <= 3 and all(w[0].isupper() and w[1:].islower() for w in capital) and b.text.strip()[-1:] not in ".!?:"
-                if _DATE.match(b.text) or named and b.n <= len(capital) + 4:
-                    label = 1
-                elif "›" in b.text and b.n <= 20 or len(b.parts) >= 3 and max(b.nav, b.lexicon) >= 0.5:
-                    label = 1
-                elif BYLINES.match(b.key) and (_READING.search(b.key) or _UPDATED.search(b.key) or dots or b.n <= 4 and b.text.strip()[-1:] != "."):
-                    label = 1
-                elif b.key.startswith("H ") and re.match(r"\W*[^:]{3,40}:\s", b.text) and not re.search(r"[a-zà-ÿ]{2}[.!?]\W*$", b.text) and b.n <= 20:
-                    label = 1
-        elif b.kind == "list":
-            if above in ("related", "topics"):
-                label = 1
-            elif b.items and max(b.nav, b.lexicon) >= 0.6:
-                label = 1
-            elif any(f" {p} " in f" {b.key} " for p in PHRASES["consent"]):
-                label = 1
-        out.append(label)
-        above = name
-    return out
+    leaves = [Block("list", 0, None, nav, None, hosts, own, lexicon, frozenset(), "nav")] if nav else []
+    begin = len(leaves)
+    leaves += [Block(*b, hosts, own, lexicon, footer) for b in zip(types or (), levels or (), texts or (), items or (), purposes or (), strict=True)]
+    end = len(leaves)
+    leaves += [Block("list" if i else "paragraph", 0, t, i, None, hosts, own, lexicon, footer, "footer") for t, i in zip(footer_texts or (), footer_items or (), strict=True)]
+    return leaves, begin, end
 
 
 _codes: dict[str, int] = {}
@@ -153,7 +115,7 @@ def _code(feature: str) -> int:
 
 
 def _size(n: int) -> int:
-    return n if n < 4 else 4 if n < 6 else 5 if n < 10 else 6 if n < 17 else 7 if n < 26 else 8 if n <= LONG else 9
+    return n if n < 4 else 4 if n < 6 else 5 if n < 10 else 6 if n < 17 else 7 if n < 26 else 8 if n <= 40 else 9
 
 
 def features(blocks: list[Block]) -> list[list[int]]:
@@ -164,10 +126,10 @@ def features(blocks: list[Block]) -> list[list[int]]:
     heads = ["^" if k < 0 else "$" if k > last else blocks[k].kind + ":" + " ".join(blocks[k].words[:4]) if blocks[k].n <= 8 and blocks[k].kind == "heading" else blocks[k].kind for k in range(-1, last + 2)]
     for i, b in enumerate(blocks):
         kind = b.kind[:2]
-        f = ["1", f"t{kind}", f"n{kind}{_size(b.n)}", f"<{heads[i]}", f"<{kind}{heads[i]}", f">{heads[i + 2]}", f"p{min(i, 3)}", f"q{min(last - i, 4)}", f"o{kind}{opened}"]
+        f = ["1", f"t{kind}", f"n{kind}{_size(b.n)}", f"<{heads[i]}", f"<{kind}{heads[i]}", f">{heads[i + 2]}", f"p{min(i, 3)}", f"q{min(last - i, 4)}", f"o{kind}{opened}", f"@{b.tags}"]
         if b.kind == "form":
             f.append(f"u{b.purpose}")
-        if b.n <= LONG and b.n:
+        if b.n:
             w = b.words
             f += [f"w{x}" for x in set(w)]
             f += [f"b{kind}{x} {y}" for x, y in zip(w, w[1:], strict=False)] if b.n <= 28 else []
@@ -199,6 +161,20 @@ def features(blocks: list[Block]) -> list[list[int]]:
     return out
 
 
+def _lattice(both: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward scores of each place and label, and each page's total, in logarithms."""
+    n, width, _ = both.shape
+    forward, backward = np.empty((n, width, 2)), np.zeros((n, width, 2))
+    forward[:, 0] = first + both[:, 0]
+    for t in range(1, width):
+        forward[:, t] = np.logaddexp(forward[:, t - 1, :1] + transitions[0], forward[:, t - 1, 1:] + transitions[1]) + both[:, t]
+    for t in range(width - 2, -1, -1):
+        ahead = both[:, t + 1] + backward[:, t + 1]
+        b = np.logaddexp(transitions[:, 0] + ahead[:, :1], transitions[:, 1] + ahead[:, 1:])
+        backward[:, t] = np.where((t + 1 < lengths)[:, None], b, 0)
+    return forward, backward, np.logaddexp(*np.moveaxis(forward[np.arange(n), lengths - 1], 1, 0))
+
+
 class Field:
     """Weights of features for surroundings, of transitions and of the first label."""
 
@@ -239,6 +215,15 @@ class Field:
                 at = np.where(lengths > t, back[t][np.arange(n), at], at)
         return [labels[i, :k] for i, k in enumerate(lengths)]
 
+    def marginals(self, pages: list[list[list[int]]]) -> list[np.ndarray]:
+        """How likely each leaf of some pages (none without leaves) is surroundings."""
+        if not pages:
+            return []
+        scores, lengths = self.emissions(pages), np.array([len(p) for p in pages])
+        forward, backward, total = _lattice(np.stack([np.zeros_like(scores), scores], axis=2), lengths, self.transitions, self.first)
+        p = np.exp(np.minimum(forward + backward - total[:, None, None], 0))[:, :, 1]
+        return [p[i, :k] for i, k in enumerate(lengths)]
+
 
 def _within(pages: list[list]) -> np.ndarray:
     return np.concatenate([np.arange(len(p)) for p in pages]) if pages else np.empty(0, np.int64)
@@ -271,15 +256,7 @@ def train(pages: list[list[list[int]]], labels: list[list[int]], epochs: int = E
             e = np.zeros((n, width))
             e[rows, columns] = np.bincount(owner, field.weights[ids], len(rows))
             both = np.stack([np.zeros_like(e), e], axis=2)
-            forward, backward = np.empty((n, width, 2)), np.zeros((n, width, 2))
-            forward[:, 0] = field.first + both[:, 0]
-            for t in range(1, width):
-                forward[:, t] = np.logaddexp(forward[:, t - 1, :1] + field.transitions[0], forward[:, t - 1, 1:] + field.transitions[1]) + both[:, t]
-            for t in range(width - 2, -1, -1):
-                ahead = both[:, t + 1] + backward[:, t + 1]
-                b = np.logaddexp(field.transitions[:, 0] + ahead[:, :1], field.transitions[:, 1] + ahead[:, 1:])
-                backward[:, t] = np.where((t + 1 < lengths)[:, None], b, 0)
-            total = np.logaddexp(*np.moveaxis(forward[np.arange(n), lengths - 1], 1, 0))
+            forward, backward, total = _lattice(both, lengths, field.transitions, field.first)
             p = np.exp(forward + backward - total[:, None, None])
             live = np.arange(width)[None] < lengths[:, None]
             step = np.zeros((2, 2))
@@ -317,22 +294,85 @@ def sample(page_data: DataFrame, most: int = TRAIN_PAGES) -> list[tuple]:
     return [rows[i] for i in sorted(rows)]
 
 
-def lexicon_of(rows: list[tuple], least: int = 3) -> frozenset[str]:
-    """Labels of navigation that several sites of the sample use."""
-    sites: dict[str, set] = {}
-    for row in rows:
-        for text in {*(row[7] or ()), *(x for xs in row[9] or () for x in xs or ())}:
-            if text:
-                sites.setdefault(letters(text), set()).add(row[1])
-    return frozenset(k for k, v in sites.items() if len(v) >= least and k)
+def lexicon_of(page_data: DataFrame, share: float = KNOWN_SHARE) -> frozenset[str]:
+    """Labels of navigation and of footer lists, as letters, that at least ``share`` of all sites (and three) use; all pages count."""
+    texts = F.flatten(F.filter(F.array(F.col("nav_links.text"), F.flatten(F.filter("footer_blocks.items", lambda x: x.isNotNull()))), lambda x: x.isNotNull()))
+    used = page_data.where("site IS NOT NULL").select("site", F.explode(texts).alias("label")).select("site", F.regexp_replace(F.lower("label"), r"[^\p{L}]", "").alias("label")).where("label <> ''").distinct()
+    sites = page_data.select("site").distinct().count()
+    counts = used.groupBy("label").agg(F.count("*").alias("k")).where(F.col("k") >= max(3, share * sites))
+    return frozenset(r[0] for r in counts.select("label").collect())
+
+
+def hand_labelled(number: int, lexicon: frozenset[str]) -> tuple[list[list[list[int]]], list[list[int]]]:
+    """Features and labels of the hand-labelled pages."""
+    known = lexicon | {letters(x) for v in labelled_pages.NAVIGATION.values() for x in v}
+    pages, labels = [], []
+    for blocks, y, nav, footer in labelled_pages.pages(number):
+        leaves, begin, end = chain((labelled_pages.SITE, *(list(c) for c in zip(*blocks, strict=True)), nav, footer, [None] * len(footer)), known)
+        pages.append(features(leaves))
+        labels.append([1] * begin + y + [1] * (len(leaves) - end))
+    return pages, labels
+
+
+def relabelled(field: Field, chains: list[tuple[list[Block], int, int]], pages: list[list[list[int]]], sure: float = SURE) -> list[list[int]]:
+    """Labels of the leaves of sampled pages: by their ancestors, by footers' texts, by what most pages with a text say, else by what the field is sure of."""
+    footers = {b.key for leaves, _, end in chains for b in leaves[end:] if b.n > 1}
+    order = [k for k in sorted(range(len(pages)), key=lambda k: len(pages[k])) if pages[k]]
+    likely: dict[int, np.ndarray] = {}
+    for at in range(0, len(order), 100):
+        likely.update(zip(order[at : at + 100], field.marginals([pages[k] for k in order[at : at + 100]]), strict=True))
+    votes: dict[tuple[str, str], list[float]] = {}
+    for k in order:
+        leaves, begin, end = chains[k]
+        for b, p in zip(leaves[begin:end], likely[k][begin:end].tolist(), strict=True):
+            if b.n:
+                votes.setdefault((b.kind, b.key), []).append(p)
+    out = []
+    for k, (leaves, begin, end) in enumerate(chains):
+        labels = [1] * len(leaves)
+        for i in range(begin, end):
+            b = leaves[i]
+            vote = votes.get((b.kind, b.key), ())
+            labels[i] = int(b.key in footers or (sum(vote) * 2 > len(vote) if len(vote) > 2 else likely[k][i] > sure))
+        out.append(labels)
+    return out
+
+
+Model = tuple[Field, frozenset[str]]
+_fitted: dict[tuple, Model] = {}
+
+
+def fit(page_data: DataFrame, most: int = TRAIN_PAGES, hand: int = HAND_PAGES, rounds: int = ROUNDS) -> Model:
+    """A field trained on the labelled pages, and the labels of navigation that many sites use."""
+    key = (id(page_data.sparkSession), page_data.semanticHash(), tuple(sorted(page_data.inputFiles())), most, hand, rounds)
+    if key not in _fitted:
+        lexicon = lexicon_of(page_data)
+        pages, labels = hand_labelled(hand, lexicon)
+        field = train(pages, labels)
+        chains = [chain(r[1:], lexicon) for r in sample(page_data, most)]
+        own = [features(leaves) for leaves, _, _ in chains]
+        for _ in range(rounds if own else 0):
+            field = train(pages + own, labels + relabelled(field, chains, own))
+        _fitted.clear()
+        _fitted[key] = field, lexicon
+    return _fitted[key]
+
+
+def save(model: Model, path: str) -> None:
+    """Writes a fitted field as JSON; of the weights, those that aren't 0."""
+    field, lexicon = model
+    at = np.flatnonzero(field.weights)
+    with open(path, "w") as f:
+        json.dump({"at": at.tolist(), "weights": field.weights[at].tolist(), "transitions": field.transitions.tolist(), "first": field.first.tolist(), "lexicon": sorted(lexicon)}, f)
 
 
-def fit(page_data: DataFrame, most: int = TRAIN_PAGES) -> tuple[Field, frozenset[str]]:
-    """A field trained on the labelled sample, and the words of navigation found there."""
-    rows = sample(page_data, most)
-    lexicon = lexicon_of(rows)
-    pages = [blocks_of(r[1:], lexicon) for r in rows]
-    return train([features(p) for p in pages], [teach(p) for p in pages]), lexicon
+def load(path: str) -> Model:
+    """The model of ``save``."""
+    with open(path) as f:
+        found = json.load(f)
+    weights = np.zeros(DIMENSIONS)
+    weights[found["at"]] = found["weights"]
+    return Field(weights, np.array(found["transitions"]), np.array(found["first"])), frozenset(found["lexicon"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], field: Field, lexicon: frozenset[str]) -> Iterator[pa.RecordBatch]:
@@ -346,27 +386,27 @@ def _decode(batches: Iterator[pa.RecordBatch], field: Field, lexicon: frozenset[
             labels: list[int] = []
             for begin in range(0, len(order), 100):
                 some = order[begin : begin + 100]
-                found = field.decode([features(blocks_of(tuple(c[i] for c in columns[1:]), lexicon)) for i in some])
-                for i, y in zip(some, found, strict=True):
-                    pages += [columns[0][i]] * len(y)
-                    index += range(len(y))
-                    labels += y.tolist()
+                chains = [chain(tuple(c[i] for c in columns[1:]), lexicon) for i in some]
+                for i, (_, first, last), y in zip(some, chains, field.decode([features(c[0]) for c in chains]), strict=True):
+                    pages += [columns[0][i]] * (last - first)
+                    index += range(last - first)
+                    labels += y[first:last].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(index, pa.int32()), pa.array(labels, pa.int32())], names=["page_id", "block_idx", "label"])
 
 
-def labelled(page_data: DataFrame, most: int = TRAIN_PAGES) -> DataFrame:
-    """page_id, block_idx and label (1 for surroundings) of every block."""
-    known = page_data.sparkSession.sparkContext.broadcast(fit(page_data, most))
+def labelled(page_data: DataFrame, model: Model | None = None) -> DataFrame:
+    """page_id, block_idx and label (1 for surroundings) of every block, by a model or else by the one fitted on the table."""
+    known = page_data.sparkSession.sparkContext.broadcast(model or fit(page_data))
     return _columns(page_data).mapInArrow(lambda b: _decode(b, *known.value), "page_id bigint, block_idx int, label int")
 
 
-def found(page_data: DataFrame) -> DataFrame:
+def found(page_data: DataFrame, model: Model | None = None) -> DataFrame:
     """Blocks that belong to the surroundings: page_id, block_idx."""
-    return labelled(page_data).where("label = 1").select("page_id", "block_idx").distinct()
+    return labelled(page_data, model).where("label = 1").select("page_id", "block_idx").distinct()
 
 
-def body(page_data: DataFrame) -> DataFrame:
+def body(page_data: DataFrame, model: Model | None = None) -> DataFrame:
     """Blocks of the main content: page_id, block_idx, type, text (of lists, the items by lines)."""
-    kept = labelled(page_data).where("label = 0").select("page_id", "block_idx").distinct()
+    kept = labelled(page_data, model).where("label = 0").select("page_id", "block_idx").distinct()
     texts = page_data.select("page_id", F.posexplode(F.arrays_zip(*(F.col(f"content_blocks.{c}").alias(c) for c in ("type", "text", "items")))).alias("block_idx", "b")).dropDuplicates(["page_id", "block_idx"])
     return kept.join(texts, ["page_id", "block_idx"]).select("page_id", "block_idx", F.col("b.type").alias("type"), F.coalesce("b.text", F.array_join("b.items", "\n")).alias("text"))

@@ -35,7 +35,7 @@ def test_held_out_pages(make_pages):
     rng = random.Random(2)
     made = [site_page(rng, i, f"www.brook-hill-{i % 5}.example" if i % 3 else "www.brook-hill.example") for i in range(120)]
     df = make_pages(*(p for p, _ in made))
-    found = set(rows_of(mc.labelled(df, 60).where("label = 1"), "page_id", "block_idx"))
+    found = set(rows_of(mc.labelled(df, mc.fit(df, 60)).where("label = 1"), "page_id", "block_idx"))
     want = {(p["page_id"], i) for p, y in made for i, v in enumerate(y) if v}
     hit = len(found & want)
     assert hit >= 0.97 * len(want) and hit >= 0.97 * len(found)
