@@ -1,16 +1,17 @@
 """Pages that hold template residue, filler text or error messages in place of content.
 
-Every text of a page is a unit with a 64-bit SimHash of its letters' trigrams. Trusted labels (the exemplars below, and
-texts that open with the printers' filler) are spread to all units that are joined to them by near-duplicates: partitioned
+Every text of a page is a unit with a 64-bit SimHash of its letters' trigrams. Near-duplicate units are linked: partitioned
 SimHash tables find all candidates within the Hamming distance (of 13 differing bits, one of five segments has at most two),
-Hamming distance and trigram cosine verify them, and rounds go on until no component that holds a trusted label grows; trust
-fades by the cosine of each step, so that chains of ever less alike texts end. A page is a case if a placeholder stands
-unfilled in its texts, or if residue is most of what it has to say.
+Hamming distance and trigram cosine verify them. The links' connected components are labelled by the trusted units in them:
+the exemplars below, and texts that open with the printers' filler. A page is a case if a placeholder stands unfilled in its
+texts, or if residue is most of what it has to say.
 
-In each round, every unit without a label is compared with all units of its buckets that got theirs in the round before (in
-the first one, all trusted ones), so each pair of a bucket meets once; the loop ends when a round labels nothing. The new
-labels are broadcast in blocks of bounded size, one pass over the open units for each; the choice among the labels that a
-unit could take doesn't depend on the blocks.
+Only components that hold a trusted unit can get a label, so links are searched from there on: in each round, every unit that
+no round has reached meets all units of its buckets that were reached in the round before (in the first one, all trusted
+ones), and is linked to the nearest that verifies; so each pair of a bucket meets once, and the links span the components. The
+search ends when a round reaches nothing. Units reached in a round are broadcast in blocks of bounded size, one pass over
+the others for each; the choice among the units that one could be linked to doesn't depend on the blocks. A unit whose nearest
+is a text about residue gets no link: it is prose, and no way from one component to another.
 
 Defined results: null texts give no units; code blocks hold no placeholders; a page without blocks is no case for its
 text but can be one for its title; redelivered rows count once; extra columns are ignored.
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.components import components
 from pagemill.runtime import broadcast_if_small, materialise
 
 #: Trusted exemplars by label (fixed values).
@@ -71,12 +73,10 @@ SLOT = re.compile(
 )
 #: The 64 bits are cut into so many segments. Of texts within ``HAMMING`` bits, one segment differs in at most ``FLIPS``.
 TABLES, BITS, FLIPS = 5, 13, 2
-#: Labelled units and their characters in a block (about), and pairs that are compared at a time.
+#: Reached units and their characters in a block (about), and pairs that are compared at a time.
 BLOCK_UNITS, BLOCK_CHARS, PAIRS = 8_192, 1_000_000, 1_000_000
 HAMMING = 13
 assert HAMMING < TABLES * (FLIPS + 1) and 64 <= TABLES * BITS
-#: Least trust of a label: 1 of a trusted one, times the cosine for each step away from it.
-TRUST = 0.4
 #: Least cosine by the trigrams of the shorter text: short texts are alike by chance.
 COSINES = ((60, 0.6), (30, 0.7), (0, 0.9))
 #: Least cosine with a text about residue, which other prose resembles.
@@ -237,20 +237,19 @@ def needed(grams: int) -> float:
     return next(c for least, c in COSINES if grams >= least)
 
 
-class Labelled:
-    """A block of labelled units, by table and bucket."""
+class Reached:
+    """A block of units that links lead to, by table and bucket."""
 
-    def __init__(self, rows: list[tuple[int, str, int, str, float]]):
-        """Rows of hash, label, SimHash, text and trust."""
+    def __init__(self, rows: list[tuple[int, str, int, str]]):
+        """Rows of hash, label, SimHash and text."""
         rows = list(dict.fromkeys(rows))
         self.hashes = [r[0] for r in rows]
         self.labels = [r[1] for r in rows]
-        self.trust = [r[4] for r in rows]
         self.prints = np.array([r[2] for r in rows], np.int64).view(np.uint64)
         self.texts = [r[3] for r in rows]
         self.grams: dict[int, tuple[Counter, int, float]] = {}
         # which of two equally near ones goes first
-        self.rank = np.argsort(sorted(range(len(rows)), key=lambda j: (-self.trust[j], self.labels[j], self.hashes[j])))
+        self.rank = np.argsort(sorted(range(len(rows)), key=lambda j: (self.labels[j], self.hashes[j])))
         # of each table, its members ordered by bucket, and where each bucket begins; each is in all buckets that a few flips lead to
         at = (keys(self.prints)[:, None, :] ^ _MASKS[None, :, None]).reshape(-1, TABLES)
         self.members = (np.argsort(at, axis=0, kind="stable") // len(_MASKS)).astype(np.int32)
@@ -291,9 +290,9 @@ class Labelled:
             self.grams[j] = own, sum(own.values()), norm(own)
         return self.grams[j]
 
-    def label(self, prints: np.ndarray, text: Callable[[int], str]) -> dict[int, tuple[float, str, int, float, int]]:
-        """Of each unit that a labelled one is a near-duplicate of: trust and label by the nearest that is, its distance, trust and hash."""
-        out: dict[int, tuple[float, str, int, float, int]] = {}
+    def nearest(self, prints: np.ndarray, text: Callable[[int], str]) -> dict[int, tuple[str, int, int]]:
+        """Of each unit that one of the block is a near-duplicate of: label, hash and distance of the nearest that is."""
+        out: dict[int, tuple[str, int, int]] = {}
         for unit, who, apart in self.pairs(prints):
             last = -1
             for i, j, k in zip(unit.tolist(), who.tolist(), apart.tolist(), strict=True):
@@ -304,70 +303,84 @@ class Labelled:
                     size, length = sum(own.values()), norm(own)
                 other, its_size, its_length = self.counts(j)
                 least = ABOUT if self.labels[j] == "about" else needed(min(size, its_size))
-                alike = cosine(own, other, length, its_length)
-                if alike >= least and alike * self.trust[j] >= TRUST:
-                    out[i] = (alike * self.trust[j], self.labels[j], k, self.trust[j], self.hashes[j])
+                if cosine(own, other, length, its_length) >= least:
+                    out[i] = (self.labels[j], self.hashes[j], k)
         return out
 
 
-def _spread(batches: Iterator[pa.RecordBatch], known: Labelled) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], block: Reached) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column(1).to_numpy().view(np.uint64)
         texts = batch.column(2)
-        found = known.label(prints, lambda i, texts=texts: texts[i].as_py())
+        found = block.nearest(prints, lambda i, texts=texts: texts[i].as_py())
         at = pa.array(list(found), pa.int64())
-        trust, names, apart, its_trust, by = zip(*found.values(), strict=True) if found else ((),) * 5
-        columns = [batch.column(0).take(at), pa.array(names, pa.string()), batch.column(1).take(at), texts.take(at), pa.array(trust, pa.float64()), pa.array(apart, pa.int32()), pa.array(its_trust, pa.float64()), pa.array(by, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["h", "label", "print", "text", "trust", "apart", "its_trust", "by"])
+        names, by, apart = zip(*found.values(), strict=True) if found else ((),) * 3
+        columns = [batch.column(0).take(at), pa.array(names, pa.string()), batch.column(1).take(at), texts.take(at), pa.array(by, pa.int64()), pa.array(apart, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "label", "print", "text", "by", "apart"])
 
 
-LABELS = "h bigint, label string, print bigint, text string, trust double"
-NEAR = LABELS + ", apart int, its_trust double, by bigint"
+LABELS = "h bigint, label string, print bigint, text string"
+NEAR = LABELS + ", by bigint, apart int"
 
 
-def trusted() -> list[tuple[int, str, int, str, float]]:
+def trusted() -> list[tuple[int, str, int, str]]:
     """The exemplars as labelled units."""
     rows = [(label, normal(text)) for label, texts in EXEMPLARS.items() for text in texts]
     prints = simhashes([w for _, w in rows]).view(np.int64).tolist()
-    return [(_hash(" ".join(w)), label, p, " ".join(w), 1.0) for (label, w), p in zip(rows, prints, strict=True)]
+    return [(_hash(" ".join(w)), label, p, " ".join(w)) for (label, w), p in zip(rows, prints, strict=True)]
 
 
-def _blocks(new: DataFrame) -> Iterator[Labelled]:
-    """New labels in blocks of about ``BLOCK_UNITS`` units and ``BLOCK_CHARS`` characters at most."""
+def _blocks(new: DataFrame) -> Iterator[Reached]:
+    """Units in blocks of about ``BLOCK_UNITS`` units and ``BLOCK_CHARS`` characters at most."""
     rows, chars = new.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     number = max(-(-rows // BLOCK_UNITS), -(-chars // BLOCK_CHARS))
     for k in range(number):
         rows = [tuple(r) for r in new.where(F.pmod(F.xxhash64("h"), F.lit(number)) == k).collect()]
         if rows:
-            yield Labelled(rows)
+            yield Reached(rows)
 
 
-def labels(all_units: DataFrame) -> DataFrame:
-    """h and label of every unit in a component that holds a trusted label."""
-    spark = all_units.sparkSession
-    seeds = trusted()
-    corpus = all_units.select("h", "print", "text").where(F.col("text").rlike(r"\p{L}") | F.col("text").isin(*_STATUS))
-    corpus = materialise(corpus.dropDuplicates(["h"]), "corpus")
+def seeds(corpus: DataFrame) -> DataFrame:
+    """The trusted units: exemplars, and units of the corpus that open with the printers' filler or repeat one word."""
     opens = F.coalesce(*(F.when(F.col("text").startswith(o), label) for o, label in OPENINGS.items()))
     repeated = F.when((F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) >= 3) & (F.size(F.array_distinct(F.split("text", " "))) == 1) & F.col("text").rlike(r"^\p{L}"), "filler")
-    opening = corpus.select("h", F.coalesce(opens, repeated).alias("label"), "print", "text", F.lit(1.0).alias("trust")).where("label IS NOT NULL")
-    labelled = materialise(spark.createDataFrame(seeds, LABELS).unionByName(opening).dropDuplicates(["h"]), "labels")
-    new = labelled
+    opening = corpus.select("h", F.coalesce(opens, repeated).alias("label"), "print", "text").where("label IS NOT NULL")
+    exemplars = corpus.sparkSession.createDataFrame(trusted(), LABELS)
+    return exemplars.unionByName(opening).groupBy("h").agg(*(F.min(c).alias(c) for c in ("label", "print", "text")))
+
+
+def links(corpus: DataFrame, start: DataFrame) -> DataFrame:
+    """Verified links (h, by, label of ``by``) that span every component of near-duplicates of a unit of ``start``, and one for each text about residue."""
+    spark = corpus.sparkSession
+    reached, new, out = start.select("h"), start, []
     while True:
-        # texts about residue are like other prose: but for the exemplars, their label is not spread further
-        sources = new if new is labelled else new.where(F.col("label") != "about")
-        open_ = corpus.join(broadcast_if_small(labelled.select("h"), 1_000_000), "h", "left_anti")
+        open_ = corpus.join(broadcast_if_small(reached, 1_000_000), "h", "left_anti")
         parts = []
-        for block in _blocks(sources):
+        for block in _blocks(new):
             known = spark.sparkContext.broadcast(block)
-            parts.append(materialise(open_.mapInArrow(lambda b, known=known: _spread(b, known.value), NEAR), "near"))
+            parts.append(materialise(open_.mapInArrow(lambda b, known=known: _search(b, known.value), NEAR), "near"))
         if not parts:
-            return labelled.select("h", "label")
+            return functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "h bigint, by bigint, label string")
         near = functools.reduce(DataFrame.unionByName, parts)
         if len(parts) > 1:
-            near = near.groupBy("h").agg(F.min_by(F.struct("label", "print", "text", "trust"), F.struct("apart", -F.col("its_trust"), "label", "by")).alias("best")).select("h", "best.*")
-        new = near.select("h", "label", "print", "text", "trust")
-        labelled = materialise(labelled.unionByName(new), "labels")
+            near = materialise(near.groupBy("h").agg(F.min_by(F.struct("label", "print", "text", "by"), F.struct("apart", "label", "by")).alias("best")).select("h", "best.*"), "near")
+        out.append(near.select("h", "by", "label"))
+        reached = materialise(reached.unionByName(near.select("h")), "reached")
+        # texts about residue are like other prose: no link goes on from them
+        new = near.where(F.col("label") != "about").select("h", "label", "print", "text")
+
+
+def labels(all_units: DataFrame) -> DataFrame:
+    """h and label of every unit in a component that holds a trusted one; of several labels in a component, that of its smallest trusted hash."""
+    corpus = all_units.select("h", "print", "text").where(F.col("text").rlike(r"\p{L}") | F.col("text").isin(*_STATUS))
+    corpus = materialise(corpus.dropDuplicates(["h"]), "corpus")
+    start = materialise(seeds(corpus), "seeds")
+    found = links(corpus, start)
+    placed = materialise(components(found.where("label <> 'about'").select(F.col("h").alias("a"), F.col("by").alias("b"))), "components")
+    kinds = placed.join(broadcast_if_small(start.select(F.col("h").alias("id"), "label"), 500_000), "id").groupBy("component").agg(F.min_by("label", "id").alias("label"))
+    joined = placed.join(broadcast_if_small(kinds, 500_000), "component").select(F.col("id").alias("h"), "label")
+    alone = start.select("h", "label").join(broadcast_if_small(joined.select("h"), 500_000), "h", "left_anti")
+    return joined.unionByName(alone).unionByName(found.where("label = 'about'").select("h", "label"))
 
 
 #: Kinds of blocks whose words are what a page has to say.

@@ -34,7 +34,7 @@ def test_placeholders():
 def test_buckets_find_what_brute_force_finds():
     rng = np.random.default_rng(4)
     known = rng.integers(0, 2**63, 40).astype(np.uint64)
-    index = rs.Labelled([(i, "error", p, "t", 1.0) for i, p in enumerate(known.view(np.int64).tolist())])
+    index = rs.Reached([(i, "error", p, "t") for i, p in enumerate(known.view(np.int64).tolist())])
     near = known.copy()
     for k in range(len(near)):
         for bit in rng.choice(64, 4, replace=False):
@@ -49,6 +49,11 @@ def test_spreading_reaches_variants_but_not_prose(spark, make_pages):
     own = rs.units(make_pages(*({"page_id": i, "content_blocks": [paragraph(t)]} for i, t in enumerate(texts))))
     kinds = dict(rows_of(own.join(rs.labels(own), "h"), "page_id", "label"))
     assert kinds == dict.fromkeys(range(8), "error")
+    corpus = own.select("h", "print", "text").dropDuplicates(["h"])
+    found = rs.links(corpus, rs.seeds(corpus))
+    reached = {h for h, *_ in rows_of(found, "h", "by", "label")}
+    # every link leads to a trusted unit or to a reached one
+    assert {by for _, by, _ in rows_of(found, "h", "by", "label")} <= reached | {r[0] for r in rows_of(rs.seeds(corpus), "h")}
 
 
 def variants(number, changed, opening, rng):
@@ -65,25 +70,22 @@ def test_every_labelled_unit_of_a_bucket_is_compared(spark, make_pages, monkeypa
     rng = np.random.default_rng(8)
     known, others = list(variants(8_000, 5, "lorem ipsum ", rng)), list(variants(600, 7, "", rng))
     own = rs.units(make_pages(*({"page_id": i, "content_blocks": [paragraph(t)]} for i, t in enumerate(known + others))))
-    rows = [(rs._hash(t), "filler", p, t, 1.0) for t, p in zip(known + others, rs.simhashes([t.split() for t in known + others]).view(np.int64).tolist(), strict=True)]
-    # round by round, each unit with all that have a label
-    have, open_ = rows[: len(known)], rows[len(known) :]
-    while True:
-        known_rows, new = rs.trusted() + have, []
-        index = rs.Labelled(known_rows)
-        for i, near in index.candidates(np.array([r[2] for r in open_], np.int64).view(np.uint64)).items():
-            own_grams = rs.gram_counts(open_[i][3])
-            for j in sorted(near, key=lambda j: (near[j], -index.trust[j])):
-                other = rs.gram_counts(known_rows[j][3])
-                alike = rs.cosine(own_grams, other, rs.norm(own_grams), rs.norm(other))
-                if alike >= rs.needed(min(sum(own_grams.values()), sum(other.values()))) and alike * index.trust[j] >= rs.TRUST:
-                    new.append((*open_[i][:4], alike * index.trust[j]))
-                    break
-        if not new:
-            break
-        have, open_ = have + new, [r for r in open_ if r[0] not in {x[0] for x in new}]
-    want = sorted((r[0],) for r in have)
-    assert len(known) < len(want) < len(rows)
+    rows = [(rs._hash(t), "filler", p, t) for t, p in zip(known + others, rs.simhashes([t.split() for t in known + others]).view(np.int64).tolist(), strict=True)]
+    # all pairs that verify, closed by chains from the trusted units
+    start = len(rs.trusted()) + len(known)
+    rows = rs.trusted() + rows
+    grams = {r[0]: rs.gram_counts(r[3]) for r in rows}
+    prints = np.array([r[2] for r in rows], np.int64).view(np.uint64)
+    have, new = rows[:start], np.arange(start)
+    open_ = np.arange(start, len(rows))
+    alike = lambda i, j: rs.cosine(grams[rows[i][0]], grams[rows[j][0]], rs.norm(grams[rows[i][0]]), rs.norm(grams[rows[j][0]])) >= rs.needed(min(grams[rows[i][0]].total(), grams[rows[j][0]].total()))
+    while len(new):
+        near = np.bitwise_count(prints[open_][:, None] ^ prints[new][None, :]) <= rs.HAMMING
+        hit = [i for i, js in zip(open_.tolist(), near, strict=True) if any(alike(i, j) for j in new[js].tolist())]
+        have = have + [rows[i] for i in hit]
+        new, open_ = np.array(hit, np.int64), np.array([i for i in open_.tolist() if i not in set(hit)], np.int64)
+    want = sorted((r[0],) for r in have[len(rs.trusted()) :])
+    assert len(known) < len(want) < len(known) + len(others)
     assert sorted(rows_of(rs.labels(own).join(own, "h", "left_semi"), "h")) == want
     monkeypatch.setattr(rs, "BLOCK_UNITS", 2_000)  # more blocks, the same labels
     assert sorted(rows_of(rs.labels(own).join(own, "h", "left_semi"), "h")) == want
@@ -108,6 +110,6 @@ def test_buckets_find_every_pair_within_the_distance():
     for k in range(len(near)):
         for bit in rng.choice(64, rs.HAMMING, replace=False):
             near[k] ^= np.uint64(1) << np.uint64(bit)
-    found = rs.Labelled([(i, "error", p, "t", 1.0) for i, p in enumerate(known.view(np.int64).tolist())]).candidates(near)
+    found = rs.Reached([(i, "error", p, "t") for i, p in enumerate(known.view(np.int64).tolist())]).candidates(near)
     apart = np.bitwise_count(near[:, None] ^ known[None, :])
     assert {(i, j) for i, js in found.items() for j in js} == set(zip(*(x.tolist() for x in np.nonzero(apart <= rs.HAMMING)), strict=True))
