@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,30 +154,35 @@ def _encode_short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 
 
 def _split_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of each row with a key of its id and text, so that rows of one id stay apart; equal rows have equal chunks."""
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             chunks = split(text)
-            columns = [pa.array([doc] * len(chunks), pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*chunks, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "number", "part", "bytes"])
+            key = xxhash.xxh3_128_digest(f"{doc} {text}".encode("utf-8", "surrogatepass"))
+            columns = [pa.array([key] * len(chunks), pa.binary()), pa.array([doc] * len(chunks), pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*chunks, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "number", "part", "bytes"])
 
 
 def _encode_chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for batch in batches:
-        ids = [c.segment(b) if p >= 0 else c.plain(b.decode()) for p, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], _ids(ids)], names=["doc_id", "number", "part", "ids"])
+        ids = [c.segment(b) if p >= 0 else c.plain(b.decode()) for p, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], _ids(ids)], names=["key", "doc_id", "number", "part", "ids"])
 
 
 def _join_chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Joined rows; chunks that come more than once are those of as many equal rows."""
     c = codec(path)
     for batch in batches:
-        done = []
-        for chunks in batch.column(1).to_pylist():
+        docs, done = [], []
+        for doc, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids: list[int] = []
-            for _, part, codes in sorted_parts((x["number"], x["part"], x["ids"]) for x in chunks):
+            for _, part, codes in sorted_parts({x["number"]: (x["number"], x["part"], x["ids"]) for x in chunks}.values()):
                 ids += c.tree(codes) if part >= 0 else codes[0]
-            done.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _ids(done)], names=["doc_id", "ids"])
+            copies = sum(x["number"] == 0 for x in chunks)
+            docs += [doc] * copies
+            done += [ids] * copies
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), _ids(done)], names=["doc_id", "ids"])
 
 
 def encoded(documents: DataFrame, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken", chunk: int = CHUNK_CHARS) -> DataFrame:
@@ -184,7 +190,7 @@ def encoded(documents: DataFrame, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50
     docs = documents.select("doc_id", "text")
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = docs.where(~is_long).mapInArrow(lambda b: _encode_short(b, vocabulary), "doc_id bigint, ids array<int>")
-    chunks = docs.where(is_long).mapInArrow(_split_long, "doc_id bigint, number int, part int, bytes binary").repartition("doc_id", "number")
-    codes = chunks.mapInArrow(lambda b: _encode_chunks(b, vocabulary), "doc_id bigint, number int, part int, ids array<int>")
-    whole = codes.groupBy("doc_id").agg(F.collect_list(F.struct("number", "part", "ids")).alias("chunks"))
-    return short.unionByName(whole.mapInArrow(lambda b: _join_chunks(b, vocabulary), "doc_id bigint, ids array<int>"))
+    chunks = docs.where(is_long).mapInArrow(_split_long, "key binary, doc_id bigint, number int, part int, bytes binary").repartition("key", "number")
+    codes = chunks.mapInArrow(lambda b: _encode_chunks(b, vocabulary), "key binary, doc_id bigint, number int, part int, ids array<int>")
+    whole = codes.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("number", "part", "ids")).alias("chunks"))
+    return short.unionByName(whole.select("doc_id", "chunks").mapInArrow(lambda b: _join_chunks(b, vocabulary), "doc_id bigint, ids array<int>"))

@@ -59,3 +59,11 @@ def test_blank_line_at_the_border_of_a_long_text(spark):
     texts = ["ab " * 2_728 + ".\n\n" + "wordlong and more text " * 50, "x.\n\n" + "a" * 9_000, "x.\n\n" + "a" * 3_000]
     found = {r.doc_id: r.ids for r in en.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert found == dict(enumerate(map(en.codec(PATH).plain, texts)))
+
+
+def test_long_rows_of_one_id_stay_apart(spark):
+    one, two = "word " * 4_000, "other words " * 3_000
+    rows = [(1, one), (1, one), (1, two), (None, one), (None, two), (2, "short"), (2, "short")]
+    plain = en.codec(PATH).plain
+    found = sorted(((r.doc_id, r.ids) for r in en.encoded(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=repr)
+    assert found == sorted(((i, plain(t)) for i, t in rows), key=repr)
