@@ -1,4 +1,7 @@
+import random
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from pagemill.llm import site_lines as sl
 from tests.conftest import block, heading, items, paragraph, rows_of
@@ -23,13 +26,35 @@ def test_five_pages_are_too_few_however_often_a_page_repeats(make_pages):
 
 
 def test_summaries_lose_no_heavy_line():
-    rows = [("s", k, 0, 1) for k in range(400)] + [("s", k, 0, 6) for k in range(400, 440)] + [("s", 1, 0, 5)]
-    parts = [pa.Table.from_pylist([dict(zip(sl._COUNTS.names, r, strict=True)) for r in rows[i::3]], schema=sl._COUNTS) for i in range(3)]
-    total, error = sl.merge(parts, 0, 5, 60)
-    assert error == 1 and total.num_rows == 41
-    batches = [b for p in parts for b in p.to_batches()]
-    found = {r["k1"] for b in sl._summarise(iter(batches), 6, 60) for r in b.to_pylist()}
-    assert found >= {1, *range(400, 440)}
+    rng = random.Random(3)
+    for counters in (30, 60, 200):
+        true = {(site, k): 6 if k % 20 == 0 else rng.randint(1, 3) for site in "st" for k in range(300)}
+        stream = [(site, 0, k, 0, 1) for (site, k), n in true.items() for _ in range(n)]
+        rng.shuffle(stream)
+        parts = [pa.Table.from_pylist([dict(zip(sl._SUMMARY.names, r, strict=True)) for r in stream[i::7]], schema=sl._SUMMARY) for i in range(7)]
+        summaries = [sl.merge([p], counters) for p in parts]
+        total = sl.merge(summaries, counters).to_pylist()
+        error = {r["site"]: r["n"] for r in total if r["k1"] is None}
+        assert set(error) == ({"s", "t"} if counters < 200 else set(error)) and all(e <= len(stream) / 2 / counters for e in error.values())
+        for site in "st":
+            kept = {r["k1"]: r["n"] for r in total if r["site"] == site and r["k1"] is not None}
+            assert len(kept) <= counters and all(kept.get(k, 0) <= n <= kept.get(k, 0) + error.get(site, 0) for (s, k), n in true.items() if s == site)
+        ordered = pa.concat_tables([t.cast(sl._SUMMARY) for t in summaries]).sort_by([("site", "ascending"), ("shard", "ascending")])
+        found = [r for b in sl._summarise(iter(ordered.to_batches(max_chunksize=50)), 6, counters) for r in b.to_pylist()]
+        lost = {r["site"] for r in found if r["k1"] is None}
+        heavy = {(r["site"], r["k1"]) for r in found if r["k1"] is not None}
+        assert all(key in heavy or key[0] in lost for key, n in true.items() if n >= 6)
+
+
+def test_decrements_and_splits_lose_nothing(spark):
+    rows = [(p, "s", 0, j, p % 20 * 10 + j if j < 10 else 1_000 + p * 30 + j) for p in range(200) for j in range(30)] + [(p, f"t{p % 3}", 0, j, j) for p in range(9) for j in range(5)]
+    lines = spark.createDataFrame(rows, "page_id bigint, site string, block_idx int, line_idx int, k1 bigint").withColumn("k2", F.lit(0).cast("bigint")).repartition(5)
+    want = rows_of(sl.confirmed(lines), "site", "k1", "pages")
+    assert 0 < len(want) < 2_000
+    for counters in (8, 64, 300):
+        assert rows_of(sl.confirmed(lines, counters=counters), "site", "k1", "pages") == want
+    # summaries of this size do leave lines out
+    assert sl.candidates(lines, 6, 300).count() < lines.select("site", "k1").distinct().count()
 
 
 def test_tiny_summaries_give_the_same(make_pages):
