@@ -6,11 +6,15 @@ segment is indexed once per position with that position as a wildcard, so that t
 position exactly if they share a variant; pages meet by an equality join on variants and are verified on their whole sets.
 
 In a bucket, pages are first compared with one hub only; links become components, and only pages of a bucket that are
-still in different components are compared further. So a group of any size costs pairs in proportion to its size, and no
-pair of one bucket is left undecided.
+still in different components are compared further, in turns with twice as many hubs each. So a group of any size costs pairs
+in proportion to its size, and no pair of one bucket is left undecided; a bucket of pages that are all unlike is compared as a whole in the end.
 
-Runs that many pages share (found on a bounded sample) don't enter the fingerprint unless they make up much of a page;
-verification is always on all runs. Exact copies are one row until the end.
+Runs that many pages share (counted over all pages) don't enter the fingerprint unless they make up much of a page; verification
+is always on all runs. Exact copies are one row until the end.
+
+Two pages at the threshold share a variant with probability 1 - 6e-6 by their whole sets. If one page is indexed by its uncommon
+runs only, a pair is met by these alone: in the worst case (similarity 0.7, one page inside the other, 40 % of the larger one
+common, so that the rest is alike by 0.5) with probability 0.964.
 
 Defined results: null blocks, texts and items have no runs; pages below the least number of runs take no part; redelivered
 rows count once; extra columns are ignored; an empty table gives an empty result.
@@ -33,12 +37,14 @@ from pagemill.runtime import broadcast_if_small, materialise
 LEAST_RUNS = 100
 SIMILARITY = (7, 10)
 SEGMENTS, POSITIONS = 16, 5
-#: Pages of the sample on which common runs are found, and the share of it that makes a run common.
-SAMPLE_PAGES, COMMON = 4_000, 0.02
+#: The share of all pages that makes a run common.
+COMMON = 0.02
+#: Distinct runs that a task counts before it leaves out those that can't be common in what it has read.
+COUNTED = 2_000_000
 #: A page of which less than this share of runs is uncommon is indexed by all its runs as well.
 RARE_SHARE = 0.6
-#: Turns with one more hub per bucket, before all pages of a bucket that are still apart are compared.
-TURNS = 3
+#: All pages of the buckets that are still open are compared once their pairs are at most so many times their pages.
+FEW = 8
 _WORD = re.compile(r"[^\W_]+")
 _SLICE = 500
 
@@ -123,18 +129,37 @@ def sets(page_data: DataFrame, least: int = LEAST_RUNS) -> DataFrame:
     return texts.mapInArrow(lambda b: _to_sets(b, least), "page_id bigint, n int, digest binary, runs binary")
 
 
-def common_runs(pages: DataFrame, sample: int = SAMPLE_PAGES, share: float = COMMON) -> np.ndarray:
-    """Runs on more than ``share`` of a sample of about ``sample`` pages; at most 1 / ``share`` times a page's runs are collected."""
-    total = pages.count()
-    some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(max(1, total // sample))) == 0).select("runs")
+def _frequent(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Of a task's pages, the runs on at least half of ``share`` of them, with their counts."""
+    runs, counts, pages = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+    held: list[np.ndarray] = []
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [unpack(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).astype(np.int64))], names=["run"])
+    def settle(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fresh, k = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+        held.clear()
+        both, at = np.unique(np.concatenate([runs, fresh]), return_inverse=True)
+        return both, np.bincount(at, np.concatenate([counts, k]), len(both)).astype(np.int64)
 
-    counts = some.mapInArrow(each, "run bigint").groupBy("run").agg(F.count("*").alias("k"))
-    limit = max(2, share * min(total, some.count()))
+    for batch in batches:
+        held += [unpack(x) for x in batch.column(0).to_pylist()]
+        pages += batch.num_rows
+        if sum(map(len, held)) > COUNTED:
+            runs, counts = settle(runs, counts)
+            if len(runs) > COUNTED:
+                keep = counts * 4 >= share * pages
+                runs, counts = runs[keep], counts[keep]
+    runs, counts = settle(runs, counts)
+    keep = counts * 2 >= share * max(pages, 1)
+    yield pa.RecordBatch.from_arrays([pa.array(runs[keep].astype(np.int64)), pa.array(counts[keep])], names=["run", "k"])
+
+
+def common_runs(pages: DataFrame, share: float = COMMON) -> np.ndarray:
+    """Runs on more than ``share`` of all pages, by the sums of the tasks' counts: at most 1 / ``share`` times a page's runs are collected.
+
+    A run that is common in none of the tasks' pages isn't in the whole; one that is rare in some can be missed, which costs time only.
+    """
+    limit = max(2, share * pages.count())
+    counts = pages.select("runs").mapInArrow(lambda b: _frequent(b, share), "run bigint, k bigint").groupBy("run").agg(F.sum("k").alias("k"))
     return np.array(sorted(r[0] for r in counts.where(F.col("k") > limit).select("run").collect()), dtype=np.uint64)
 
 
@@ -218,20 +243,20 @@ def links(pages: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFra
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
         split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("pages"), F.sum(F.col("k") * F.col("k")).alias("inside")).where("parts > 1")
         split = materialise(split.withColumn("cross", (F.col("pages") * F.col("pages") - F.col("inside")) / 2), "split")
-        todo, rows = split.agg(F.sum("cross"), F.sum("pages")).first()
+        todo, rows, largest = split.agg(F.sum("cross"), F.sum("pages"), F.max("pages")).first()
         if not todo:
             return found
-        open_ = materialise(placed.join(broadcast_if_small(split.select("key"), 300_000), "key"), "open")
+        open_ = materialise(placed.join(broadcast_if_small(split.select("key", "pages"), 300_000), "key"), "open")
         turn += 1
-        if last := todo <= 8 * rows or turn > TURNS:
-            # few enough: every pair of pages that are still apart
+        if last := todo <= FEW * rows or 2**turn >= largest:
+            # every pair of pages that are still apart
             one, two = open_.select("key", F.col("page_id").alias("a"), F.col("component").alias("ca")), open_.select("key", F.col("page_id").alias("b"), F.col("component").alias("cb"))
             pairs = one.join(two, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
         else:
-            # one more hub for each bucket, another in each turn
-            hub = open_.groupBy("key").agg(F.min_by(F.struct("page_id", "component"), F.xxhash64("page_id", F.lit(turn))).alias("hub"))
-            apart = open_.join(hub, "key").where("component <> hub.component")
-            pairs = apart.select(F.least("page_id", "hub.page_id").alias("a"), F.greatest("page_id", "hub.page_id").alias("b")).distinct()
+            # in each turn twice as many hubs of a bucket, others each time
+            hub = open_.where(F.pmod(F.xxhash64("page_id", "key", F.lit(turn)), F.col("pages")) < 2**turn).select("key", F.col("page_id").alias("hub"), F.col("component").alias("its"))
+            apart = open_.join(hub, "key").where("component <> its")
+            pairs = apart.select(F.least("page_id", "hub").alias("a"), F.greatest("page_id", "hub").alias("b")).distinct()
         fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = materialise(found.unionByName(verified(fresh, pages, similarity)), "links")
         if last:
@@ -239,8 +264,7 @@ def links(pages: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFra
         tried = tried.unionByName(fresh)
 
 
-def classes(page_data: DataFrame, least: int = LEAST_RUNS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """page_id and class_id (the smallest page_id of its group) of every page that takes part."""
+def _placed(page_data: DataFrame, least: int, similarity: tuple[int, int]) -> DataFrame:
     pages = materialise(sets(page_data, least), "runs")
     members = pages.select("page_id", "digest").distinct()
     first = materialise(members.groupBy("digest").agg(F.min("page_id").alias("first")), "first")
@@ -248,12 +272,19 @@ def classes(page_data: DataFrame, least: int = LEAST_RUNS, similarity: tuple[int
     copies = placed.where("page_id <> first").select("page_id")
     alone = pages.select("page_id", "runs").join(broadcast_if_small(copies, 300_000), "page_id", "left_anti")
     label = components(links(alone, similarity))
-    return placed.join(broadcast_if_small(label, 300_000), F.col("first") == F.col("id"), "left").select("page_id", F.coalesce("component", "first").alias("class_id"))
+    return materialise(placed.join(broadcast_if_small(label, 300_000), F.col("first") == F.col("id"), "left").select("page_id", F.coalesce("component", "first").alias("class_id")), "classes")
+
+
+def classes(page_data: DataFrame, least: int = LEAST_RUNS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """page_id, class_id (the smallest page_id of its group) and class_size of every page that takes part: the form for groups of any size."""
+    placed = _placed(page_data, least, similarity)
+    sizes = placed.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    return placed.join(broadcast_if_small(sizes, 300_000), "class_id").select("page_id", "class_id", "class_size")
 
 
 def found(page_data: DataFrame) -> DataFrame:
-    """Every pair of pages of one group: page_id_a < page_id_b."""
-    placed = materialise(classes(page_data), "classes")
+    """Every pair of pages of one group: page_id_a < page_id_b. Its size is that of the case's definition; ``classes`` has a row per page."""
+    placed = _placed(page_data, LEAST_RUNS, SIMILARITY)
     many = placed.groupBy("class_id").agg(F.count("*").alias("k")).where("k > 1").select("class_id")
     grouped = materialise(placed.join(broadcast_if_small(many, 300_000), "class_id", "left_semi"), "grouped")
     a, b = grouped.select("class_id", F.col("page_id").alias("page_id_a")), grouped.select("class_id", F.col("page_id").alias("page_id_b"))
@@ -273,4 +304,4 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 q AS (SELECT page_id AS a, page_id AS b FROM n UNION SELECT q.a, e.b FROM q JOIN e ON q.b = e.a)
 """
 FOUND_SQL = _CLASSES_SQL + "SELECT a AS page_id_a, b AS page_id_b FROM q WHERE a < b"
-CLASSES_SQL = _CLASSES_SQL + "SELECT a AS page_id, min(b) AS class_id FROM q GROUP BY a"
+CLASSES_SQL = _CLASSES_SQL + "SELECT a AS page_id, min(b) AS class_id, count(*) AS class_size FROM q GROUP BY a"

@@ -41,7 +41,7 @@ def edited(rng, words, rate):
     return [rng.choice(WORDS) if rng.random() < rate else w for w in words]
 
 
-def test_groups_match_brute_force(make_pages):
+def test_groups_match_brute_force(make_pages, monkeypatch):
     rng = random.Random(5)
     pages, page_id = [], 0
     for group in range(14):
@@ -56,7 +56,20 @@ def test_groups_match_brute_force(make_pages):
     pages += [pages[0], pages[-1], {"page_id": 900}, {"page_id": 901, "content_blocks": []}, {"page_id": 902, "content_blocks": [block(), paragraph(None), block(type="list", items=[None, ""])]}, {"page_id": 903, "content_blocks": [paragraph("short text only")]}]
     found = nd.found(make_pages(*pages))
     assert rows_of(found, "page_id_a", "page_id_b") == sorted(brute(pages), key=repr)
-    assert nd.classes(make_pages(*pages)).where("class_id > page_id").count() == 0
+    placed = rows_of(nd.classes(make_pages(*pages)), "page_id", "class_id", "class_size")
+    assert all(c <= p for p, c, _ in placed) and sum(k - 1 for *_, k in placed) == 2 * len(brute(pages))
+    # more turns with hubs give the same
+    monkeypatch.setattr(nd, "FEW", 0)
+    assert sorted(placed) == sorted(rows_of(nd.classes(make_pages(*pages)), "page_id", "class_id", "class_size"))
+
+
+def test_common_runs_are_counted_over_all_pages(spark):
+    import numpy as np
+
+    rows = [(i, nd.pack(np.unique(np.array([1, 2, 3 if i % 60 else 4, 1_000 + i, 5_000 + i % 40], np.uint64)))) for i in range(1_200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, runs binary").repartition(4)
+    assert nd.common_runs(pages).tolist() == [1, 2, 3, *range(5_000, 5_040)]
+    assert nd.common_runs(pages.limit(0)).tolist() == []
 
 
 def test_empty_table_and_no_groups(make_pages):
