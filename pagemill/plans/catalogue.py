@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import blocks, contact, urls
 from pagemill.functions.tables import DEFAULT_EXCLUDES
 from pagemill.operators import brand, bundle, discover, nested, site
-from pagemill.plans import oracle, sinks
+from pagemill.plans import cases, oracle, sinks
 from pagemill.runtime import materialise, table
 from pagemill.sources.pages import capture, derived, is_challenge
 
@@ -46,19 +46,14 @@ def category_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def _css(s: SparkSession, d: str) -> DataFrame:
-    """Style sheets among the documents, as styles of their source."""
-    return table(s, d, "documents").where(F.col("text").rlike(r"^\.[a-z0-9-]+\{")).select(F.col("source").alias("site"), F.col("text").alias("css"))
+    """The documents that hold a rule of style, as styles of their source."""
+    return table(s, d, "documents").where(F.col("text").rlike(r"\{[^{}]*[a-z-]+\s*:[^{}]*\}")).select(F.col("source").alias("site"), F.col("text").alias("css"))
 
 
 def _url_list(s: SparkSession, d: str) -> DataFrame:
     return _raw(s, d).groupBy("site", "url").agg(F.min("page_id").alias("ord"))
 
 
-def _document_phones(s: SparkSession, d: str) -> DataFrame:
-    found = table(s, d, "documents").select("doc_id", "source", F.explode(contact.phones_in(F.col("text"))).alias("phone"))
-    return found.where(contact.looks_like_phone(F.col("phone")))
-
-
 def _sitemaps(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Sitemaps of each site's pages, of about 500 pages each, below an index that also lists itself."""
     pages = _raw(s, d).where("site IS NOT NULL AND url IS NOT NULL").select("site", "url").distinct()
@@ -90,6 +85,12 @@ def _bundles(s: SparkSession, d: str) -> DataFrame:
     return out.select("site", "total_pages", F.to_json(F.struct(*(x for x in out.columns if x not in ("site", "total_pages")))).alias("bundle"))
 
 
+def _enclosed(s: SparkSession, d: str) -> DataFrame:
+    """Offers with the products that enclose them, by interval containment of their tables."""
+    nodes = nested.node_table(_raw(s, d))
+    return nested.contained(nested.type_table(nodes, "Offer"), nested.type_table(nodes, "Product"))
+
+
 def queries() -> dict[str, Query]:
     """Every core query by name."""
     c = F.col
@@ -130,24 +131,14 @@ def queries() -> dict[str, Query]:
         "page_summaries": lambda s, d: site.page_summaries(_facts(s, d, "title", "meta_description", "category", "total_words", "block_count", "image_count", "has_form", "primary_heading", "internal_links_out")).drop("title", "meta_description"),
         "site_firsts": lambda s, d: site.first_values(_facts(s, d, "language", "nav_links", "footer_blocks")).select("site", "language", F.array_join("primary_nav.text", "|").alias("primary_nav"), "total_pages"),
         "skip_reasons": lambda s, d: site.skip_reasons(table(s, d, "skipped_pages")),
-        "partial_sites": lambda s, d: site.partial_warnings(_raw(s, d), table(s, d, "skipped_pages")).drop("warning"),
-        "shell_sites": lambda s, d: site.shell_warnings(_facts(s, d, "signature", "total_words")),
-        "foreign_links": lambda s, d: site.foreign_hosts(_edges(s, d).where("site IS NOT NULL").withColumnRenamed("dst_url", "url")).select("site", "percent"),
         "outcome_counts": lambda s, d: site.outcome_counts(_raw(s, d), table(s, d, "skipped_pages")),
         "site_bundles": lambda s, d: _bundles(s, d),
         # contacts
         "document_emails": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(contact.emails_in(c("text"))).alias("email")).groupBy("doc_id", "email").agg(F.count("*").alias("k")),
-        "unique_emails": lambda s, d: site.unique_emails(table(s, d, "documents").select(c("source").alias("site"), F.explode(contact.emails_in(c("text"))).alias("email"))),
-        "document_phones": lambda s, d: _document_phones(s, d).groupBy("doc_id", "phone").agg(F.count("*").alias("k")),
-        "unique_phones": lambda s, d: site.unique_phones(_document_phones(s, d).select(c("source").alias("site"), "phone")),
         "site_contacts": lambda s, d: site.contacts(_captured(s, d, "contact_links", "body_text", "chrome_text", "social_links", "addresses", "organization", "content_blocks")),
         # brand
         "css_colours": lambda s, d: brand.colours(_css(s, d), None),
-        "css_fonts": lambda s, d: brand.fonts(_css(s, d)),
-        "css_variables": lambda s, d: brand.variables(_css(s, d)),
         "brand_confidence": lambda s, d: brand.confidence(brand.colours(_css(s, d)), brand.fonts(_css(s, d))),
-        "technologies": lambda s, d: brand.technologies(_captured(s, d, "stylesheet_urls", "internal_links_out", "style_text")),
-        "technologies_html": lambda s, d: brand.technologies(_html(s, d), _html(s, d).withColumn("site", urls.host(c("url")))),
         # discovery
         "crawl_depths": lambda s, d: discover.crawl(_edges(s, d), _edges(s, d).where("site IS NOT NULL").groupBy("site").agg(F.min("src_url").alias("url")), 3, None, DEFAULT_EXCLUDES),
         "robots_allowed": lambda s, d: discover.without_disallowed(_raw(s, d).where("site IS NOT NULL").select("site", "url").distinct(), discover.robots_rules(_robots(s, d))),
@@ -155,15 +146,17 @@ def queries() -> dict[str, Query]:
         # raw HTML
         "page_title": lambda s, d: _captured(s, d, "title").select("page_id", "title"),
         "page_language": lambda s, d: _captured(s, d, "language").select("page_id", "language"),
-        "page_meta": lambda s, d: _captured(s, d, "title", "meta_title", "meta_description", "og_image_url", "twitter_card", "meta_robots", "canonical_url", "favicon_url", "logo_url"),
-        "page_blocks": lambda s, d: _captured(s, d, "content_blocks").select("page_id", F.posexplode("content_blocks").alias("block_idx", "block")).select("page_id", "block_idx", "block.*"),
+        "page_meta": lambda s, d: _captured(s, d, "title", "meta_title", "meta_description", "og_image_url", "twitter_card", "meta_robots", "canonical_url", "favicon_url", "logo_url").drop("url", "site"),
+        "page_blocks": lambda s, d: _captured(s, d, "content_blocks").select("page_id", F.posexplode("content_blocks").alias("block_idx", "b")).select("page_id", "block_idx", "b.type", "b.level", "b.text", cases.block_detail(c("b")).alias("detail")),
         "page_links": lambda s, d: _captured(s, d, "internal_links_out").select("page_id", F.posexplode("internal_links_out").alias("link_pos", "url")),
         "page_nav": lambda s, d: _captured(s, d, "nav_links").select("page_id", F.inline("nav_links")),
-        "page_footer": lambda s, d: _captured(s, d, "footer_blocks").select("page_id", F.inline("footer_blocks")),
-        "page_derived": lambda s, d: derived(capture(_html(s, d), _BLOCKS, partitions=s.sparkContext.defaultParallelism)).select("page_id", "total_words", "content_hash", "token_estimate", "summary", "category", "signature", "quality_flags"),
+        "page_footer": lambda s, d: _captured(s, d, "footer_blocks").select("page_id", F.explode("footer_blocks").alias("b")).select("page_id", "b.type", "b.text"),
+        "page_derived": lambda s, d: derived(capture(_html(s, d), _BLOCKS, partitions=s.sparkContext.defaultParallelism)).select("page_id", "total_words", "content_hash", "token_estimate", "summary", "category", "signature", F.array_join("quality_flags", ",").alias("quality_flags")),
+        "p2_enclosed": lambda s, d: _enclosed(s, d),
+        **cases.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return oracle.SQL
+    return oracle.SQL | cases.oracle_sql()

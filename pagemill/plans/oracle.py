@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pagemill.functions.tables import CATEGORIES, DEFAULT_EXCLUDES, EMAIL, EMBEDS, PHONE, POOR_ALTS
+from pagemill.functions.tables import CATEGORIES, DEFAULT_EXCLUDES, EMAIL, EMBEDS, POOR_ALTS
+from pagemill.plans import oracle_html
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 #: Pages without redelivered rows.
@@ -111,30 +112,41 @@ def flags() -> str:
     )
 
 
-def phone_ok(s: str) -> str:
-    t = f"trim({s})"
-    d = f"regexp_replace({t}, '[^0-9]', '', 'g')"
-    cnt = lambda c: f"(length({t}) - length(replace({t}, '{c}', '')))"
-    triples = "(?:" + "|".join(str(k) * 3 for k in range(10)) + "){3}"
-    return (
-        f"(NOT regexp_matches({t}, '^\\d{{4}}[-./]\\d{{1,2}}[-./]\\d{{1,2}}') AND NOT regexp_matches({t}, '^(19|20)\\d\\d(\\D|$)') AND length({d}) BETWEEN 9 AND 15 AND NOT regexp_matches({t}, '^1[5-9]\\d{{8}}$') AND NOT contains({t}, '  ') "
-        f"AND ({cnt('.')} <= 1 OR regexp_full_match({t}, '[0-9.+\\s]*')) AND NOT ({cnt('.')} > 0 AND {cnt('-')} > 0) AND NOT ({cnt('.')} > 0 AND {cnt(' ')} > 0 AND {t} NOT LIKE '+%') AND NOT regexp_matches({t}, '\\d\\D+\\d(\\D|$)') "
-        f"AND NOT regexp_matches({d}, '{triples}') AND len(regexp_extract_all({t}, '[0-9]+')) <= (CASE WHEN {cnt('.')} >= 3 AND {cnt(' ')} = 0 AND {cnt('-')} = 0 THEN 5 ELSE 4 END) AND ({t} LIKE '+%' OR regexp_matches({t}, '[ \\-().]')))"
-    )
-
-
 _WORDS = f"{P}, w AS (SELECT *, {TOTAL_WORDS} AS words FROM p)"
 _SIG = f"{P}, s AS (SELECT site, url, page_id, {SIGNATURE} AS signature FROM p)"
 _HREF = r"<a [^>]*href=""[^""]*"""
 _EXCLUDED = any_of("url", DEFAULT_EXCLUDES)
-_PHONES = f"WITH c AS (SELECT doc_id, source, unnest(regexp_extract_all(text, {q(PHONE)})) AS phone FROM documents)"
 _MAILS = f"WITH c AS (SELECT doc_id, source, unnest(regexp_extract_all(text, {q(EMAIL)})) AS email FROM documents)"
 _EDGE = "WITH e AS (SELECT DISTINCT site, src_url, dst_url FROM link_edges WHERE {same})"
 
 _CHILDREN = "CASE json_type(j) WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: '.' || k) WHEN 'ARRAY' THEN list_transform(range(json_array_length(j)::BIGINT), lambda i: '[' || i || ']') ELSE [] END"
 _ENTRIES = "SELECT page_id, '{column}[' || i || '].{field}[' || (k - 1) || ']' AS node_path, '{column}[' || i || ']' AS parent_path FROM (SELECT page_id, i, e, unnest(range(1, len(e) + 1)) AS k FROM (SELECT page_id, i - 1 AS i, content_blocks[i].{field} AS e FROM b)) WHERE e[k] IS NOT NULL"
 
+_MARKS = "list_transform(content_blocks[i].{field}, lambda e: CASE WHEN e IS NULL THEN 'null' ELSE '{{}}' END)"
+_BLOCK_JSON = "'{' || array_to_string(list_filter([" + ", ".join(f"""CASE WHEN len(content_blocks[i].{f}) > 0 THEN '"{f}":[' || array_to_string({_MARKS.format(field=f)}, ',') || ']' END""" for f in ("fields", "definitions")) + "], lambda x: x IS NOT NULL), ',') || '}'"
+#: Nodes with interval labels: a node's place among all objects and arrays of its page, which stand in the order of their paths' positions, and
+#: as many places less in post-order as it has ancestors, as many more as it holds nodes.
+_NODES = (
+    P.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", t AS (SELECT page_id, 'structured_data[' || (i - 1) || ']' AS path, structured_data[i]::JSON AS j, [0, i] AS key, NULL::VARCHAR AS kind FROM (SELECT page_id, structured_data, unnest(range(1, len(structured_data) + 1)) AS i FROM p) WHERE json_valid(structured_data[i])
+      UNION ALL SELECT page_id, 'content_blocks[' || (i - 1) || ']', ({_BLOCK_JSON})::JSON, [1, i], content_blocks[i].type FROM (SELECT page_id, content_blocks, unnest(range(1, len(content_blocks) + 1)) AS i FROM p) WHERE content_blocks[i].type IS NOT NULL),
+    r AS (SELECT page_id, path, j, '' AS parent, key, kind, 0 AS depth FROM t
+      UNION ALL SELECT page_id, path || c, json_extract(j, '$' || CASE WHEN starts_with(c, '.') THEN '."' || substr(c, 2) || '"' ELSE c END), CASE WHEN json_type(j) = 'OBJECT' THEN path ELSE parent END, list_append(key, k), NULL::VARCHAR, depth + 1
+        FROM (SELECT *, ch[k] AS c FROM (SELECT *, unnest(range(1, len(ch) + 1)) AS k FROM (SELECT *, {_CHILDREN} AS ch FROM r)))),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY key) - 1 AS pre FROM r WHERE json_type(j) IN ('OBJECT', 'ARRAY')),
+    s AS (SELECT a.page_id, a.pre, count(b.pre) AS inside FROM o a LEFT JOIN o b ON a.page_id = b.page_id AND len(b.key) > len(a.key) AND b.key[:len(a.key)] = a.key GROUP BY 1, 2),
+    n AS (SELECT o.page_id, o.pre, o.pre - o.depth + s.inside AS post, o.depth, coalesce(o.kind, CASE WHEN json_type(o.j, '$."@type"') = 'VARCHAR' THEN json_extract_string(o.j, '$."@type"') END, 'object') AS node_type, o.path AS node_path, o.parent AS parent_path FROM o JOIN s ON s.page_id = o.page_id AND s.pre = o.pre WHERE json_type(o.j) = 'OBJECT')"""
+)
+_LABELS = "CAST(n.pre AS INT) AS pre, CAST(n.post AS INT) AS post, CAST(n.depth AS INT) AS depth, n.node_type, n.node_path, CAST(coalesce(u.pre, -1) AS INT) AS parent_pre, n.parent_path FROM n LEFT JOIN n u ON u.page_id = n.page_id AND u.node_path = n.parent_path"
+
 SQL = {
+    "p2_nodes": f"{_NODES} SELECT n.page_id, {_LABELS}",
+    **{f"p2_nodes_{k}": f"{_NODES} SELECT n.page_id, {_LABELS} WHERE n.node_type = '{t}'" for k, t in (("heading", "heading"), ("form", "form"), ("product", "Product"), ("offer", "Offer"), ("question", "Question"), ("postaladdress", "PostalAddress"))},
+    "p2_enclosed": f"{_NODES} SELECT a.page_id, CAST(a.pre AS INT) AS inner_pre, CAST(b.pre AS INT) AS outer_pre FROM n a JOIN n b ON a.page_id = b.page_id AND b.pre < a.pre AND b.post > a.post WHERE a.node_type = 'Offer' AND b.node_type = 'Product'",
+    **oracle_html.SQL,
+    "category_summary": f"WITH {oracle_html.CAPTURED} SELECT site, {category()} AS category, count(*) AS pages, round(avg({TOTAL_WORDS}), 2) AS mean_words FROM p GROUP BY 1, 2",
+    "page_derived": f"WITH {oracle_html.CAPTURED}, w AS (SELECT *, {TOTAL_WORDS} AS words, {PLAIN} AS t FROM p) SELECT page_id, words AS total_words, CASE WHEN t = '' THEN '' ELSE left(sha256(t), 16) END AS content_hash, length(t) // 4 AS token_estimate, "
+    f"coalesce(trim(left(coalesce(nullif(meta_description, ''), nullif({texts('paragraph')}[1], ''), {texts('heading')}[1], ''), 200)), '') AS summary, {category()} AS category, {SIGNATURE} AS signature, array_to_string(list_filter({flags()}, lambda f: f IS NOT NULL), ',') AS quality_flags FROM w",
     "p2_found": P.replace("WITH", "WITH RECURSIVE", 1)
     + f""", b AS (SELECT page_id, content_blocks, unnest(range(1, len(content_blocks) + 1)) AS i FROM p),
     r AS (SELECT page_id, 'structured_data[' || (i - 1) || ']' AS path, structured_data[i]::JSON AS j, '' AS parent FROM (SELECT page_id, structured_data, unnest(range(1, len(structured_data) + 1)) AS i FROM p) WHERE json_valid(structured_data[i])
@@ -166,16 +178,11 @@ SQL = {
     "site_firsts": f"{P} SELECT site, arg_min(language, page_id) FILTER (language IS NOT NULL) AS language, array_to_string(list_transform(arg_min(nav_links, page_id) FILTER (len(nav_links) > 0), lambda n: n.text), '|') AS primary_nav, count(*) AS total_pages FROM p GROUP BY 1",
     "outcome_counts": "WITH u AS (SELECT site, url, max(ok) AS ok FROM (SELECT site, url, 1 AS ok FROM page_data UNION ALL SELECT site, url, 0 FROM skipped_pages) GROUP BY 1, 2) SELECT site, CAST(sum(ok) AS BIGINT) AS captured, CAST(sum(1 - ok) AS BIGINT) AS skipped, count(*) AS attempted FROM u GROUP BY 1",
     "skip_reasons": "SELECT site, coalesce(reason, 'render_failed') AS reason, count(DISTINCT url) AS pages FROM skipped_pages GROUP BY 1, 2",
-    "partial_sites": f"{P}, k AS (SELECT site, count(DISTINCT url) AS kept FROM p GROUP BY 1), l AS (SELECT site, count(DISTINCT url) AS lost FROM skipped_pages GROUP BY 1) SELECT coalesce(k.site, l.site) AS site, coalesce(lost, 0) AS skipped, coalesce(kept, 0) + coalesce(lost, 0) AS attempted FROM k FULL JOIN l ON k.site = l.site WHERE 2 * coalesce(lost, 0) >= coalesce(kept, 0) + coalesce(lost, 0) AND coalesce(lost, 0) > 0",
-    "shell_sites": f"{_WORDS}, t AS (SELECT site, count(*) AS total, sum(words) // count(*) AS mean FROM w GROUP BY 1 HAVING count(*) >= 3 AND sum(words) // count(*) < 50), g AS (SELECT site, {SIGNATURE} AS s, count(*) AS k FROM p GROUP BY 1, 2 HAVING s <> '' AND count(*) >= 2) SELECT g.site, min('spa_loading_shell:' || k || '_of_' || total || '_pages_share_' || len(string_split(s, ',')) || '_block_template') AS warning FROM g JOIN t ON g.site = t.site WHERE k >= 0.8 * total AND len(string_split(s, ',')) < 5 GROUP BY 1",
-    "foreign_links": f"WITH r AS (SELECT site, regexp_replace({host('dst_url')}, '^www\\.', '') AS h, regexp_replace(lower(site), '^www\\.', '') AS o FROM link_edges WHERE site IS NOT NULL), c AS (SELECT site, h, count(*) AS k, sum(CASE WHEN h <> '' AND h <> o AND NOT ends_with(h, '.' || o) THEN 1 ELSE 0 END) AS f, max(h <> o) AS other FROM r GROUP BY 1, 2) SELECT site, CAST(round(100.0 * sum(f) / sum(k)) AS INT) AS percent FROM c GROUP BY 1 HAVING percent >= 50",
     "document_emails": f"{_MAILS} SELECT doc_id, email, count(*) AS k FROM c GROUP BY 1, 2",
-    "unique_emails": f"{_MAILS} SELECT source AS site, arg_min(email, (CASE WHEN regexp_matches(email, '[A-Z]') THEN '1' ELSE '0' END) || email) AS email FROM c GROUP BY source, lower(email)",
-    "document_phones": f"{_PHONES} SELECT doc_id, phone, count(*) AS k FROM c WHERE {phone_ok('phone')} GROUP BY 1, 2",
     "crawl_depths": f"WITH RECURSIVE e AS (SELECT DISTINCT site, src_url, regexp_replace(dst_url, '#.*$', '') AS dst_url FROM link_edges WHERE {host('dst_url')} = {host('src_url')} AND NOT {any_of('dst_url', DEFAULT_EXCLUDES)}), s AS (SELECT site, min(src_url) AS url FROM link_edges WHERE site IS NOT NULL GROUP BY 1), c AS (SELECT site, url, 0 AS depth FROM s UNION SELECT e.site, e.dst_url, c.depth + 1 FROM c JOIN e ON e.site = c.site AND e.src_url = c.url WHERE c.depth < 3) SELECT site, url, min(depth) AS depth FROM c GROUP BY 1, 2",
     "robots_allowed": f"SELECT DISTINCT site, url FROM page_data WHERE site IS NOT NULL AND NOT ({path('url')} LIKE '/shop/%' OR {path('url')} LIKE '/legal%' OR {path('url')} = '/blog')",
     "sitemap_pages": "SELECT DISTINCT site, url FROM page_data WHERE site IS NOT NULL AND url IS NOT NULL AND NOT regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '\\.(xml|txt|md|json)$')",
-    "css_colours": "WITH r AS (SELECT source AS site, unnest(regexp_extract_all(lower(text), '#(?:[0-9a-f]{8}|[0-9a-f]{6}|[0-9a-f]{3})\\b')) AS value FROM documents WHERE regexp_matches(text, '^\\.[a-z0-9-]+\\{')) SELECT site, value, count(*) AS count FROM r WHERE value NOT IN ('#fff', '#ffffff', '#000', '#000000', '#00000000') AND NOT (length(value) = 9 AND value LIKE '%00') GROUP BY 1, 2",
+    "css_colours": "WITH r AS (SELECT source AS site, unnest(regexp_extract_all(lower(text), '#(?:[0-9a-f]{8}|[0-9a-f]{6}|[0-9a-f]{3})\\b')) AS value FROM documents WHERE regexp_matches(text, '\\{[^{}]*[a-z-]+\\s*:[^{}]*\\}')) SELECT site, value, count(*) AS count FROM r WHERE value NOT IN ('#fff', '#ffffff', '#000', '#000000', '#00000000') AND NOT (length(value) = 9 AND value LIKE '%00') GROUP BY 1, 2",
     "page_title": "SELECT page_id, coalesce(nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')), ''), CASE WHEN regexp_matches(html, '(?i)<title>') THEN '' ELSE 'No title' END) AS title FROM pages",
     "page_language": "SELECT page_id, nullif(regexp_extract(html, '(?i)<html[^>]* lang=\"([^\"]*)\"', 1), '') AS language FROM pages",
 }

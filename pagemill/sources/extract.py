@@ -198,9 +198,9 @@ class Page:
         return "".join(z.text() + " " for z in zones)
 
     def style_text(self) -> str:
-        """Style sheets of the page, style attributes, and old colour attributes as style."""
+        """Style sheets of the page, style attributes of the body and all in it, and old colour attributes as style."""
         lines = ["".join(n.texts()) for n in self.select("style")]
-        for n in self.body.walk():
+        for n in (self.body, *self.body.walk()):
             if n.get("style") is not None:
                 lines.append(n.get("style"))
             for name in ("bgcolor", "color"):
