@@ -28,7 +28,7 @@ class EngineConfig:
     canonical_links: bool = False
     split_pages: bool = False
     markdown: bool = False
-    jsonl: bool = False
+    capture_404: bool = False
     partitions: int | None = None
     fields: tuple[str, ...] | None = field(default=None)
 

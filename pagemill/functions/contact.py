@@ -60,11 +60,11 @@ def canonical_digits(number: Column) -> Column:
 
     def without_code(rest: Column) -> Column:
         code = F.get(F.filter(codes, lambda c: F.startswith(rest, c) & (F.length(rest) - F.length(c) >= 7)), F.lit(0))
-        return F.substring(rest, F.length(code) + 1, F.lit(100))
+        return F.substring(rest, F.length(code) + 1, F.length(rest))
 
-    plus = F.coalesce(without_code(d), F.when(F.length(d) >= 11, F.substring(d, 2, 100)), d)
-    zeros = F.when(d.startswith("00"), without_code(F.substring(d, 3, 100)))
-    return F.when(F.trim(number).startswith("+"), plus).otherwise(F.coalesce(zeros, F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 100)), d))
+    plus = F.coalesce(without_code(d), F.when(F.length(d) >= 11, F.substring(d, F.lit(2), F.length(d))), d)
+    zeros = F.when(d.startswith("00"), without_code(F.substring(d, F.lit(3), F.length(d))))
+    return F.when(F.trim(number).startswith("+"), plus).otherwise(F.coalesce(zeros, F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, F.lit(2), F.length(d))), d))
 
 
 def decode_mail(text: Column) -> Column:
@@ -110,7 +110,7 @@ def page_emails() -> Column:
 
 def page_phones() -> Column:
     """Numbers of a captured page: telephone links, and its text unless the page is a legal one."""
-    calls = F.transform(F.filter(F.col("contact_links"), lambda h: h.startswith("tel:")), lambda h: balance_brackets(F.substring(h, 5, 1000)))
+    calls = F.transform(F.filter(F.col("contact_links"), lambda h: h.startswith("tel:")), lambda h: balance_brackets(F.substring(h, F.lit(5), F.length(h))))
     seen = F.when(~legal_page(F.col("url")), phones_in(F.col("body_text")))
     every = F.concat(F.coalesce(calls, F.array().cast("array<string>")), F.coalesce(seen, F.array().cast("array<string>")))
     return F.array_distinct(F.filter(every, looks_like_phone))

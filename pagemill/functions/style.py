@@ -79,7 +79,7 @@ def webfont_families(url: Column) -> Column:
     named = F.filter(F.split(query, "&"), lambda p: p.startswith("family="))
 
     def family(p: Column) -> Column:
-        text = F.replace(F.substring(p, 8, 10_000), F.lit("+"), F.lit(" "))
+        text = F.replace(F.substring(p, F.lit(8), F.length(p)), F.lit("+"), F.lit(" "))
         for code, char in (("3A", ":"), ("2C", ","), ("20", " "), ("2B", "+")):
             text = F.regexp_replace(text, f"(?i)%{code}", char)
         return F.trim(F.split(text, "[:,]")[0])

@@ -24,21 +24,38 @@ def _listed(df: DataFrame, alias: str, *columns: str, order: str | None = None)
     return rows.select("site", F.transform(alias, lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(alias))
 
 
-def site_bundles(captured: DataFrame, skipped: DataFrame | None = None, stylesheets: DataFrame | None = None, most: int = 12) -> DataFrame:
-    """One row per site: pages, language, navigation, footer, contact, brand, technologies, templates, languages, warnings."""
+def brands(captured: DataFrame, stylesheets: DataFrame | None = None, most: int = 12) -> DataFrame:
+    """Palettes: colours, fonts, variables, web fonts, confidence, logo and icon of each site."""
     css = brand.styles(captured, stylesheets)
     sheets = brand.webfonts(captured)
     colours, fonts = brand.colours(css, most), brand.with_webfonts(brand.fonts(css, most), sheets, most)
+    icons = captured.groupBy("site").agg(F.min_by(F.when(F.col("favicon_url").isNotNull(), F.col("favicon_url")), F.when(F.col("favicon_url").isNotNull(), F.col("page_id"))).alias("favicon_url"))
+    out = icons
+    for part in (
+        _listed(colours, "colors", "value", "count", order="count"), _listed(fonts, "fonts", "family", "count", order="count"), _listed(brand.variables(css, 2 * most), "css_variables", "name", "value", "count", order="count"),
+        _listed(sheets, "webfonts", "provider", "families", "url"), brand.confidence(colours, fonts), site.common_logo(captured),
+    ):
+        out = out.join(part, "site", "left")
+    return out
+
+
+def site_bundles(captured: DataFrame, skipped: DataFrame | None = None, stylesheets: DataFrame | None = None, most: int = 12, with_brand: bool = True, listed: DataFrame | None = None) -> DataFrame:
+    """One row per site: pages, language, navigation, footer, contact, brand, technologies, templates, languages, warnings.
+
+    ``listed`` are the URLs (site, url) that a site's sitemap or list named, for the warning that most are another host's.
+    """
     contacts = site.contacts(captured)
     contact = contacts.select("site", F.struct(*(c for c in contacts.columns if c != "site")).alias("contact"))
     warnings = site.shell_warnings(captured)
     if skipped is not None:
         warnings = warnings.unionByName(site.partial_warnings(captured, skipped).select("site", "warning"))
-    out = site.first_values(captured)
+    if listed is not None:
+        warnings = warnings.unionByName(site.foreign_hosts(listed).select("site", "warning"))
+    out = site.first_values(captured).drop("favicon_url")
+    if with_brand:
+        out = out.join(brands(captured, stylesheets, most), "site", "left").join(_listed(brand.technologies(captured), "frameworks", "framework", "confidence", "evidence"), "site", "left")
     for part in (
-        contact, _listed(colours, "colors", "value", "count", order="count"), _listed(fonts, "fonts", "family", "count", order="count"), _listed(brand.variables(css, 2 * most), "css_variables", "name", "value", "count", order="count"),
-        _listed(sheets, "webfonts", "provider", "families", "url"), brand.confidence(colours, fonts), site.common_logo(captured), _listed(brand.technologies(captured), "frameworks", "framework", "confidence", "evidence"),
-        _listed(site.template_counts(captured), "templates", "template_id", "block_pattern", "page_count", "sample_page", order="page_count"), _listed(site.flag_counts(captured), "quality_flags", "flag", "pages", order="pages"),
+        contact, _listed(site.template_counts(captured), "templates", "template_id", "block_pattern", "page_count", "sample_page", order="page_count"), _listed(site.flag_counts(captured), "quality_flags", "flag", "pages", order="pages"),
         _listed(site.hreflang_urls(captured).groupBy("site", "lang").agg(F.count("*").alias("urls")), "hreflang_groups", "lang", "urls"), warnings.groupBy("site").agg(F.array_sort(F.collect_set("warning")).alias("quality_warnings")),
     ):
         out = out.join(part, "site", "left")

@@ -65,11 +65,11 @@ def without_disallowed(url_list: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce(urls.disallowed(F.col("url"), F.col("disallow")), F.lit(False))).drop("disallow")
 
 
-def sitemap_urls(sitemaps: DataFrame, start: DataFrame, max_rounds: int = 50) -> DataFrame:
+def sitemap_urls(sitemaps: DataFrame, start: DataFrame) -> DataFrame:
     """Page URLs below some sitemaps: site, url. ``sitemaps`` holds fetched files (url, body), ``start`` the first ones (site, url).
 
     Entries whose path ends in ``.xml`` are read as sitemaps themselves, each once; texts and data files are left out; a
-    body that is no sitemap stands for its own URL.
+    body that is no sitemap stands for its own URL. Rounds end when one finds no new sitemap, however deep they are nested.
     """
     locations = F.regexp_extract_all("body", F.lit(r"(?is)<loc[^>]*>\s*(.*?)\s*</loc>"), F.lit(1))
     is_map = F.lower("body").rlike("<(urlset|sitemapindex)")
@@ -81,17 +81,16 @@ def sitemap_urls(sitemaps: DataFrame, start: DataFrame, max_rounds: int = 50) ->
     bodies = sitemaps.dropDuplicates(["url"])
     todo = materialise(start.select("site", "url").distinct(), "frontier")
     seen, pages = todo, None
-    for _ in range(max_rounds):
+    while True:
         read = bodies.join(todo, "url").select("site", "url", F.explode(F.when(is_map, locations).otherwise(F.array("url"))).alias("loc"), is_map.alias("listed"))
         read = materialise(read.select("site", unescape("loc").alias("loc"), "listed"), "entries")
         path = F.lower(F.regexp_replace("loc", r"[?#].*$", ""))
         leaf = read.where(~F.col("listed") | ~path.rlike(r"\.(xml|txt|md|json)$")).select("site", F.col("loc").alias("url"))
-        pages = leaf if pages is None else pages.unionByName(leaf)
+        pages = leaf if pages is None else materialise(pages.unionByName(leaf), "pages")
         todo = materialise(read.where(F.col("listed") & path.endswith(".xml")).select("site", F.col("loc").alias("url")).distinct().join(seen, ["site", "url"], "left_anti"), "frontier")
         if todo.isEmpty():
-            break
-        seen = seen.unionByName(todo)
-    return pages.distinct()
+            return pages.distinct()
+        seen = materialise(seen.unionByName(todo), "seen")
 
 
 def crawl(edges: DataFrame, start: DataFrame, max_depth: int = 3, max_pages: int | None = 1_000, excludes=()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import blocks, contact, urls
+from pagemill.runtime import materialise
 
 
 def first_delivery(page_data: DataFrame) -> DataFrame:
@@ -142,13 +143,15 @@ def unique_phones(phones: DataFrame) -> DataFrame:
 
 def contacts(captured: DataFrame) -> DataFrame:
     """Contact details of each site from captured pages with ``site``: e-mails, phones, profiles, addresses, organization, form targets."""
-    per_page = captured.select("page_id", "site", contact.page_emails().alias("emails"), contact.page_phones().alias("phones"), "social_links", "addresses", "organization", F.filter("content_blocks", lambda b: (b["type"] == "form") & (b["purpose"] == "contact") & (b["action"] != "")).alias("forms"))
+    per_page = captured.select("page_id", "site", contact.page_emails().alias("emails"), contact.page_phones().alias("phones"), "social_links", "addresses", "organization", F.transform(F.filter("content_blocks", lambda b: (b["type"] == "form") & (b["purpose"] == "contact") & (b["action"] != "")), lambda b: b["action"]).alias("forms"))
+    # six lists are made of them, of one pass over the pages
+    per_page = materialise(per_page, "contacts")
     list_of = lambda df, column, alias: df.groupBy("site").agg(F.array_sort(F.collect_set(column)).alias(alias))
     emails = list_of(unique_emails(per_page.select("site", F.explode("emails").alias("email"))), "email", "emails")
     phones = list_of(unique_phones(per_page.select("site", F.explode("phones").alias("phone")).distinct()), "phone", "phones")
     socials = list_of(per_page.select("site", F.explode("social_links").alias("s")), "s", "social_links")
     places = list_of(per_page.select("site", F.explode("addresses").alias("a")), "a", "addresses")
-    forms = list_of(per_page.select("site", F.explode("forms").alias("f")), F.col("f.action"), "contact_form_endpoints")
+    forms = list_of(per_page.select("site", F.explode("forms").alias("f")), "f", "contact_form_endpoints")
     firsts = per_page.groupBy("site").agg(F.min_by("organization", F.when(F.col("organization").isNotNull(), F.col("page_id"))).alias("organization"))
     for part in (emails, phones, socials, places, forms):
         firsts = firsts.join(part, "site", "left")

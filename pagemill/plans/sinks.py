@@ -64,12 +64,56 @@ def asset_manifest(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("kind", kind).where("kind IS NOT NULL")
 
 
-def index_lines(summaries: DataFrame, flags: DataFrame) -> DataFrame:
-    """Lines of an index in Markdown for each site, by section and order: site, part, line."""
-    heads = summaries.groupBy("site").agg(F.count("*").alias("n"), F.sum("word_count").alias("w")).select("site", F.lit(0).alias("part"), F.concat(F.lit("# "), "site", F.lit(": "), F.col("n").cast("string"), F.lit(" pages, "), F.col("w").cast("string"), F.lit(" words")).alias("line"))
-    pages = summaries.select("site", F.lit(1).alias("part"), F.concat(F.lit("- ["), F.coalesce("title", F.lit("")), F.lit("]("), "url", F.lit(") "), "category").alias("line"))
-    warned = flags.select("site", F.lit(2).alias("part"), F.concat(F.lit("- "), "flag", F.lit(": "), F.col("pages").cast("string")).alias("line"))
-    return heads.unionByName(pages).unionByName(warned)
+#: Parts of an index: its heading, warnings, facts, templates, flags, files, pages.
+HEADING, WARNINGS, FACTS, TEMPLATES, FLAGS, FILES, PAGES = range(7)
+_FILES = (("scraped", "every page with all blocks, forms and structured data"), ("site", "aggregates of the site"), ("compact", "short rows for small contexts"), ("contact", "e-mails, phones, profiles, addresses"), ("brand", "colours, fonts, variables, icon and logo"), ("index", "this file"))
+
+
+def _top(column: str, name: str, most: int = 5):
+    """The first entries of a list of structs with counts, as text."""
+    return F.array_join(F.transform(F.slice(F.coalesce(F.col(column), F.array()), 1, most), lambda x: F.concat(F.lit("`"), x[name], F.lit("` ("), x["count"].cast("string"), F.lit("×)"))), ", ")
+
+
+def index_lines(bundles: DataFrame, summaries: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """Lines of an index in Markdown for each site: site, part, line_no, line.
+
+    Of a bundle come warnings, facts (the five commonest colours and fonts), templates and flags; of the summaries a row for
+    each page, which stay rows, so that no site is one string.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    have = set(bundles.columns)
+    fact = lambda label, value: F.when(text(value) != "", F.concat(F.lit(f"- **{label}**: "), value))
+    contact = lambda field: F.array_join(F.col(f"contact.{field}"), ", ")
+    bundles = bundles.withColumn("quality_warnings", F.coalesce("quality_warnings", F.array().cast("array<string>")))
+    facts = [fact("Site", F.col("site")), fact("Pages", F.col("total_pages").cast("string")), fact("Language", F.col("language"))]
+    if "frameworks" in have:
+        facts.append(fact("Technologies", F.array_join(F.transform("frameworks", lambda f: F.concat(f["framework"], F.lit(" ("), f["confidence"], F.lit(")"))), ", ")))
+    if "colors" in have:
+        facts += [fact("Icon", F.col("favicon_url")), fact("Logo", F.col("logo_url")), fact("Top colours", _top("colors", "value")), F.when(F.col("confidence") != "high", F.concat(F.lit("- **Brand confidence**: "), "confidence")), fact("Top fonts", _top("fonts", "family"))]
+    facts += [fact("E-mails", contact("emails")), fact("Phones", contact("phones")), fact("Profiles", F.array_join(F.transform("contact.social_links", lambda x: F.concat_ws(": ", x["platform"], x["url"])), " · "))]
+    facts.append(F.when((contact("emails") == "") & (contact("phones") == ""), fact("Contact forms", contact("contact_form_endpoints"))))
+    warning = lambda w: F.concat(F.lit("> **Warning** "), F.regexp_replace(F.regexp_replace(w, "^[a-z_]+:", ""), "_", " "), F.lit(" ("), F.regexp_extract(w, "^([a-z_]+)", 1), F.lit(")"))
+    rule = lambda part, lines: F.transform(lines, lambda x, i: F.struct(F.lit(part).alias("part"), i.cast("bigint").alias("line_no"), x.alias("line")))
+    titled = lambda lines, *head: F.when(F.size(lines) > 0, F.concat(F.array(*(F.lit(h) for h in head)), lines)).otherwise(F.array().cast("array<string>"))
+    templates = F.transform(F.coalesce("templates", F.array()), lambda t: F.concat(F.lit("| `"), t["template_id"], F.lit("` | "), t["page_count"].cast("string"), F.lit(" | "), t["sample_page"], F.lit(" | `"), t["block_pattern"], F.lit("` |")))
+    flags = F.transform(F.coalesce("quality_flags", F.array()), lambda f: F.concat(F.lit("| `"), f["flag"], F.lit("` | "), f["pages"].cast("string"), F.lit(" |")))
+    parts = F.flatten(F.array(
+        rule(HEADING, F.array(F.concat(F.lit("# Site export: "), "site"))), rule(WARNINGS, F.transform("quality_warnings", warning)), rule(FACTS, F.concat(F.array(F.lit("## At a glance")), F.array_compact(F.array(*facts)))),
+        rule(TEMPLATES, titled(templates, "## Page templates", "| Template | Pages | Sample | Blocks |", "| --- | --- | --- | --- |")), rule(FLAGS, titled(flags, "## Quality flags", "| Flag | Pages |", "| --- | --- |")),
+        rule(FILES, F.array(F.lit("## Where to look"), *(F.lit(f"- `{name}`: {what}") for name, what in _FILES))),
+    ))
+    heads = bundles.where("site IS NOT NULL").select("site", F.inline(parts))
+    table = summaries.where("site IS NOT NULL").select("site").distinct().select("site", F.lit(PAGES).alias("part"), F.posexplode(F.array(F.lit("## Pages"), F.lit("| URL | Category | Title | Words | Form | Images | Links out | Links in |"), F.lit("| --- | --- | --- | --- | --- | --- | --- | --- |"))).alias("k", "line")).select("site", "part", (F.col("k") - 3).cast("bigint").alias("line_no"), "line")
+    cells = ("url", F.concat(F.lit("`"), "category", F.lit("`")), F.replace(text(F.col("title")), F.lit("|"), F.lit("\\|")), F.col("word_count").cast("string"), F.when(F.col("has_form"), "yes").otherwise("—"), *(F.col(c).cast("string") for c in ("image_count", "internal_links_out", "internal_links_in")))
+    pages = summaries.where("site IS NOT NULL").select("site", F.lit(PAGES).alias("part"), F.col("page_id").alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    out = heads.unionByName(table).unionByName(pages)
+    if skipped is not None:
+        reasons = skipped.where("site IS NOT NULL").groupBy("site", F.coalesce("reason", F.lit("render_failed")).alias("reason")).agg(F.count("*").alias("k"))
+        out = out.unionByName(reasons.select("site", F.lit(WARNINGS).alias("part"), F.lit(1_000).cast("bigint").alias("line_no"), F.concat(F.lit("> Skipped pages, "), "reason", F.lit(": "), F.col("k").cast("string")).alias("line")))
+        # sites of which nothing was captured have no bundle
+        lost = skipped.where("site IS NOT NULL").select("site").distinct().join(bundles.select("site"), "site", "left_anti")
+        out = out.unionByName(lost.select("site", F.lit(HEADING).alias("part"), F.lit(0).cast("bigint").alias("line_no"), F.concat(F.lit("# Site export: "), "site", F.lit(" (no page was captured)")).alias("line")))
+    return out
 
 
 def mark_status(spark: SparkSession, path: str, status: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import images
 from pagemill.operators import brand, bundle, site
-from pagemill.sources.fetch import fetch, fetch_one, raw_pages, skipped_pages
+from pagemill.sources.fetch import fetch, fetch_one, images as fetched_images, named_assets, probe_urls, raw_pages, robots_files, robots_urls, skipped_pages, write_assets
 from pagemill.sources.pages import capture
 from tests.conftest import rows_of
 
@@ -21,11 +21,12 @@ class Server(http.server.BaseHTTPRequestHandler):
     def do_GET(self):
         n = self.tries[self.path] = self.tries.get(self.path, 0) + 1
         status = {"/missing": 404, "/down": 503, "/flaky": 200 if n > 2 else 500}.get(self.path, 200)
-        body = "<title>Just a moment...</title>" if self.path == "/robot" else "<h1>Zażółć</h1>"
+        body = {"/robot": "<title>Just a moment...</title>", "/robots.txt": "User-agent: *\nDisallow: /x"}.get(self.path, "<h1>Zażółć</h1>").encode()
+        picture = self.path.endswith((".png", "/logo"))
         self.send_response(status)
-        self.send_header("Content-Type", "text/html; charset=utf-8")
+        self.send_header("Content-Type", "image/svg+xml" if self.path == "/logo" else "image/png" if picture else "text/html; charset=utf-8")
         self.end_headers()
-        self.wfile.write(body.encode())
+        self.wfile.write(bytes(range(256)) * (1 if self.path == "/dot.png" else 5) if picture else body)
 
     def log_message(self, *_):
         pass
@@ -57,6 +58,25 @@ def test_fetch_table(spark, base):
     found.unpersist()
 
 
+def test_bytes_of_assets(spark, base, tmp_path):
+    df = spark.createDataFrame([("s", base + p) for p in ("/a.png", "/dot.png", "/pixel.png", "/missing", "/logo")], "site string, url string")
+    got = fetch(df.where("NOT endswith(url, 'logo')"), retries=0, binary=True)
+    kept = fetched_images(got).collect()
+    assert [(r.url, bytes(r.content)) for r in kept] == [(base + "/a.png", bytes(range(256)) * 5)] and kept[0].path.startswith("images/") and kept[0].path.endswith(".png")
+    logo = named_assets(fetch(df.where("endswith(url, 'logo')"), retries=0, binary=True), "logo")
+    written = write_assets(logo, str(tmp_path)).collect()
+    assert [(r.site, r.path, r.size_bytes) for r in written] == [("s", "images/logo.svg", 1_280)]
+    assert (tmp_path / "s" / "images" / "logo.svg").read_bytes() == bytes(range(256)) * 5
+
+
+def test_robots_and_probe_urls(spark, base):
+    df = spark.createDataFrame([("s", base + "/b"), ("s", base + "/a"), ("t", None), ("t", "bad")], "site string, url string")
+    assert rows_of(robots_urls(df), "site", "url") == [("s", base + "/robots.txt")]
+    assert rows_of(robots_files(fetch(robots_urls(df), retries=0)), "site", "body") == [("s", "User-agent: *\nDisallow: /x")]
+    (site_, url), = rows_of(probe_urls(df, "run 1"), "site", "url")
+    assert site_ == "s" and url.startswith(base + "/pagemill-probe-") and (site_, url) not in rows_of(probe_urls(df, "run 2"), "site", "url")
+
+
 def png(pixels, kind, filters=None):
     height, width, channels = pixels.shape
     rows, before = b"", np.zeros(width * channels, int)
