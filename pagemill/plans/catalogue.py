@@ -117,7 +117,7 @@ def queries() -> dict[str, Query]:
         "page_signature": lambda s, d: _each(s, d, blocks.signature().alias("signature")),
         "page_sections": lambda s, d: _each(s, d, blocks.sections().alias("x")).select("page_id", F.inline("x")),
         "page_markdown": lambda s, d: sinks.markdown_pages(_raw(s, d)).dropDuplicates(["page_id"]),
-        "page_compact": lambda s, d: sinks.compact(_raw(s, d)).dropDuplicates(["page_id"]),
+        "page_compact": lambda s, d: sinks.compact(_raw(s, d)).withColumn("headings", F.coalesce(F.array_join("headings", "|"), F.lit(""))).dropDuplicates(["page_id"]),
         "quality_flags": lambda s, d: _facts(s, d, "quality_flags").select("page_id", F.array_join("quality_flags", ",").alias("flags")),
         "quality_flag_counts": lambda s, d: site.flag_counts(_facts(s, d, "quality_flags")),
         "embed_providers": lambda s, d: _raw(s, d).select("page_id", F.explode(F.arrays_zip(c("content_blocks.type").alias("type"), c("content_blocks.src").alias("src"))).alias("b")).where("b.type = 'embed'").select("page_id", c("b.src").alias("src"), blocks.embed_provider(c("b.src")).alias("provider")).distinct(),

@@ -139,7 +139,33 @@ _NODES = (
 )
 _LABELS = "CAST(n.pre AS INT) AS pre, CAST(n.post AS INT) AS post, CAST(n.depth AS INT) AS depth, n.node_type, n.node_path, CAST(coalesce(u.pre, -1) AS INT) AS parent_pre, n.parent_path FROM n LEFT JOIN n u ON u.page_id = n.page_id AND u.node_path = n.parent_path"
 
+_STRINGS = ("type", "text", "original_url", "local_path", "alt_text", "action", "method", "submit_text", "purpose", "provider", "src", "title", "caption", "language", "cite", "kind", "poster")
+_FIELD_STRINGS, _ENTRY_STRINGS = ("field_type", "name", "label", "placeholder"), ("term", "description")
+
+
+def _scalar(source: str, path: str, name: str, value: str, kind: str) -> str:
+    return f"SELECT page_id, {path} AS path, {name} AS name, CASE WHEN {value} IS NULL THEN 'null' ELSE '{kind}' END AS kind, CAST({value} AS VARCHAR) AS value FROM {source}"
+
+
+def _block_values() -> str:
+    """The values of blocks and of their entries, by path of their owner."""
+    block, entry = "'content_blocks[' || i || ']'", "'content_blocks[' || i || '].{f}[' || (k - 1) || ']'"
+    out = [_scalar("b WHERE x.%s IS NOT NULL" % c, block, f"'{c}'", f'x."{c}"', "string") for c in _STRINGS] + [_scalar("b WHERE x.level IS NOT NULL", block, "'level'", "x.level", "number")]
+    out += [_scalar(f"(SELECT page_id, i, x.{c} AS y, unnest(range(1, len(x.{c}) + 1)) AS k FROM b)", block, f"'{c}[' || (k - 1) || ']'", "y[k]", "string") for c in ("items", "headers")]
+    out.append(_scalar("(SELECT *, unnest(range(1, len(r) + 1)) AS m FROM (SELECT *, y[k] AS r FROM (SELECT page_id, i, x.\"rows\" AS y, unnest(range(1, len(x.\"rows\") + 1)) AS k FROM b)))", block, "'rows[' || (k - 1) || '][' || (m - 1) || ']'", "r[m]", "string"))
+    for f, names in (("fields", _FIELD_STRINGS), ("definitions", _ENTRY_STRINGS)):
+        source = f"(SELECT *, y[k] AS e FROM (SELECT page_id, i, x.{f} AS y, unnest(range(1, len(x.{f}) + 1)) AS k FROM b))"
+        out += [_scalar(f"{source} WHERE e.{c} IS NOT NULL", entry.format(f=f), f"'{c}'", f"e.{c}", "string") for c in names]
+        if f == "fields":
+            out.append(_scalar(f"{source} WHERE e.required IS NOT NULL", entry.format(f=f), "'required'", "e.required", "bool"))
+            out.append(_scalar(f"(SELECT *, e.options AS o, unnest(range(1, len(e.options) + 1)) AS m FROM {source})", entry.format(f=f), "'options[' || (m - 1) || ']'", "o[m]", "string"))
+    return " UNION ALL ".join(out)
+
+
 SQL = {
+    "p2_block_attributes": f"{_NODES}, b AS (SELECT page_id, i - 1 AS i, content_blocks[i] AS x FROM (SELECT page_id, content_blocks, unnest(range(1, len(content_blocks) + 1)) AS i FROM p)), v AS ({_block_values()}) SELECT v.page_id, CAST(n.pre AS INT) AS owner_pre, v.name, v.kind, v.value FROM v JOIN n ON n.page_id = v.page_id AND n.node_path = v.path",
+    "page_compact": f"{P} SELECT page_id, site, url, title, {category()} AS category, meta_description, {texts('heading')}[1] AS primary_heading, {TOTAL_WORDS} AS word_count, CAST(len(list_filter(coalesce(content_blocks, []), lambda b: b.type = 'image')) AS INT) AS image_count, len(list_filter(coalesce(content_blocks, []), lambda b: b.type = 'form')) > 0 AS has_form, "
+    f"CAST(coalesce(len(internal_links_out), 0) AS INT) AS internal_links_out, coalesce(array_to_string({texts('heading')}[:20], '|'), '') AS headings FROM p",
     "p2_nodes": f"{_NODES} SELECT n.page_id, {_LABELS}",
     **{f"p2_nodes_{k}": f"{_NODES} SELECT n.page_id, {_LABELS} WHERE n.node_type = '{t}'" for k, t in (("heading", "heading"), ("form", "form"), ("product", "Product"), ("offer", "Offer"), ("question", "Question"), ("postaladdress", "PostalAddress"))},
     "p2_enclosed": f"{_NODES} SELECT a.page_id, CAST(a.pre AS INT) AS inner_pre, CAST(b.pre AS INT) AS outer_pre FROM n a JOIN n b ON a.page_id = b.page_id AND b.pre < a.pre AND b.post > a.post WHERE a.node_type = 'Offer' AND b.node_type = 'Product'",
