@@ -29,10 +29,11 @@ def queries() -> dict[str, Query]:
         "p7_removal_spans": lambda s, d: leakage.removal_spans(table(s, d, "documents"), table(s, d, "benchmark")),
         "p8_found": lambda s, d: quality.found(table(s, d, "documents")),
         "p8_statistics": lambda s, d: quality.statistics(table(s, d, "documents")),
+        "p8_figures": lambda s, d: quality.statistics(table(s, d, "documents")).select("doc_id", "n_words", "mean_word_length", "n_lines", "common_share", "language"),
         "p8_counts": lambda s, d: quality.counts(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"p1_found": near_duplicates.FOUND_SQL, "p1_classes": near_duplicates.CLASSES_SQL, "p3_found": site_lines.FOUND_SQL, "p3_cleaned": site_lines.CLEANED_SQL, "p7_found": leakage.FOUND_SQL, "p8_counts": quality.COUNTS_SQL}
+    return {"p1_found": near_duplicates.FOUND_SQL, "p1_classes": near_duplicates.CLASSES_SQL, "p3_found": site_lines.FOUND_SQL, "p3_cleaned": site_lines.CLEANED_SQL, "p7_found": leakage.FOUND_SQL, "p7_spans": leakage.SPANS_SQL, "p7_removal_spans": leakage.REMOVAL_SQL, "p8_figures": quality.FIGURES_SQL, "p8_counts": quality.COUNTS_SQL}

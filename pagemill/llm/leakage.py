@@ -159,11 +159,19 @@ def removal_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "span").agg(F.min("word_begin").alias("word_begin"), F.max("word_end").alias("word_end")).drop("span")
 
 
-FOUND_SQL = r"""
+_HITS_SQL = r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
 s AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
 g AS (SELECT DISTINCT item_id, n, w[k : k + n - 1] AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, n, w[k : k + n - 1] AS gram FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g)))
-SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (n, gram)
+h AS (SELECT doc_id, n, k, w[k : k + n - 1] AS gram FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g))),
+m AS (SELECT DISTINCT doc_id, item_id, k - 1 AS b, k - 1 + n AS e FROM h JOIN g USING (n, gram))
 """
+FOUND_SQL = _HITS_SQL + "SELECT DISTINCT doc_id, item_id FROM m"
+_MERGED_SQL = """
+, x AS (SELECT *, max(e) OVER (PARTITION BY {key} ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
+y AS (SELECT *, sum(CASE WHEN reach IS NULL OR b > reach THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS span FROM x)
+SELECT {key}, min(b)::BIGINT AS word_begin, max(e)::BIGINT AS word_end FROM y GROUP BY {key}, span
+"""
+SPANS_SQL = _HITS_SQL + _MERGED_SQL.format(key="doc_id, item_id")
+REMOVAL_SQL = _HITS_SQL + _MERGED_SQL.format(key="doc_id")

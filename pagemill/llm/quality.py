@@ -380,3 +380,16 @@ SELECT doc_id, CAST(coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'
   CAST(coalesce(length(text), 0) AS INT) AS chars
 FROM documents
 """
+
+_FUNCTION_LISTS = {lang: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(part)) + "]" for lang, part in _PART.items()}
+_SHARES = ", ".join(f"len(list_filter(w, lambda x: list_contains({words}, x))) AS {lang}" for lang, words in _FUNCTION_LISTS.items())
+#: The figures of ``statistics`` by plain SQL: words, mean length, lines and share of common words of the text's language, or of the language that has most.
+FIGURES_SQL = rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w, left(lower(trim(coalesce(lang, ''))), 2) AS code FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\s\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]')),
+c AS (SELECT *, {_SHARES} FROM d),
+l AS (SELECT *, CASE WHEN code IN ('en', 'de', 'fr', 'es') THEN code WHEN en >= de AND en >= fr AND en >= es THEN 'en' WHEN de >= fr AND de >= es THEN 'de' WHEN fr >= es THEN 'fr' ELSE 'es' END AS language FROM c)
+SELECT doc_id, CAST(len(w) AS INT) AS n_words, CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) END AS mean_word_length,
+  CAST(len(list_filter(regexp_split_to_array(text, '[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]+'), lambda x: regexp_matches(x, '[^\s\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]'))) AS INT) AS n_lines,
+  CASE WHEN len(w) > 0 THEN (CASE language WHEN 'en' THEN en WHEN 'de' THEN de WHEN 'fr' THEN fr ELSE es END) / len(w) END AS common_share, language FROM l
+UNION ALL SELECT doc_id, 0, NULL, 0, NULL, NULL FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[^\s\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]')
+"""
