@@ -8,8 +8,9 @@ texts, or if residue is most of what it has to say.
 
 Only components that hold a trusted unit can get a label, so links are searched from there on: in each round, every unit that
 no round has reached meets all units of its buckets that were reached in the round before (in the first one, all trusted
-ones), and is linked to the nearest that verifies; so each pair of a bucket meets once, and the links span the components. The
-search ends when a round reaches nothing. Units reached in a round are broadcast in blocks of bounded size, one pass over
+ones), and is linked to the nearest that verifies; so each pair of a bucket meets once, and the links span the components. A
+link's trust is that of the unit it leads to, times the cosine; links below ``TRUST`` are left out of the graph, as chains of
+ever less alike texts would join prose to a component. The search ends when a round reaches nothing. Units reached in a round are broadcast in blocks of bounded size, one pass over
 the others for each; the choice among the units that one could be linked to doesn't depend on the blocks. A unit whose nearest
 is a text about residue gets no link: it is prose, and no way from one component to another.
 
@@ -77,6 +78,8 @@ TABLES, BITS, FLIPS = 5, 13, 2
 BLOCK_UNITS, BLOCK_CHARS, PAIRS = 8_192, 1_000_000, 1_000_000
 HAMMING = 13
 assert HAMMING < TABLES * (FLIPS + 1) and 64 <= TABLES * BITS
+#: Least trust of a link: 1 of a trusted unit, times the cosine for each step away from it.
+TRUST = 0.4
 #: Least cosine by the trigrams of the shorter text: short texts are alike by chance.
 COSINES = ((60, 0.6), (30, 0.7), (0, 0.9))
 #: Least cosine with a text about residue, which other prose resembles.
@@ -240,16 +243,17 @@ def needed(grams: int) -> float:
 class Reached:
     """A block of units that links lead to, by table and bucket."""
 
-    def __init__(self, rows: list[tuple[int, str, int, str]]):
-        """Rows of hash, label, SimHash and text."""
+    def __init__(self, rows: list[tuple[int, str, int, str, float]]):
+        """Rows of hash, label, SimHash, text and trust."""
         rows = list(dict.fromkeys(rows))
         self.hashes = [r[0] for r in rows]
         self.labels = [r[1] for r in rows]
         self.prints = np.array([r[2] for r in rows], np.int64).view(np.uint64)
         self.texts = [r[3] for r in rows]
+        self.trust = [r[4] for r in rows]
         self.grams: dict[int, tuple[Counter, int, float]] = {}
         # which of two equally near ones goes first
-        self.rank = np.argsort(sorted(range(len(rows)), key=lambda j: (self.labels[j], self.hashes[j])))
+        self.rank = np.argsort(sorted(range(len(rows)), key=lambda j: (-self.trust[j], self.labels[j], self.hashes[j])))
         # of each table, its members ordered by bucket, and where each bucket begins; each is in all buckets that a few flips lead to
         at = (keys(self.prints)[:, None, :] ^ _MASKS[None, :, None]).reshape(-1, TABLES)
         self.members = (np.argsort(at, axis=0, kind="stable") // len(_MASKS)).astype(np.int32)
@@ -290,9 +294,9 @@ class Reached:
             self.grams[j] = own, sum(own.values()), norm(own)
         return self.grams[j]
 
-    def nearest(self, prints: np.ndarray, text: Callable[[int], str]) -> dict[int, tuple[str, int, int]]:
-        """Of each unit that one of the block is a near-duplicate of: label, hash and distance of the nearest that is."""
-        out: dict[int, tuple[str, int, int]] = {}
+    def nearest(self, prints: np.ndarray, text: Callable[[int], str]) -> dict[int, tuple[str, int, int, float, float]]:
+        """Of each unit that one of the block is a near-duplicate of: label, hash, distance and trust of the nearest that is, and the link's trust."""
+        out: dict[int, tuple[str, int, int, float, float]] = {}
         for unit, who, apart in self.pairs(prints):
             last = -1
             for i, j, k in zip(unit.tolist(), who.tolist(), apart.tolist(), strict=True):
@@ -303,8 +307,9 @@ class Reached:
                     size, length = sum(own.values()), norm(own)
                 other, its_size, its_length = self.counts(j)
                 least = ABOUT if self.labels[j] == "about" else needed(min(size, its_size))
-                if cosine(own, other, length, its_length) >= least:
-                    out[i] = (self.labels[j], self.hashes[j], k)
+                alike = cosine(own, other, length, its_length)
+                if alike >= least and alike * self.trust[j] >= TRUST:
+                    out[i] = (self.labels[j], self.hashes[j], k, self.trust[j], alike * self.trust[j])
         return out
 
 
@@ -314,20 +319,20 @@ def _search(batches: Iterator[pa.RecordBatch], block: Reached) -> Iterator[pa.Re
         texts = batch.column(2)
         found = block.nearest(prints, lambda i, texts=texts: texts[i].as_py())
         at = pa.array(list(found), pa.int64())
-        names, by, apart = zip(*found.values(), strict=True) if found else ((),) * 3
-        columns = [batch.column(0).take(at), pa.array(names, pa.string()), batch.column(1).take(at), texts.take(at), pa.array(by, pa.int64()), pa.array(apart, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["h", "label", "print", "text", "by", "apart"])
+        names, by, apart, its_trust, trust = zip(*found.values(), strict=True) if found else ((),) * 5
+        columns = [batch.column(0).take(at), pa.array(names, pa.string()), batch.column(1).take(at), texts.take(at), pa.array(trust, pa.float64()), pa.array(by, pa.int64()), pa.array(apart, pa.int32()), pa.array(its_trust, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "label", "print", "text", "trust", "by", "apart", "its_trust"])
 
 
-LABELS = "h bigint, label string, print bigint, text string"
-NEAR = LABELS + ", by bigint, apart int"
+LABELS = "h bigint, label string, print bigint, text string, trust double"
+NEAR = LABELS + ", by bigint, apart int, its_trust double"
 
 
-def trusted() -> list[tuple[int, str, int, str]]:
+def trusted() -> list[tuple[int, str, int, str, float]]:
     """The exemplars as labelled units."""
     rows = [(label, normal(text)) for label, texts in EXEMPLARS.items() for text in texts]
     prints = simhashes([w for _, w in rows]).view(np.int64).tolist()
-    return [(_hash(" ".join(w)), label, p, " ".join(w)) for (label, w), p in zip(rows, prints, strict=True)]
+    return [(_hash(" ".join(w)), label, p, " ".join(w), 1.0) for (label, w), p in zip(rows, prints, strict=True)]
 
 
 def _blocks(new: DataFrame) -> Iterator[Reached]:
@@ -344,9 +349,9 @@ def seeds(corpus: DataFrame) -> DataFrame:
     """The trusted units: exemplars, and units of the corpus that open with the printers' filler or repeat one word."""
     opens = F.coalesce(*(F.when(F.col("text").startswith(o), label) for o, label in OPENINGS.items()))
     repeated = F.when((F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) >= 3) & (F.size(F.array_distinct(F.split("text", " "))) == 1) & F.col("text").rlike(r"^\p{L}"), "filler")
-    opening = corpus.select("h", F.coalesce(opens, repeated).alias("label"), "print", "text").where("label IS NOT NULL")
+    opening = corpus.select("h", F.coalesce(opens, repeated).alias("label"), "print", "text", F.lit(1.0).alias("trust")).where("label IS NOT NULL")
     exemplars = corpus.sparkSession.createDataFrame(trusted(), LABELS)
-    return exemplars.unionByName(opening).groupBy("h").agg(*(F.min(c).alias(c) for c in ("label", "print", "text")))
+    return exemplars.unionByName(opening).groupBy("h").agg(*(F.min(c).alias(c) for c in ("label", "print", "text", "trust")))
 
 
 def links(corpus: DataFrame, start: DataFrame) -> DataFrame:
@@ -363,11 +368,11 @@ def links(corpus: DataFrame, start: DataFrame) -> DataFrame:
             return functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "h bigint, by bigint, label string")
         near = functools.reduce(DataFrame.unionByName, parts)
         if len(parts) > 1:
-            near = materialise(near.groupBy("h").agg(F.min_by(F.struct("label", "print", "text", "by"), F.struct("apart", "label", "by")).alias("best")).select("h", "best.*"), "near")
+            near = materialise(near.groupBy("h").agg(F.min_by(F.struct("label", "print", "text", "trust", "by"), F.struct("apart", -F.col("its_trust"), "label", "by")).alias("best")).select("h", "best.*"), "near")
         out.append(near.select("h", "by", "label"))
         reached = materialise(reached.unionByName(near.select("h")), "reached")
         # texts about residue are like other prose: no link goes on from them
-        new = near.where(F.col("label") != "about").select("h", "label", "print", "text")
+        new = near.where(F.col("label") != "about").select("h", "label", "print", "text", "trust")
 
 
 def labels(all_units: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def test_placeholders():
 def test_buckets_find_what_brute_force_finds():
     rng = np.random.default_rng(4)
     known = rng.integers(0, 2**63, 40).astype(np.uint64)
-    index = rs.Reached([(i, "error", p, "t") for i, p in enumerate(known.view(np.int64).tolist())])
+    index = rs.Reached([(i, "error", p, "t", 1.0) for i, p in enumerate(known.view(np.int64).tolist())])
     near = known.copy()
     for k in range(len(near)):
         for bit in rng.choice(64, 4, replace=False):
@@ -70,20 +70,26 @@ def test_every_labelled_unit_of_a_bucket_is_compared(spark, make_pages, monkeypa
     rng = np.random.default_rng(8)
     known, others = list(variants(8_000, 5, "lorem ipsum ", rng)), list(variants(600, 7, "", rng))
     own = rs.units(make_pages(*({"page_id": i, "content_blocks": [paragraph(t)]} for i, t in enumerate(known + others))))
-    rows = [(rs._hash(t), "filler", p, t) for t, p in zip(known + others, rs.simhashes([t.split() for t in known + others]).view(np.int64).tolist(), strict=True)]
-    # all pairs that verify, closed by chains from the trusted units
+    rows = [(rs._hash(t), "filler", p, t, 1.0) for t, p in zip(known + others, rs.simhashes([t.split() for t in known + others]).view(np.int64).tolist(), strict=True)]
+    # all pairs that verify, closed by chains from the trusted units while trust lasts
     start = len(rs.trusted()) + len(known)
     rows = rs.trusted() + rows
     grams = {r[0]: rs.gram_counts(r[3]) for r in rows}
     prints = np.array([r[2] for r in rows], np.int64).view(np.uint64)
-    have, new = rows[:start], np.arange(start)
+    have, new, trust = rows[:start], np.arange(start), dict.fromkeys(range(start), 1.0)
     open_ = np.arange(start, len(rows))
-    alike = lambda i, j: rs.cosine(grams[rows[i][0]], grams[rows[j][0]], rs.norm(grams[rows[i][0]]), rs.norm(grams[rows[j][0]])) >= rs.needed(min(grams[rows[i][0]].total(), grams[rows[j][0]].total()))
     while len(new):
-        near = np.bitwise_count(prints[open_][:, None] ^ prints[new][None, :]) <= rs.HAMMING
-        hit = [i for i, js in zip(open_.tolist(), near, strict=True) if any(alike(i, j) for j in new[js].tolist())]
-        have = have + [rows[i] for i in hit]
-        new, open_ = np.array(hit, np.int64), np.array([i for i in open_.tolist() if i not in set(hit)], np.int64)
+        hit = {}
+        apart = np.bitwise_count(prints[open_][:, None] ^ prints[new][None, :])
+        for i, row in zip(open_.tolist(), apart, strict=True):
+            for j in sorted(new[row <= rs.HAMMING].tolist(), key=lambda j: (np.bitwise_count(prints[i] ^ prints[j]), -trust[j], rows[j][1], rows[j][0])):
+                a, b = grams[rows[i][0]], grams[rows[j][0]]
+                alike = rs.cosine(a, b, rs.norm(a), rs.norm(b))
+                if alike >= rs.needed(min(a.total(), b.total())) and alike * trust[j] >= rs.TRUST:
+                    hit[i] = alike * trust[j]
+                    break
+        have, trust = have + [rows[i] for i in hit], trust | hit
+        new, open_ = np.array(list(hit), np.int64), np.array([i for i in open_.tolist() if i not in hit], np.int64)
     want = sorted((r[0],) for r in have[len(rs.trusted()) :])
     assert len(known) < len(want) < len(known) + len(others)
     assert sorted(rows_of(rs.labels(own).join(own, "h", "left_semi"), "h")) == want
@@ -110,6 +116,6 @@ def test_buckets_find_every_pair_within_the_distance():
     for k in range(len(near)):
         for bit in rng.choice(64, rs.HAMMING, replace=False):
             near[k] ^= np.uint64(1) << np.uint64(bit)
-    found = rs.Reached([(i, "error", p, "t") for i, p in enumerate(known.view(np.int64).tolist())]).candidates(near)
+    found = rs.Reached([(i, "error", p, "t", 1.0) for i, p in enumerate(known.view(np.int64).tolist())]).candidates(near)
     apart = np.bitwise_count(near[:, None] ^ known[None, :])
     assert {(i, j) for i, js in found.items() for j in js} == set(zip(*(x.tolist() for x in np.nonzero(apart <= rs.HAMMING)), strict=True))
