@@ -25,8 +25,8 @@ from pagemill.runtime import materialise
 WORDS = 12
 #: Words of a shard's index; a longer document is indexed in overlapping pieces.
 SHARD = 400_000
-#: Items searched at once.
-ITEM_BLOCK = 20_000
+#: Items, and characters of items, searched at once (about).
+ITEM_BLOCK, ITEM_CHARS = 20_000, 20_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -125,14 +125,12 @@ def spans(documents: DataFrame, benchmark: DataFrame, width: int = WORDS, shard:
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND length(text) > 0")
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND length(text) > 0").distinct()
-    # one block is collected at a time; the numbering is by a range of ids, so that a block's rows are bounded
-    total = items.count()
-    parts = []
-    if total <= block:
-        parts.append(items)
-    else:
-        numbered = materialise(items.repartitionByRange(-(-total // block) * 2, "item_id").withColumn("block", F.spark_partition_id()), "items")
-        parts += [numbered.where(F.col("block") == b).drop("block") for b in range(-(-total // block) * 2)]
+    # one block is collected at a time, drawn by a hash of whole rows, so that its rows and characters are bounded
+    total, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    number = max(-(-total // block), -(-chars // ITEM_CHARS))
+    if number > 1:
+        items = materialise(items, "items")
+    parts = [items if number == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == b) for b in range(number)]
     out = None
     for part in parts:
         phrases = Phrases([tuple(r) for r in part.collect()], width)
