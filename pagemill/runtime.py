@@ -51,22 +51,50 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` written to the shared scratch folder and read back: lineage ends there, and it survives lost executors.
 
-    The folder is removed when the driver's JVM ends.
+    The folder is removed by ``forget``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+_written: list[str] = []
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it small, else unchanged, so that the join shuffles."""
-    return F.broadcast(df) if small(df, max_rows) else df
+def forget(spark: SparkSession) -> int:
+    """Removes the intermediate tables written so far and says how many: for a driver that runs query after query, once a result is written."""
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(settings).delete(where, True)
+    gone = len(_written)
+    _written.clear()
+    return gone
+
+
+#: Most bytes of a table that is broadcast, whatever its rows.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``max_rows`` rows of ``max_bytes`` together; reads no more than that many rows."""
+
+    def width(name: str, kind: str):
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+        if kind.startswith(("array", "struct", "map")):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 8
+        return F.lit(8)
+
+    total = sum((width(f"`{n}`", k) for n, k in df.dtypes), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows and bytes prove it small, else unchanged, so that the join shuffles."""
+    return F.broadcast(df) if small(df, max_rows, max_bytes) else df

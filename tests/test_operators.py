@@ -234,3 +234,14 @@ def test_empty_tables(make_pages):
     df = make_pages({"page_id": 1}).limit(0)
     for out in (site.page_summaries(df), site.templates(df), site.hreflang_groups(df), site.template_pages(df), site.first_values(df), site.category_counts(df), sinks.compact(df)):
         assert out.count() == 0
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes_and_tables_are_forgotten(spark):
+    from pagemill import runtime
+
+    df = spark.createDataFrame([(k, "x" * 1_000, ["y" * 100] * 10) for k in range(50)], "k int, s string, a array<string>")
+    assert runtime.small(df, 50) and not runtime.small(df, 49) and not runtime.small(df, 50, 50_000) and not runtime.small(df.select("a"), 50, 50_000) and runtime.small(df.select("k"), 50, 400)
+    assert runtime.small(df.limit(0), 0)
+    runtime.forget(spark)
+    kept = runtime.materialise(df)
+    assert kept.count() == 50 and runtime.forget(spark) == 1 and runtime.forget(spark) == 0
