@@ -33,7 +33,7 @@ NODE_TYPES = (
 )
 #: Rows of which whole blocks are Python objects at a time.
 BLOCK_ROWS = 500
-_TOKEN = re.compile(r'\s*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|-?Infinity|NaN|true|false|null|[\[\]{},:])')
+_TOKEN = re.compile(r'\s*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|[\[\]{},:])')
 
 
 def _decode_deep(text: str):
@@ -87,15 +87,22 @@ def _decode_deep(text: str):
         expect = "end" if stack[-1] is root else "comma"
 
 
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def decode(text: str | None):
-    """``(value, True)`` of valid JSON, else ``(None, False)``."""
+    """``(value, True)`` of valid JSON, else ``(None, False)``; NaN and infinities aren't valid."""
     if text is None:
         return None, False
     try:
-        return json.loads(text), True
+        return json.loads(text, parse_constant=_no_number), True
     except ValueError as e:
         if "integer string conversion" in str(e):  # longer than Python converts; still valid
-            return json.loads(text, parse_int=Decimal), True
+            try:
+                return json.loads(text, parse_int=Decimal, parse_constant=_no_number), True
+            except ValueError:
+                return None, False
         return None, False
     except RecursionError:
         try:

@@ -245,3 +245,10 @@ def test_broadcasts_are_bounded_in_rows_and_bytes_and_tables_are_forgotten(spark
     runtime.forget(spark)
     kept = runtime.materialise(df)
     assert kept.count() == 50 and runtime.forget(spark) == 1 and runtime.forget(spark) == 0
+
+
+def test_nan_and_infinity_are_no_json():
+    from pagemill.operators import nested
+
+    assert [nested.decode(t)[1] for t in ('{"a": NaN}', "[Infinity]", "-Infinity", '{"a": "NaN"}', "[1e5]", "9" * 6_000)] == [False, False, False, True, True, True]
+    assert nested.decode("[" * 50_000 + "NaN" + "]" * 50_000) == (None, False)
