@@ -1,7 +1,7 @@
 """Dominant colours of images.
 
-PNG (8 bits, not interlaced) and plain BMP are read with the standard library; other formats if Pillow is installed, else
-they give no colours, as broken images do. Nearest pixels stand for an image that is larger than ``SIDE``.
+PNG (8 bits, not interlaced), GIF (the first frame), ICO (its largest picture) and plain BMP are read with the standard
+library; other formats if Pillow is installed, else they give no colours, as broken images do. Nearest pixels stand for an image that is larger than ``SIDE``.
 """
 
 from __future__ import annotations
@@ -84,6 +84,87 @@ def _bmp(raw: bytes) -> np.ndarray | None:
     return np.concatenate([rows[..., 2::-1], np.full((*rows.shape[:2], 1), 255, np.uint8)], axis=2)
 
 
+def _unpacked(data: bytes, bits: int, most: int) -> bytes:
+    """The colour numbers of a GIF's packed picture, at most ``most``: codes of growing length stand for earlier runs and one more number."""
+    clear, end = 1 << bits, (1 << bits) + 1
+    runs: list[bytes] = []
+    out = bytearray()
+    width, held, kept, before = bits + 1, 0, 0, None
+    for byte in data:
+        held |= byte << kept
+        kept += 8
+        while kept >= width:
+            code, held, kept = held & ((1 << width) - 1), held >> width, kept - width
+            if code == clear:
+                runs = [bytes((k,)) for k in range(clear)] + [b"", b""]
+                width, before = bits + 1, None
+            elif code == end or len(out) >= most:
+                return bytes(out)
+            elif before is None:
+                out += runs[code]
+                before = runs[code]
+            else:
+                run = runs[code] if code < len(runs) else before + before[:1]
+                out += run
+                if len(runs) < 4096:
+                    runs.append(before + run[:1])
+                    if len(runs) == 1 << width and width < 12:
+                        width += 1
+                before = run
+    return bytes(out)
+
+
+def _gif(raw: bytes) -> np.ndarray | None:
+    def colours(at: int, flags: int) -> tuple[np.ndarray | None, int]:
+        if not flags & 0x80:
+            return None, at
+        n = 3 << ((flags & 7) + 1)
+        return np.frombuffer(raw[at : at + n], np.uint8).reshape(-1, 3), at + n
+
+    def blocks(at: int) -> tuple[bytes, int]:
+        parts = []
+        while raw[at]:
+            parts.append(raw[at + 1 : at + 1 + raw[at]])
+            at += raw[at] + 1
+        return b"".join(parts), at + 1
+
+    palette, at = colours(13, raw[10])
+    clear = None
+    while raw[at] != 0x3B:
+        if raw[at] == 0x21:
+            body, after = blocks(at + 2)
+            if raw[at + 1] == 0xF9 and body[0] & 1:
+                clear = body[3]
+            at = after
+            continue
+        width, height, flags = struct.unpack("<HHB", raw[at + 5 : at + 10])
+        own, at = colours(at + 10, flags)
+        palette = own if own is not None else palette
+        data, _ = blocks(at + 1)
+        if palette is None or width * height > 50_000_000:
+            return None
+        # the order of interlaced rows doesn't change how often a colour occurs
+        index = np.frombuffer(_unpacked(data, raw[at], width * height)[: width * height], np.uint8).reshape(height, width)
+        alpha = np.where(index == clear, 0, 255).astype(np.uint8) if clear is not None else np.full((height, width), 255, np.uint8)
+        return np.concatenate([palette[np.minimum(index, len(palette) - 1)], alpha[..., None]], axis=2)
+    return None
+
+
+def _ico(raw: bytes) -> np.ndarray | None:
+    entries = [struct.unpack("<BBBBHHII", raw[6 + 16 * k : 22 + 16 * k]) for k in range(struct.unpack("<H", raw[4:6])[0])]
+    *_, size, at = max(entries, key=lambda e: ((e[0] or 256) * (e[1] or 256), e[5], e[6]))
+    picture = raw[at : at + size]
+    if picture[:4] == b"\x89PNG":
+        return _png(picture)
+    start, width, double, _, bits = struct.unpack("<IiiHH", picture[:16])
+    height = double // 2  # the mask below the picture counts as well
+    if bits not in (24, 32) or width <= 0 or height <= 0:
+        return None
+    line = (width * bits // 8 + 3) // 4 * 4
+    rows = np.frombuffer(picture[start : start + line * height], np.uint8).reshape(height, line)[:, : width * bits // 8].reshape(height, width, bits // 8)
+    return np.concatenate([rows[..., 2::-1], rows[..., 3:] if bits == 32 else np.full((height, width, 1), 255, np.uint8)], axis=2)
+
+
 def pixels_of(raw: bytes | None) -> np.ndarray | None:
     """Rows of red, green, blue and alpha, or None if the image can't be read."""
     try:
@@ -93,6 +174,10 @@ def pixels_of(raw: bytes | None) -> np.ndarray | None:
             return found
         if raw[:2] == b"BM" and (found := _bmp(raw)) is not None:
             return found
+        if raw[:4] == b"GIF8" and (found := _gif(raw)) is not None:
+            return found
+        if raw[:4] == b"\0\0\1\0" and (found := _ico(raw)) is not None:
+            return found
         from PIL import Image
 
         return np.asarray(Image.open(io.BytesIO(raw)).convert("RGBA"))

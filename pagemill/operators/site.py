@@ -141,22 +141,43 @@ def unique_phones(phones: DataFrame) -> DataFrame:
     return keyed.groupBy("site", "key").agg(F.min_by("phone", rank).alias("phone")).select("site", "phone")
 
 
+def _contact_facts(captured: DataFrame) -> DataFrame:
+    """What each page says of contact, of one pass over the pages."""
+    forms = F.transform(F.filter("content_blocks", lambda b: (b["type"] == "form") & (b["purpose"] == "contact") & (b["action"] != "")), lambda b: b["action"])
+    per_page = captured.select("page_id", "site", contact.page_emails().alias("emails"), contact.page_phones().alias("phones"), "social_links", "addresses", "organization", forms.alias("forms"))
+    return materialise(per_page, "contacts")
+
+
+def _contact_rows(per_page: DataFrame) -> DataFrame:
+    named = lambda df, kind, value: df.select("site", F.lit(kind).alias("kind"), value.alias("value"))
+    rows = named(unique_emails(per_page.select("site", F.explode("emails").alias("email"))), "email", F.col("email"))
+    rows = rows.unionByName(named(unique_phones(per_page.select("site", F.explode("phones").alias("phone")).distinct()), "phone", F.col("phone")))
+    others = F.concat(
+        F.transform(F.coalesce("social_links", F.array().cast("array<struct<platform:string,url:string>>")), lambda x: F.struct(F.lit("profile").alias("kind"), F.concat(x["platform"], F.lit(" "), x["url"]).alias("value"))),
+        _kind_rows("addresses", "address"), _kind_rows("forms", "form"),
+    )
+    return rows.unionByName(per_page.select("site", F.explode(others).alias("x")).select("site", "x.kind", "x.value").distinct())
+
+
+def _kind_rows(column: str, kind: str) -> Column:
+    return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+
+def contact_rows(captured: DataFrame) -> DataFrame:
+    """Contact details as rows, for sites of any size: site, kind (email, phone, profile, address or form), value (of a profile, platform and URL)."""
+    return _contact_rows(_contact_facts(captured))
+
+
 def contacts(captured: DataFrame) -> DataFrame:
-    """Contact details of each site from captured pages with ``site``: e-mails, phones, profiles, addresses, organization, form targets."""
-    per_page = captured.select("page_id", "site", contact.page_emails().alias("emails"), contact.page_phones().alias("phones"), "social_links", "addresses", "organization", F.transform(F.filter("content_blocks", lambda b: (b["type"] == "form") & (b["purpose"] == "contact") & (b["action"] != "")), lambda b: b["action"]).alias("forms"))
-    # six lists are made of them, of one pass over the pages
-    per_page = materialise(per_page, "contacts")
-    list_of = lambda df, column, alias: df.groupBy("site").agg(F.array_sort(F.collect_set(column)).alias(alias))
-    emails = list_of(unique_emails(per_page.select("site", F.explode("emails").alias("email"))), "email", "emails")
-    phones = list_of(unique_phones(per_page.select("site", F.explode("phones").alias("phone")).distinct()), "phone", "phones")
-    socials = list_of(per_page.select("site", F.explode("social_links").alias("s")), "s", "social_links")
-    places = list_of(per_page.select("site", F.explode("addresses").alias("a")), "a", "addresses")
-    forms = list_of(per_page.select("site", F.explode("forms").alias("f")), "f", "contact_form_endpoints")
-    firsts = per_page.groupBy("site").agg(F.min_by("organization", F.when(F.col("organization").isNotNull(), F.col("page_id"))).alias("organization"))
-    for part in (emails, phones, socials, places, forms):
-        firsts = firsts.join(part, "site", "left")
+    """Contact details of each site from captured pages with ``site``, as lists: e-mails, phones, profiles, addresses, organization, form targets."""
+    per_page = _contact_facts(captured)
+    listed = lambda kind, alias: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("value")))).alias(alias)
+    lists = _contact_rows(per_page).groupBy("site").agg(*(listed(k, a) for k, a in (("email", "emails"), ("phone", "phones"), ("profile", "profiles"), ("address", "addresses"), ("form", "contact_form_endpoints"))))
+    firsts = per_page.groupBy(F.col("site").alias("_site")).agg(F.min_by("organization", F.when(F.col("organization").isNotNull(), F.col("page_id"))).alias("organization"))
+    joined = firsts.join(lists, F.col("_site").eqNullSafe(F.col("site")), "left")
     empty = F.array().cast("array<string>")
-    return firsts.select("site", *(F.coalesce(c, empty).alias(c) for c in ("emails", "phones")), "social_links", *(F.coalesce(c, empty).alias(c) for c in ("addresses", "contact_form_endpoints")), "organization")
+    profiles = F.transform(F.coalesce("profiles", empty), lambda x: F.struct(F.substring_index(x, " ", 1).alias("platform"), F.substring_index(x, " ", -1).alias("url")))
+    return joined.select(F.col("_site").alias("site"), *(F.coalesce(c, empty).alias(c) for c in ("emails", "phones")), profiles.alias("social_links"), *(F.coalesce(c, empty).alias(c) for c in ("addresses", "contact_form_endpoints")), "organization")
 
 
 # warnings

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagemill.functions.tables import CATEGORIES, DEFAULT_EXCLUDES, EMAIL, EMBEDS, POOR_ALTS
+from pagemill.operators.nested import NODE_TYPES
 from pagemill.plans import oracle_html
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -130,8 +131,8 @@ _NODES = (
     P.replace("WITH", "WITH RECURSIVE", 1)
     + f""", t AS (SELECT page_id, 'structured_data[' || (i - 1) || ']' AS path, structured_data[i]::JSON AS j, [0, i] AS key, NULL::VARCHAR AS kind FROM (SELECT page_id, structured_data, unnest(range(1, len(structured_data) + 1)) AS i FROM p) WHERE json_valid(structured_data[i])
       UNION ALL SELECT page_id, 'content_blocks[' || (i - 1) || ']', ({_BLOCK_JSON})::JSON, [1, i], content_blocks[i].type FROM (SELECT page_id, content_blocks, unnest(range(1, len(content_blocks) + 1)) AS i FROM p) WHERE content_blocks[i].type IS NOT NULL),
-    r AS (SELECT page_id, path, j, '' AS parent, key, kind, 0 AS depth FROM t
-      UNION ALL SELECT page_id, path || c, json_extract(j, '$' || CASE WHEN starts_with(c, '.') THEN '."' || substr(c, 2) || '"' ELSE c END), CASE WHEN json_type(j) = 'OBJECT' THEN path ELSE parent END, list_append(key, k), NULL::VARCHAR, depth + 1
+    r AS (SELECT page_id, path, j, '' AS parent, key, kind, 0 AS depth, '' AS name FROM t
+      UNION ALL SELECT page_id, path || c, json_extract(j, '$' || CASE WHEN starts_with(c, '.') THEN '."' || substr(c, 2) || '"' ELSE c END), CASE WHEN json_type(j) = 'OBJECT' THEN path ELSE parent END, list_append(key, k), NULL::VARCHAR, depth + 1, CASE WHEN json_type(j) = 'OBJECT' THEN substr(c, 2) ELSE name || c END
         FROM (SELECT *, ch[k] AS c FROM (SELECT *, unnest(range(1, len(ch) + 1)) AS k FROM (SELECT *, {_CHILDREN} AS ch FROM r)))),
     o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY key) - 1 AS pre FROM r WHERE json_type(j) IN ('OBJECT', 'ARRAY')),
     s AS (SELECT a.page_id, a.pre, count(b.pre) AS inside FROM o a LEFT JOIN o b ON a.page_id = b.page_id AND len(b.key) > len(a.key) AND b.key[:len(a.key)] = a.key GROUP BY 1, 2),
@@ -167,7 +168,10 @@ SQL = {
     "page_compact": f"{P} SELECT page_id, site, url, title, {category()} AS category, meta_description, {texts('heading')}[1] AS primary_heading, {TOTAL_WORDS} AS word_count, CAST(len(list_filter(coalesce(content_blocks, []), lambda b: b.type = 'image')) AS INT) AS image_count, len(list_filter(coalesce(content_blocks, []), lambda b: b.type = 'form')) > 0 AS has_form, "
     f"CAST(coalesce(len(internal_links_out), 0) AS INT) AS internal_links_out, coalesce(array_to_string({texts('heading')}[:20], '|'), '') AS headings FROM p",
     "p2_nodes": f"{_NODES} SELECT n.page_id, {_LABELS}",
-    **{f"p2_nodes_{k}": f"{_NODES} SELECT n.page_id, {_LABELS} WHERE n.node_type = '{t}'" for k, t in (("heading", "heading"), ("form", "form"), ("product", "Product"), ("offer", "Offer"), ("question", "Question"), ("postaladdress", "PostalAddress"))},
+    **{f"p2_nodes_{t.lower()}": f"{_NODES} SELECT n.page_id, {_LABELS} WHERE n.node_type = '{t}'" for t in NODE_TYPES},
+    "p2_nodes_other": f"{_NODES} SELECT n.page_id, {_LABELS} WHERE n.node_type NOT IN ({', '.join(q(t) for t in NODE_TYPES)})",
+    "p2_attributes": f"{_NODES}, v AS (SELECT page_id, parent, key, CASE json_type(j) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind, CASE json_type(j) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN json_extract_string(j, '$') ELSE j::VARCHAR END AS value, name FROM r WHERE json_type(j) NOT IN ('OBJECT', 'ARRAY') AND starts_with(path, 'structured_data') AND parent <> '')"
+    " SELECT v.page_id, CAST(n.pre AS INT) AS owner_pre, v.name, v.kind, v.value FROM v JOIN n ON n.page_id = v.page_id AND n.node_path = v.parent",
     "p2_enclosed": f"{_NODES} SELECT a.page_id, CAST(a.pre AS INT) AS inner_pre, CAST(b.pre AS INT) AS outer_pre FROM n a JOIN n b ON a.page_id = b.page_id AND b.pre < a.pre AND b.post > a.post WHERE a.node_type = 'Offer' AND b.node_type = 'Product'",
     **oracle_html.SQL,
     "category_summary": f"WITH {oracle_html.CAPTURED} SELECT site, {category()} AS category, count(*) AS pages, round(avg({TOTAL_WORDS}), 2) AS mean_words FROM p GROUP BY 1, 2",

@@ -64,6 +64,8 @@ def run(
     lost = challenged if skipped is None else challenged.unionByName(skipped.select("site", "url", "reason"))
     found = materialise(captured_pages(chosen.where(~is_challenge(F.col("html"))), config), "captured")
     sinks.write_jsonl(found, f"{root}/scraped")
+    if config.site:
+        sinks.write_master(found.dropDuplicates(["page_id"]), f"{root}/master")
     if config.split_pages:
         sinks.write_split_pages(found, f"{root}/pages")
     if config.markdown:

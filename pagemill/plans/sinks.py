@@ -21,6 +21,16 @@ def write_jsonl(pages: DataFrame, path: str) -> None:
     exported(pages).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def write_master(pages: DataFrame, path: str) -> None:
+    """All pages of one site as one JSON document of ``total_pages`` and ``pages``, in one text file; for a run with a site, as one task writes it."""
+    out = exported(pages)
+    rows = out.select("page_id", F.to_json(F.struct(*out.columns), {"ignoreNullFields": "true"}).alias("value"))
+    total, last = rows.agg(F.count("*"), F.max("page_id")).first()
+    body = rows.select(F.lit(1).alias("part"), "page_id", F.concat("value", F.when(F.col("page_id") < F.lit(last), ",").otherwise("")).alias("value"))
+    ends = pages.sparkSession.createDataFrame([(0, 0, f'{{"total_pages": {total}, "pages": ['), (2, 0, "]}")], "part int, page_id bigint, value string")
+    ends.unionByName(body).repartition(1).sortWithinPartitions("part", "page_id").select("value").write.mode("overwrite").text(path)
+
+
 def write_split_pages(pages: DataFrame, path: str) -> None:
     """One folder of JSON per page, named by its slug, within one per site; equal slugs share a folder, nothing is lost."""
     exported(pages).withColumn("slug", urls.slug(F.col("url"))).write.mode("overwrite").partitionBy("site", "slug").json(path)

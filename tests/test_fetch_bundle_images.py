@@ -137,3 +137,33 @@ def test_outcomes_and_assets(spark, make_pages):
     assert rows_of(site.outcome_counts(pages, skipped), "site", "captured", "skipped", "attempted") == [("s", 2, 1, 3)]
     assets = spark.createDataFrame([("a", "p"), ("a", "p"), (None, "q")], "url string, path string")
     assert rows_of(site.with_assets(pages.select("page_id", "url").distinct(), assets, "url", "local"), "page_id", "local") == [(1, "p"), (2, None)]
+
+
+def gif(rows, palette, clear=None):
+    """A GIF whose codes are never longer than at first: a clear code before every second number."""
+    bits, codes = 2, []
+    for v in rows.ravel().tolist():
+        codes += [4, v]
+    held, n = 0, 0
+    for c in [*codes, 5]:
+        held, n = held | c << n, n + 3
+    data = held.to_bytes((n + 7) // 8, "little")
+    packed = b"".join(bytes([len(data[k : k + 255])]) + data[k : k + 255] for k in range(0, len(data), 255)) + b"\0"
+    h, w = rows.shape
+    control = b"\x21\xf9\x04\x01\0\0" + bytes([clear]) + b"\0" if clear is not None else b""
+    return b"GIF89a" + struct.pack("<HHBBB", w, h, 0x81, 0, 0) + bytes(palette) + control + b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0) + bytes([bits]) + packed + b";"
+
+
+def test_gif_and_ico():
+    rows = np.array([[0, 1, 1], [2, 1, 3]])
+    palette = [10, 20, 200, 200, 30, 40, 90, 160, 30, 60, 60, 60]
+    found = images.pixels_of(gif(rows, palette, 3))
+    assert found[..., :3].tolist() == np.array(palette).reshape(-1, 3)[rows].tolist() and found[..., 3].tolist() == [[255, 255, 255], [255, 255, 0]]
+    assert images.dominant(gif(rows, palette)) [0] == ("#c01020", 3)
+    # a run of one number needs codes that stand for what they have just begun
+    assert images._unpacked((4 | 1 << 3 | 6 << 6 | 7 << 9 | 5 << 13).to_bytes(3, "little"), 2, 100)[:6] == bytes([1] * 6)
+    picture = struct.pack("<IiiHHIIiiII", 40, 2, 4, 1, 32, 0, 0, 0, 0, 0, 0) + bytes([200, 30, 10, 255] * 3 + [0, 0, 0, 0]) + bytes(8)
+    small = struct.pack("<IiiHHIIiiII", 40, 1, 2, 1, 32, 0, 0, 0, 0, 0, 0) + bytes([1, 2, 3, 255]) + bytes(4)
+    head = struct.pack("<HHH", 0, 1, 2) + struct.pack("<BBBBHHII", 1, 1, 0, 0, 1, 32, len(small), 38) + struct.pack("<BBBBHHII", 2, 2, 0, 0, 1, 32, len(picture), 38 + len(small))
+    assert images.dominant(head + small + picture) == [("#0010c0", 3)]
+    assert images.dominant(b"GIF89a") == images.dominant(b"\0\0\1\0\1\0") == []

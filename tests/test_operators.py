@@ -226,7 +226,10 @@ def test_sinks(spark, make_pages, tmp_path):
     assert {r.kind for r in sinks.asset_manifest(spark, str(tmp_path)).collect()} == {"page-json", "page-md"}
     sinks.mark_status(spark, str(tmp_path / "status"), "complete")
     assert spark.read.text(str(tmp_path / "status")).first()[0] == "complete"
-    assert sinks.index_lines(site.page_summaries(df), site.flag_counts(df.withColumn("quality_flags", F.array(F.lit("no_h1"))))).count() == 4
+    kind = "contact struct<emails:array<string>,phones:array<string>,social_links:array<struct<platform:string,url:string>>,addresses:array<string>,contact_form_endpoints:array<string>>, templates array<struct<template_id:string,block_pattern:string,page_count:bigint,sample_page:string>>, quality_flags array<struct<flag:string,pages:bigint>>, quality_warnings array<string>"
+    bundles = spark.createDataFrame([("s", 2, None, (["a@s.example"], [], [], [], []), None, [("no_h1", 2)], None)], f"site string, total_pages bigint, language string, {kind}")
+    lines = [r.line for r in sinks.index_lines(bundles, site.page_summaries(df)).orderBy("part", "line_no").collect()]
+    assert lines[:4] == ["# Site export: s", "## At a glance", "- **Site**: s", "- **Pages**: 2"] and "- **E-mails**: a@s.example" in lines and "| `no_h1` | 2 |" in lines and len([x for x in lines if x.startswith("| https://s.example/a |")]) == 2
     assert "page_id" in sinks.json_schema(df)
 
 

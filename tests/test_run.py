@@ -51,3 +51,5 @@ def test_discovery_error_pages_and_index(spark, tmp_path):
     assert lines("gone.example")[0] == "# Site export: gone.example (no page was captured)"
     run(spark, pages, EngineConfig(output_dir=root, site="s.example", partitions=2))
     assert "- **Top colours**: `#336699` (4×)" in lines("s.example")
+    master = json.loads("".join(open(f).read() for f in glob.glob(f"{root}/master/*.txt")))
+    assert master["total_pages"] == 4 and [p["page_id"] for p in master["pages"]] == [0, 1, 2, 3] and "style_text" not in master["pages"][0]
